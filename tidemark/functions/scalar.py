@@ -27,7 +27,7 @@ def safe_div(a, b, default=0.0) -> Column:
 
 def div0(a, b) -> Column:
     """a / b, NULL where b is zero."""
-    return c(a) / F.nullif(c(b), F.lit(0.0))
+    return c(a) / F.nullif(c(b).cast("double"), F.lit(0.0))
 
 
 def nz(x, value=0.0) -> Column:
