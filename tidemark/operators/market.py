@@ -255,11 +255,11 @@ def risk_features(index: DataFrame, industries: DataFrame) -> DataFrame:
 
 
 def minmax_score(df: DataFrame, weights: dict[str, float], out: str = "score") -> DataFrame:
-    """Weighted sum of columns scaled to 0..1 over the whole table; bounds are scalar subqueries."""
-    bounds = df.agg(*[F.min(k).alias(f"lo_{k}") for k in weights], *[F.max(k).alias(f"hi_{k}") for k in weights])
+    """Weighted sum of columns scaled to 0..1 over a one-row-per-date table."""
+    every = Window.partitionBy()
     terms = []
     for k, w in weights.items():
-        lo, hi = bounds.select(f"lo_{k}").scalar(), bounds.select(f"hi_{k}").scalar()
+        lo, hi = F.min(k).over(every), F.max(k).over(every)
         terms.append(nz(div0(F.col(k) - lo, hi - lo)) * w)
     return df.withColumn(out, sum(terms[1:], terms[0]))
 
