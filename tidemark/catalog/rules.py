@@ -151,12 +151,12 @@ def engine_volume_adjust(spark, base):
     return shown(d.select("code", "dt", *[e.alias(n) for n, e in cols.items()]), ["p_momentum", "p_breakout", "p_reversion", "vol_reversion_confirmed"])
 
 
-@query(with_ctes(f"""SELECT code, dt, kind AS vol_boost, {r('round(round(p_momentum + bonus, 4) * m, 4)')} AS score_out FROM (SELECT code, dt, p_momentum,
+@query(with_ctes(f"""SELECT code, dt, kind AS vol_boost, {r(r('p_momentum + bonus') + ' * m')} AS score_out FROM (SELECT code, dt, p_momentum,
   CASE WHEN spike > 1.5 THEN 'breakout' WHEN spike < 0.7 THEN 'shrink' ELSE '' END AS kind, CASE WHEN spike < 0.7 THEN 1.1 ELSE 1 END AS m,
   CASE WHEN spike > 1.5 THEN least(greatest((spike - 1.5) / spike, 0), 1) * 0.03 + 0.05 ELSE 0 END AS bonus FROM scorefeat)"""))
 def composite_volume_adjust(spark, base):
     cols = rule.volume_adjust("p_momentum", "spike")
-    return score_feats(spark, base).select("code", "dt", cols["vol_boost"].alias("vol_boost"), rd(cols["score_out"]).alias("score_out"))
+    return score_feats(spark, base).select("code", "dt", cols["vol_boost"].alias("vol_boost"), cols["score_out"].alias("score_out"))
 
 
 @query(with_ctes(f"""SELECT code, dt, {r('least(greatest(m / 0.55, 0.3), 1.2)')} AS soft_multiplier, {r('m * least(greatest(m / 0.55, 0.3), 1.2)')} AS composite_score, {r('p_momentum * 0.6 + p_reversion * 0.2 + p_breakout * 0.2')} AS bull_score
@@ -229,7 +229,7 @@ def alpha_decay(spark, base):
 
 cte("gaprisk", f"""SELECT code, count(*) AS n, count(*) FILTER (pct_chg >= 5) AS big, count(*) FILTER (pct_chg >= 5 AND coalesce(lead_gap, 0) * 100 <= -1) AS hit, min(dt) AS window_start, max(dt) AS window_end FROM (
   SELECT *, lead(open / pre_close - 1) OVER (PARTITION BY code ORDER BY dt) AS lead_gap, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS k FROM panel) WHERE k <= 60 GROUP BY code""")
-cte("gapscore", "SELECT code, CASE WHEN n >= 20 AND big > 0 THEN round(hit / big::DOUBLE, 4) ELSE 0 END::DOUBLE AS score, CASE WHEN n >= 20 THEN big ELSE 0 END AS big_up_days, CASE WHEN n >= 20 THEN hit ELSE 0 END AS gap_down_after, window_start, window_end, n < 20 AS insufficient FROM gaprisk")
+cte("gapscore", "SELECT code, CASE WHEN n >= 20 AND big > 0 THEN round(hit / big::DOUBLE + 1e-8, 4) ELSE 0 END::DOUBLE AS score, CASE WHEN n >= 20 THEN big ELSE 0 END AS big_up_days, CASE WHEN n >= 20 THEN hit ELSE 0 END AS gap_down_after, window_start, window_end, n < 20 AS insufficient FROM gaprisk")
 
 
 @query(with_ctes("SELECT * FROM gapscore"))

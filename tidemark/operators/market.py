@@ -299,3 +299,12 @@ def ts_percentile(df: DataFrame, x: str, out: str, n: int = 250, min_rows: int =
     d = df.withColumn("_h", F.collect_list(x).over(w))
     share = F.size(F.filter("_h", lambda v: v <= F.col(x))) / F.size("_h") * 100
     return d.withColumn(out, F.when((F.size("_h") >= min_rows) & F.col(x).isNotNull(), share)).drop("_h")
+
+
+def mood_summary(newest: DataFrame, x: str, strong: float = 5.0, side: float = 3.0) -> DataFrame:
+    """Mean momentum over industries, counts on each side, and the mood label."""
+    agg = newest.agg(
+        F.avg(x).alias("avg_momentum"), F.sum(one_if(F.col(x) > side)).alias("bullish_count"), F.sum(one_if(F.col(x) < -side)).alias("bearish_count"),
+        F.sum(one_if(F.col(x).between(-side, side))).alias("neutral_count"),
+    )
+    return agg.withColumn("mood", tiers([(F.col("avg_momentum") > strong, "bullish"), (F.col("avg_momentum") < -strong, "bearish")], "neutral"))

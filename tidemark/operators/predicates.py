@@ -101,7 +101,7 @@ def volume_adjust(score, spike, lo: float = 0.05, hi: float = 0.08) -> dict[str,
     """Bonus on the 0-1 scale, rounded after each step as the composite score is."""
     s = nz(spike, 1.0)
     bonus = F.when(s > 1.5, clip(div0(s - 1.5, s), 0, 1) * (hi - lo) + lo).otherwise(0.0)
-    out = F.round((F.round(c(score) + bonus, 4)) * F.when(s < 0.7, 1.1).otherwise(1.0), 4)
+    out = rd(rd(c(score) + bonus) * F.when(s < 0.7, 1.1).otherwise(1.0))
     return {"vol_boost": tiers([(s > 1.5, "breakout"), (s < 0.7, "shrink")], ""), "score_out": out}
 
 
@@ -132,7 +132,7 @@ def soft_weight(probs: Sequence[str], target: float = 0.55, lo: float = 0.3, hi:
     """Mean probability and its multiplier clip(p / target)."""
     mean = sum((F.col(p) for p in probs[1:]), F.col(probs[0])) / len(probs)
     mult = clip(mean / target, lo, hi)
-    return {"soft_multiplier": F.round(mult, 4), "composite_score": F.round(mean * mult, 4)}
+    return {"soft_multiplier": rd(mult), "composite_score": rd(mean * mult)}
 
 
 def combined(weights: dict[str, float]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import with_pct_rank, with_rank_columns
-from ..functions.scalar import clip, div0, nz, one_if, tiers
+from ..functions.scalar import clip, div0, nz, one_if, rd
 from ..functions.windows import lead
 from .predicates import combined
 
@@ -31,7 +31,7 @@ def gap_risk(panel: DataFrame, n: int = 60, big_up: float = 5.0, gap_down: float
     ok = F.col("_n") >= min_rows
     return agg.select(
         "code",
-        F.when(ok & (F.col("_b") > 0), F.round(div0("_h", "_b"), 4)).otherwise(0.0).alias("score"),
+        F.when(ok & (F.col("_b") > 0), rd(div0("_h", "_b"))).otherwise(0.0).alias("score"),
         F.when(ok, F.col("_b")).otherwise(0).alias("big_up_days"),
         F.when(ok, F.col("_h")).otherwise(0).alias("gap_down_after"),
         "window_start", "window_end", (~ok).alias("insufficient"),
@@ -47,7 +47,7 @@ def gap_risk_panel(panel: DataFrame, n: int = 60, big_up: float = 5.0, gap_down:
     w, inner = last_n(n), last_n(n - 1)
     ok = F.count(F.lit(1)).over(w) >= min_rows
     hits = F.sum("_h").over(inner)
-    return d.select("code", "dt", F.when(ok, nz(F.round(div0(hits, F.sum("_b").over(w)), 4))).otherwise(0.0).alias("t1_lock_risk"))
+    return d.select("code", "dt", F.when(ok, nz(rd(div0(hits, F.sum("_b").over(w))))).otherwise(0.0).alias("t1_lock_risk"))
 
 
 def with_gap_penalty(scored: DataFrame, risk: DataFrame, score: str, limit: float = GAP_LIMIT, penalty: float = GAP_PENALTY, eliminate: bool = False) -> DataFrame:
@@ -95,7 +95,7 @@ def defense_pool(valuation: DataFrame, bars: DataFrame, asof: Column | None = No
     # 21 bars per code, the first one only gives the previous close
     d = d.select("code", "dt", "close", (F.col("high") - F.col("low")).alias("_hl"), true_range(False).alias("_tr"))
     d = d.select("*", F.count(F.lit(1)).over(last_n(21)).alias("_n"), F.avg("_tr").over(last_n(20)).alias("_a"), F.avg(F.coalesce("_tr", "_hl")).over(last_n(21)).alias("_b"))
-    newest = latest_rows(d, min_rows=11).withColumn("atr_pct", F.round(F.col("_a") / F.col("close") * 100, 3))
+    newest = latest_rows(d, min_rows=11).withColumn("atr_pct", rd(F.col("_a") / F.col("close") * 100, 3))
     return newest.where(F.col("atr_pct") < atr_max).select("code", "atr_pct").orderBy("atr_pct", "code").limit(limit)
 
 
@@ -104,11 +104,11 @@ def composite_scores(df: DataFrame, gate: float = 0.55) -> DataFrame:
     score, mult, top = None, None, None
     for state, a in ALLOCATION.items():
         here = F.col("state") == state
-        m = F.round(clip(F.col(a["gate"]) / gate, 0.3, 1.2), 4)
+        m = rd(clip(F.col(a["gate"]) / gate, 0.3, 1.2))
         if any(w > 0 for w in a["weights"].values()):
-            s = F.round(combined(a["weights"]) * m, 4)
+            s = rd(combined(a["weights"]) * m)
         else:
-            s = F.round(F.col(a["gate"]) * clip(F.col(a["gate"]) / gate, 0.3, 1.2), 4) * 0.5 + F.col("defensive_score") * 0.5
+            s = rd(F.col(a["gate"]) * clip(F.col(a["gate"]) / gate, 0.3, 1.2)) * 0.5 + F.col("defensive_score") * 0.5
         score = F.when(here, s) if score is None else score.when(here, s)
         mult = F.when(here, m) if mult is None else mult.when(here, m)
         top = F.when(here, F.lit(a["top_n"])) if top is None else top.when(here, F.lit(a["top_n"]))
