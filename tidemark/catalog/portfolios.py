@@ -6,6 +6,7 @@ from ..functions.scalar import rd
 from ..operators import dependence as dep, industry as iops, indicators as ind, levels, market as mkt, picks as pk, predicates as rule, routing, studies as st
 from ..operators.snapshots import latest_rows
 from ..plans import backtests as bt
+from ..session import checkpointed
 from ..sources import bars as src
 from .ctes import W, cte, over, r, rolled, with_ctes
 from .industry import pct_rank_sql
@@ -230,7 +231,7 @@ def route_portfolio(spark, base):
 
 @query(with_ctes(f"SELECT dt, code, {r('defensive_score')} AS defensive_score FROM bearq", recursive=True))
 def defensive_filter(spark, base):
-    d = routing.defensive_filter(candidates(spark, base).where("state = 'bear'"), ["dt"])
+    d = routing.defensive_filter(checkpointed(candidates(spark, base).where("state = 'bear'")), ["dt"])
     return d.select("dt", "code", rd("defensive_score").alias("defensive_score"))
 
 
@@ -309,10 +310,10 @@ cte("gsd", "SELECT lookback, t.\"top\", dt, coalesce(avg(ret), 0) AS ret FROM gs
 cte("gsn", "SELECT *, exp(s) AS nav, exp(s) / greatest(max(exp(s)) OVER (PARTITION BY lookback, \"top\" ORDER BY dt), 1) - 1 AS dd FROM (SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY lookback, \"top\" ORDER BY dt) AS s FROM gsd)")
 
 
-@query(with_ctes(f"""SELECT lookback, "top", count(*) AS n_days, {r('ln(arg_max(nav, dt))', 3)} AS log_total, {r('min(dd)')} AS max_drawdown, {r('(avg(ret) - 0.02 / 252) / stddev_samp(ret) * sqrt(252)')} AS sharpe, min(dd) > -0.35 AS eligible FROM gsn GROUP BY lookback, "top" """))
+@query(with_ctes(f"""SELECT lookback, "top", count(*) AS n_days, {r('arg_max(s, dt)', 3)} AS log_total, {r('min(dd)')} AS max_drawdown, {r('(avg(ret) - 0.02 / 252) / stddev_samp(ret) * sqrt(252)')} AS sharpe, min(dd) > -0.35 AS eligible FROM gsn GROUP BY lookback, "top" """))
 def parameter_grid(spark, base):
     d = bt.grid_search(src.l2_bars(spark, base), (10, 20, 40), (3, 5, 8))
-    return d.select("lookback", "top", "n_days", rd(F.log1p("total_return"), 3).alias("log_total"), rd("max_drawdown").alias("max_drawdown"), rd("sharpe").alias("sharpe"), "eligible")
+    return d.select("lookback", "top", "n_days", rd("log_return", 3).alias("log_total"), rd("max_drawdown").alias("max_drawdown"), rd("sharpe").alias("sharpe"), "eligible")
 
 
 cte("stopsq", """SELECT t.code, t.dt AS entry_dt, q.atr_ratio, p.close AS e, list({'k': b.i - p.i, 'c': b.close} ORDER BY b.i) AS path FROM dayp t JOIN panel p ON p.code = t.code AND p.dt = t.dt JOIN panel b ON b.code = t.code AND b.i BETWEEN p.i + 1 AND p.i + 5 JOIN dayq q ON q.code = t.code AND q.dt = t.dt GROUP BY ALL HAVING count(*) = 5""")
@@ -349,7 +350,7 @@ def ledger(spark, base):
     from ..functions.ranks import with_pct_rank
 
     s = src.engine_scores(spark, base).select("code", "dt", "close", (-F.col("p_momentum")).alias("neg"))
-    return bt.trade_ledger(trades(spark, base).select("code", "dt"), with_pct_rank(s, ["dt"], "neg", "rank_pct"), )
+    return bt.trade_ledger(trades(spark, base).select("code", "dt"), with_pct_rank(s, ["dt"], "neg", "rank_pct"))
 
 
 @query(with_ctes(f"SELECT code, entry_dt, exit_dt, CAST(hold_days AS INTEGER) AS hold_days, exit_reason, {rsel({'ret': 'net * 100', 'avg_rank': 'avg_rank', 'worst_pct': 'worst'})} FROM ledger"))

@@ -61,10 +61,10 @@ def grid_search(bars: DataFrame, lookbacks: Sequence[int], tops: Sequence[int],
     held = ranked.select("lookback", "dt", "ret", F.explode(F.filter(F.array(*[F.lit(t) for t in tops]), lambda t: t >= F.col("rk"))).alias("top"))
     daily = held.groupBy("lookback", "top", "dt").agg(nz(F.avg("ret")).alias("ret"))
     w = Window.partitionBy("lookback", "top").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    d = daily.withColumn("nav", F.exp(F.sum(F.log1p("ret")).over(w)))
+    d = daily.withColumn("_s", F.sum(F.log1p("ret")).over(w)).withColumn("nav", F.exp("_s"))
     d = d.withColumn("dd", F.col("nav") / F.greatest(F.max("nav").over(w), F.lit(1.0)) - 1)
     out = d.groupBy("lookback", "top").agg(
-        F.count(F.lit(1)).alias("n_days"), (F.max_by("nav", "dt") - 1).alias("total_return"), F.min("dd").alias("max_drawdown"),
+        F.count(F.lit(1)).alias("n_days"), (F.max_by("nav", "dt") - 1).alias("total_return"), F.max_by("_s", "dt").alias("log_return"), F.min("dd").alias("max_drawdown"),
         ((F.avg("ret") - RISK_FREE / YEAR_DAYS) / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * F.sqrt(F.lit(float(YEAR_DAYS)))).alias("sharpe"),
     )
     return out.withColumn("eligible", F.col("max_drawdown") > -max_dd)
