@@ -6,7 +6,7 @@ from ..functions.scalar import rd
 from ..operators import dependence as dep, industry as iops, indicators as ind, levels, market as mkt, picks as pk, predicates as rule, routing, studies as st
 from ..operators.snapshots import latest_rows
 from ..plans import backtests as bt
-from ..session import checkpointed
+from ..session import materialised
 from ..sources import bars as src
 from .ctes import W, cte, over, r, rolled, with_ctes
 from .industry import pct_rank_sql
@@ -231,7 +231,7 @@ def route_portfolio(spark, base):
 
 @query(with_ctes(f"SELECT dt, code, {r('defensive_score')} AS defensive_score FROM bearq", recursive=True))
 def defensive_filter(spark, base):
-    d = routing.defensive_filter(checkpointed(candidates(spark, base).where("state = 'bear'")), ["dt"])
+    d = routing.defensive_filter(materialised(candidates(spark, base).where("state = 'bear'")), ["dt"])
     return d.select("dt", "code", rd("defensive_score").alias("defensive_score"))
 
 

@@ -78,16 +78,32 @@ def momentum(n: int, x="close", w=None) -> Column:
     return (c(x) / lag(x, n, w) - 1) * 100
 
 
+def _central(x, n) -> tuple[Column, Column, Column, Column]:
+    """Row count and 2nd-4th central moments of the window from power means.
+
+    Plain averages slide much faster than the moment aggregates; a spread below 1e-10 of
+    the mean square counts as none.
+    """
+    f = last_n(n)
+    v = c(x)
+    m = F.count(v).over(f).cast("double")
+    e1, e2, e3, e4 = (F.avg(p).over(f) for p in (v, v * v, v * v * v, v * v * v * v))
+    m2 = F.when(e2 - e1 * e1 > e2 * 1e-10, e2 - e1 * e1)
+    m3 = e3 - e1 * e2 * 3 + e1 * e1 * e1 * 2
+    m4 = e4 - e1 * e3 * 4 + e1 * e1 * e2 * 6 - e1 * e1 * e1 * e1 * 3
+    return m, m2, m3, m4
+
+
 def skew_n(x, n, min_rows) -> Column:
-    """Bias-corrected (G1) rolling skewness; Spark's own is the population value."""
-    m = F.count(c(x)).over(last_n(n)).cast("double")
-    g = F.skewness(c(x)).over(last_n(n))
-    return F.when(m >= max(min_rows, 3), F.when(~F.isnan(g), g * F.sqrt(m * (m - 1)) / (m - 2)))
+    """Bias-corrected (G1) rolling skewness."""
+    m, m2, m3, _ = _central(x, n)
+    g = m3 / F.nullif(m2 * F.sqrt(m2), F.lit(0.0))
+    return F.when(m >= max(min_rows, 3), g * F.sqrt(m * (m - 1)) / F.nullif(m - 2, F.lit(0.0)))
 
 
 def kurt_n(x, n, min_rows) -> Column:
     """Bias-corrected (G2) rolling excess kurtosis."""
-    m = F.count(c(x)).over(last_n(n)).cast("double")
-    g = F.kurtosis(c(x)).over(last_n(n))
-    value = (m - 1) / ((m - 2) * (m - 3)) * ((m + 1) * g + 6)
-    return F.when(m >= max(min_rows, 4), F.when(~F.isnan(g), value))
+    m, m2, _, m4 = _central(x, n)
+    g = m4 / F.nullif(m2 * m2, F.lit(0.0)) - 3
+    value = (m - 1) / F.nullif((m - 2) * (m - 3), F.lit(0.0)) * ((m + 1) * g + 6)
+    return F.when(m >= max(min_rows, 4), value)

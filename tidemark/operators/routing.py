@@ -122,15 +122,15 @@ def route(candidates: DataFrame, gate: float = 0.55) -> DataFrame:
     ``candidates``: dt, code, state, engine probabilities, atr_pct, value_score, mom5, spike,
     t1_lock_risk, alpha_decay_cut, in_pool.
     """
-    from ..session import checkpointed
+    from ..session import materialised
     from .cross import top_share_boost
     from .predicates import volume_adjust
 
     # the ranks below read their input several times: materialise it at two points
-    candidates = checkpointed(candidates)
+    candidates = materialised(candidates)
     bear = defensive_filter(candidates.where("state = 'bear'"), ["dt"])
     rest = candidates.where("state <> 'bear'").withColumn("defensive_score", F.lit(None).cast("double"))
-    d = checkpointed(composite_scores(rest.unionByName(bear), gate))
+    d = materialised(composite_scores(rest.unionByName(bear), gate))
     d = d.withColumn("t1_high_risk", F.col("t1_lock_risk") > GAP_LIMIT).withColumn(
         "composite_score", F.when(F.col("t1_high_risk"), F.col("composite_score") + GAP_PENALTY).otherwise(F.col("composite_score"))
     )
@@ -138,7 +138,7 @@ def route(candidates: DataFrame, gate: float = 0.55) -> DataFrame:
     d = top_share_boost(d, ["dt"], "mom5")
     adj = volume_adjust("composite_score", "spike")
     d = d.select(*[x for x in d.columns if x != "composite_score"], adj["vol_boost"].alias("vol_boost"), adj["score_out"].alias("composite_score"))
-    d = checkpointed(d)
+    d = materialised(d)
     best = Window.partitionBy("dt").orderBy(F.desc("composite_score"), "code")
     top = d.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 5).where(F.col("place") <= F.col("top_n"))
     # bear dates without a pool member: the pool's best candidate takes the last seat

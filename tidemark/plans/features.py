@@ -13,7 +13,7 @@ from ..functions.scalar import clip, div0, flag, nz, safe_div
 from ..functions.windows import lag, mean_n, series, std_n
 from ..operators import cross, dependence as dep, flows, indicators as ind, industry as iops, market as mkt
 from ..operators.predicates import board_type, wide_limit
-from ..session import checkpointed
+from ..session import materialised
 
 WARM_UP = 20
 
@@ -121,22 +121,27 @@ def calendar_columns(day: Column) -> dict[str, Column]:
 
 
 def group_stage(d: DataFrame, panel: DataFrame, x: Inputs) -> DataFrame:
-    """Hierarchy excess, industry ecology and ranks, market breadth, beta."""
+    """Hierarchy excess, industry ecology and ranks, market breadth, beta.
+
+    The (code, dt) sides are narrow; industry and date sides are small tables which the
+    planner broadcasts when their size allows.
+    """
     index = mkt.market_index(x.l1)
-    h = iops.hierarchy_features(d.select("code", "dt", "mom20"), x.members, x.l1, x.l2, index).drop("mom20")
-    d = d.join(h, ["code", "dt"], "left").join(x.members.select("code", "l1", "l2"), "code", "left")
+    market = panel.groupBy("dt").agg((F.avg("pct_chg") / 100).alias("mkt_ret"))
+    narrow = d.select("code", "dt", "mom20")
+    h = iops.hierarchy_features(narrow, x.members, x.l1, x.l2, index).drop("mom20")
+    b = dep.beta(panel.select("code", "dt", "pct_chg"), market).drop("pct_chg")
+    d = d.join(h, ["code", "dt"], "left").join(b, ["code", "dt"], "left").join(x.members.select("code", "l1", "l2"), "code", "left")
     board = wide_limit("code")
     for level in ("l1", "l2"):
         lim = iops.limit_moves(panel, x.members, level, board).select(
             "dt", level, *[F.col(c).alias(f"{c}_{level}") for c in ("lt_count", "lt_rate", "dt_count", "lt_to_dt_ratio", "up_pct")]
         )
         day = iops.industry_day(panel, x.members, level).select("dt", level, F.col("ind_rank").alias(f"rank_{level}_in_all"), F.col("ind_chg").alias(f"_chg_{level}"))
-        d = d.join(lim, ["dt", level], "left").join(day, ["dt", level], "left")
+        d = d.join(lim.join(day, ["dt", level]), ["dt", level], "left")
     d = d.withColumn("stock_vs_L1_alpha_daily", nz(F.col("pct_chg") - F.col("_chg_l1"))).drop("_chg_l1", "_chg_l2", "up_pct_l2")
     d = d.withColumns({f"rank_{v}_in_all": nz(f"rank_{v}_in_all", 50.0) for v in ("l1", "l2")})
-    d = d.join(mkt.breadth_features(panel), "dt", "left")
-    market = panel.groupBy("dt").agg((F.avg("pct_chg") / 100).alias("mkt_ret"))
-    return dep.beta(d, market)
+    return d.join(mkt.breadth_features(panel), "dt", "left")
 
 
 RANKS = {
@@ -146,12 +151,6 @@ RANKS = {
 ZSCORES = {"zscore_mom20": "mom20", "zscore_excess_return": "excess_return_l1", "zscore_vol_ratio": "vol_ratio"}
 
 
-def cross_section(d: DataFrame) -> DataFrame:
-    """Percent ranks and z-scores per date; a date on which all are equal keeps rank 0."""
-    d = with_pct_ranks(d, ["dt"], ["dt", "code"], RANKS, constant=0.0)
-    return cross.zscores(d, ["dt"], ZSCORES)
-
-
 # ---- stage 3: external panels and composites -----------------------------------------------
 
 
@@ -202,27 +201,47 @@ def external_stage(d: DataFrame, x: Inputs) -> DataFrame:
     return d.withColumns({k: nz(k) for k in (*MARGIN_COLS, *FLOW_COLS, *VALUE_COLS, *RATIO_COLS) if k in have})
 
 
-def composites(d: DataFrame) -> DataFrame:
-    """Quality, value, momentum quality, crowding and board; all ranks are per date."""
-    src = {
-        "_r_roe": "roe", "_r_gm": "gross_margin", "_r_cfo": "cfo_margin", "_r_fcf": "fcf_margin", "_r_atr": "atr_pct", "_r_mom": "mom20", "_r_amt": "amount_ratio", "_r_v5": "vol_ma5_ratio",
+COMPOSITE_RANKS = {
+    "_r_roe": "roe", "_r_gm": "gross_margin", "_r_cfo": "cfo_margin", "_r_fcf": "fcf_margin", "_r_atr": "atr_pct", "_r_mom": "mom20", "_r_amt": "amount_ratio", "_r_v5": "vol_ma5_ratio",
+}
+
+
+def cross_stage(d: DataFrame) -> DataFrame:
+    """Ranks and z-scores per date and the composite scores made of ranks, as a narrow table.
+
+    All ranks share one stacked pass over the columns they need. A date on which all
+    values are equal keeps rank 0 in the published ranks.
+    """
+    full = {"roe", "fcf_margin"} <= set(d.columns)
+    ranks = {**RANKS, "turnover_std_rank": "turnover_ratio_5d_20d"}
+    sources = {**{f"_p_{k}": v for k, v in ranks.items()}, **(COMPOSITE_RANKS if full else {})}
+    extra = ["pe_industry_percentile", "pb_industry_percentile"] if full else []
+    n = d.select("dt", "code", *dict.fromkeys([*sources.values(), *ZSCORES.values(), *extra]))
+    n = cross.zscores(with_pct_ranks(n, ["dt"], ["dt", "code"], sources, scale=1.0), ["dt"], ZSCORES)
+    flat = {k: F.min(v).alias(f"_lo_{k}") for k, v in RANKS.items()} | {f"{k}_hi": F.max(v).alias(f"_hi_{k}") for k, v in RANKS.items()}
+    n = n.join(n.groupBy("dt").agg(*flat.values()), "dt")
+    n = n.withColumns({k: F.when(F.col(f"_lo_{k}") == F.col(f"_hi_{k}"), 0.0).otherwise(F.col(f"_p_{k}") * 100) for k in RANKS})
+    n = n.withColumn("turnover_std_rank", F.col("_p_turnover_std_rank") * 100)
+    if not full:
+        return n.select("dt", "code", *ranks, *ZSCORES)
+    r = {k: nz(k) for k in COMPOSITE_RANKS}
+    pe, pb = (F.when(F.col(k) > 0, F.col(k)).otherwise(50.0) for k in extra)
+    composite = {
+        "quality_score": r["_r_roe"] * 0.4 + r["_r_gm"] * 0.3 + r["_r_cfo"] * 0.3,
+        "value_score": -pe * 0.5 - pb * 0.3 + r["_r_fcf"] * 100 * 0.2,
+        "momentum_quality": nz("mom20") * (F.lit(1.0) - nz("_r_atr", 0.5)),
+        "composite_crowding": r["_r_mom"] * 0.3 + r["_r_amt"] * 0.4 + (F.lit(1.0) - r["_r_v5"]) * 0.3,
+        "mom20_x_low_vol": nz("mom20") * r["_r_atr"],
+        "growth_score": r["_r_fcf"] * 0.6 + 0.2,
+        "low_vol_anomaly_score": r["_r_mom"] * (F.lit(1.0) - r["_r_atr"]),
     }
-    d = with_pct_ranks(d, ["dt"], ["dt", "code"], src, scale=1.0)
-    r = {k: nz(k) for k in src}
-    pe, pb = (F.when(F.col(k) > 0, F.col(k)).otherwise(50.0) for k in ("pe_industry_percentile", "pb_industry_percentile"))
-    d = d.select(
-        "*", (r["_r_roe"] * 0.4 + r["_r_gm"] * 0.3 + r["_r_cfo"] * 0.3).alias("quality_score"), (-pe * 0.5 - pb * 0.3 + r["_r_fcf"] * 100 * 0.2).alias("value_score"),
-        (nz("mom20") * (F.lit(1.0) - nz("_r_atr", 0.5))).alias("momentum_quality"), (r["_r_mom"] * 0.3 + r["_r_amt"] * 0.4 + (F.lit(1.0) - r["_r_v5"]) * 0.3).alias("composite_crowding"),
-        board_type("code").alias("board_type"), (nz("mom20") * r["_r_atr"]).alias("mom20_x_low_vol"), (r["_r_fcf"] * 0.6 + 0.2).alias("growth_score"), (r["_r_mom"] * (F.lit(1.0) - r["_r_atr"])).alias("low_vol_anomaly_score"),
-    )
-    d = with_pct_rank(d, ["dt"], "value_score", "_r_val", scale=1.0)
-    d = d.withColumn("value_momentum_divergence", nz("_r_val") - r["_r_mom"])
-    return d.drop(*src, "_r_val")
+    n = materialised(n.select("dt", "code", *ranks, *ZSCORES, *[e.alias(k) for k, e in composite.items()], "_r_mom"))
+    n = with_pct_rank(n, ["dt"], "value_score", "_r_val", scale=1.0)
+    return n.withColumn("value_momentum_divergence", nz("_r_val") - nz("_r_mom")).drop("_r_val", "_r_mom")
 
 
 def derived(d: DataFrame) -> DataFrame:
     """Ratios and products on top of the joined matrix."""
-    d = with_pct_rank(d, ["dt"], "turnover_ratio_5d_20d", "turnover_std_rank")
     atr = F.col("atr_pct")
     a60 = mean_n("atr_pct", 60, 60)
     d = d.select(
@@ -263,20 +282,15 @@ NOT_FEATURES = {
 def build(x: Inputs, warm_up: int = WARM_UP, whole_history: bool = False) -> DataFrame:
     """All features per (code, dt) after the warm-up bars; NULLs are kept (fill at the model boundary).
 
-    Two materialised cuts: after the per-instrument windows and after the joins. The
-    rank stages read their input more than once.
+    The bars, the per-instrument windows and the joined matrix are materialised: the rank
+    stage reads a few columns of the matrix several times.
     """
-    panel = x.bars.withColumn("pre_close", lag("close")).withColumn("pct_chg", (F.col("close") / F.col("pre_close") - 1) * 100)
+    panel = materialised(x.bars.withColumn("pre_close", lag("close")).withColumn("pct_chg", (F.col("close") / F.col("pre_close") - 1) * 100))
     d = products(price_stage(panel))
-    d = extended_stage(d).withColumn("_bar", F.row_number().over(series()))
-    d = checkpointed(d)
-    d = group_stage(d, checkpointed(panel), x).withColumns(calendar_columns(F.col("dt")))
-    d = external_stage(d, x)
-    d = checkpointed(d)
-    d = cross_section(d)
-    if {"roe", "fcf_margin"} <= set(d.columns):
-        d = composites(checkpointed(d))
-    d = derived(checkpointed(d))
+    d = materialised(extended_stage(d).withColumn("_bar", F.row_number().over(series())))
+    d = group_stage(d, panel, x).withColumns(calendar_columns(F.col("dt"))).withColumn("board_type", board_type("code"))
+    d = materialised(external_stage(d, x))
+    d = derived(d.join(cross_stage(d), ["dt", "code"], "left"))
     if whole_history:  # looks ahead inside the sample; the default is the expanding form
         d = d.join(dep.history_statistics(x.bars).drop("n"), "code", "left").join(dep.hurst(x.bars), "code", "left")
     else:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import one_if, rd, tiers
 from ..functions.windows import lead
 from ..operators.studies import auc, rank_ic, topn_panel
-from ..session import checkpointed
+from ..session import materialised
 from ..sources.ingest import trading_calendar
 
 # Label borders in percent and the weight of losing samples.
@@ -103,12 +103,12 @@ def fold_ranges(days: DataFrame, train0: int, val: int, step: int, gap: int = 20
 def walk_forward(labelled: DataFrame, columns: Sequence[str], train0: int, val: int, step: int, gap: int = 20, trees: int = 10, depth: int = 4) -> DataFrame:
     """Out-of-sample probabilities of every fold. Fits run fold by fold, each on the cluster;
     the fold table (a row per fold) is the only thing read by the driver."""
-    data = checkpointed(labelled.join(trading_calendar(labelled), "dt"))
+    data = materialised(labelled.join(trading_calendar(labelled), "dt"))
     parts = []
     for f in fold_ranges(data, train0, val, step, gap).collect():
         model = fit_engine(data.where(F.col("date_idx") <= f.train_end), columns, trees, depth)
         rows = data.where(F.col("date_idx").between(f.val_first, f.val_last))
-        parts.append(checkpointed(win_probability(model, rows).select("code", "dt", "fwd_ret", "y_label", "win_prob", *[c for c in ("atr_pct",) if c in rows.columns]).withColumn("fold", F.lit(f.fold))))
+        parts.append(materialised(win_probability(model, rows).select("code", "dt", "fwd_ret", "y_label", "win_prob", *[c for c in ("atr_pct",) if c in rows.columns]).withColumn("fold", F.lit(f.fold))))
     return reduce(DataFrame.unionByName, parts)
 
 
