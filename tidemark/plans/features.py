@@ -41,22 +41,20 @@ class Inputs:
 # ---- stage 1: windows over one instrument ---------------------------------------------------
 
 
-def price_stage(panel: DataFrame) -> DataFrame:
+def trend_stage(panel: DataFrame) -> DataFrame:
     d = ind.daily_return(ind.momenta(panel))
     d = ind.ma_order(ind.moving_averages(d))
     d = ind.volume_family(d)
-    d = ind.atr_sma(d)
-    d = ind.bar_shape(d)
+    d = ind.bar_shape(ind.atr_sma(d))
+    return ind.streaks(ind.candles(d))
+
+
+def pattern_stage(d: DataFrame) -> DataFrame:
     d = ind.return_stats(d)
-    d = ind.bollinger(d)
-    d = ind.vwap(d)
+    d = ind.vwap(ind.bollinger(d))
     d = ind.liquidity(d)
     d = d.select("*", ind.max_drawdown_n().alias("max_drawdown_20d"), ind.price_position(20).alias("price_position_20d"), ind.price_position(60).alias("price_position_60d"))
-    d = ind.streaks(d)
-    d = ind.decayed_return(d)
-    d = ind.yang_zhang(d)
-    d = ind.rsi_ewm14(d)
-    return ind.candles(d)
+    return ind.rsi_ewm14(ind.yang_zhang(ind.decayed_return(d)))
 
 
 def products(d: DataFrame) -> DataFrame:
@@ -286,7 +284,8 @@ def build(x: Inputs, warm_up: int = WARM_UP, whole_history: bool = False) -> Dat
     stage reads a few columns of the matrix several times.
     """
     panel = materialised(x.bars.withColumn("pre_close", lag("close")).withColumn("pct_chg", (F.col("close") / F.col("pre_close") - 1) * 100))
-    d = products(price_stage(panel))
+    d = materialised(trend_stage(panel))
+    d = materialised(products(pattern_stage(d)))
     d = materialised(extended_stage(d).withColumn("_bar", F.row_number().over(series())))
     d = group_stage(d, panel, x).withColumns(calendar_columns(F.col("dt"))).withColumn("board_type", board_type("code"))
     d = materialised(external_stage(d, x))
