@@ -46,7 +46,7 @@ def recovery_confidence(spark, base):
     return d.select("code", "dt", rd("rsi").alias("rsi"), rd("drawdown").alias("drawdown"), "n_events", "confidence", "verdict", "adjusted_days")
 
 
-cte("mgx", f"""SELECT *, count(*) FILTER (c1 < -0.5) OVER (PARTITION BY code ORDER BY dt ROWS 2 PRECEDING) >= 3 AS rn, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS k FROM (SELECT code, dt, (rzye - lag(rzye) {W}) / nullif(abs(lag(rzye) {W}), 0) * 100 AS c1, (rzye - lag(rzye, 3) {W}) / nullif(abs(lag(rzye, 3) {W}), 0) * 100 AS c3 FROM margin)""")
+cte("mgx", f"""SELECT *, count(*) FILTER (c1 < -0.5) OVER (PARTITION BY code ORDER BY dt ROWS 2 PRECEDING) >= 3 AS rn, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS k FROM (SELECT code, dt, round((rzye - lag(rzye) {W}) / nullif(abs(lag(rzye) {W}), 0) * 100, 9) AS c1, round((rzye - lag(rzye, 3) {W}) / nullif(abs(lag(rzye, 3) {W}), 0) * 100, 9) AS c3 FROM margin)""")
 
 
 @query(with_ctes(f"SELECT n.code, n.dt, {r('n.c3', 3)} AS chg_3d, {r('coalesce(s.p, 50)', 3)} AS percentile, coalesce(s.p <= 10, false) OR n.rn AS detected FROM (SELECT * FROM mgx WHERE k = 1) n LEFT JOIN (SELECT a.code, count(*) FILTER (a.c3 <= b.c3) * 100.0::DOUBLE / count(*) AS p FROM mgx a JOIN mgx b ON a.code = b.code AND b.k = 1 WHERE a.c3 IS NOT NULL GROUP BY a.code) s USING (code)"))

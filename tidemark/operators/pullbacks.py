@@ -93,7 +93,8 @@ def recovery_confidence(bars: DataFrame, events: DataFrame, margin: DataFrame |
 
 def margin_extreme(margin: DataFrame, percentile: float = 10.0, drop: float = -0.5, days: int = 3) -> DataFrame:
     """Newest 3-day balance change in its own low tail, or a run of falling days, per code."""
-    chg = lambda k: div0(F.col("rzye") - lag("rzye", k), F.abs(lag("rzye", k))) * 100
+    # rounded: the newest value is compared with its own history
+    chg = lambda k: F.round(div0(F.col("rzye") - lag("rzye", k), F.abs(lag("rzye", k))) * 100, 9)
     d = margin.select("code", "dt", chg(1).alias("c1"), chg(3).alias("c3"))
     run = F.sum(one_if(F.col("c1") < drop)).over(series().rowsBetween(-(days - 1), 0)) >= days
     d = d.withColumn("_run", run)
