@@ -101,6 +101,22 @@ def extended_stage(d: DataFrame) -> DataFrame:
     return d.withColumn("volume_shock_indicator", div0("vol", "vma20"))
 
 
+def window_stage(panel: DataFrame) -> DataFrame:
+    """All per-instrument windows, as three blocks over narrow rows joined on (code, dt).
+
+    A window copies every column of its input row, so the blocks start from the bars (plus
+    the few columns they read) instead of one ever wider chain.
+    """
+    keys, raw = ["code", "dt"], panel.columns
+    trend = materialised(trend_stage(panel))
+    pattern = pattern_stage(ind.daily_return(panel))
+    pattern = materialised(pattern.select(*keys, *[c for c in pattern.columns if c not in {*raw, "ret"}]))
+    reads = [*raw, *[f"mom{n}" for n in ind.MOMENTUM_STEPS], "vma20"]
+    ext = extended_stage(trend.select(*reads)).withColumn("_bar", F.row_number().over(series()))
+    ext = materialised(ext.select(*keys, *[c for c in ext.columns if c not in reads]))
+    return products(trend.join(pattern, keys).join(ext, keys))
+
+
 def calendar_columns(day: Column) -> dict[str, Column]:
     """Weekday code, start/end of month, ISO week, earnings months, year end, tax-loss window."""
     wd = F.weekday(day)
@@ -284,9 +300,7 @@ def build(x: Inputs, warm_up: int = WARM_UP, whole_history: bool = False) -> Dat
     stage reads a few columns of the matrix several times.
     """
     panel = materialised(x.bars.withColumn("pre_close", lag("close")).withColumn("pct_chg", (F.col("close") / F.col("pre_close") - 1) * 100))
-    d = materialised(trend_stage(panel))
-    d = materialised(products(pattern_stage(d)))
-    d = materialised(extended_stage(d).withColumn("_bar", F.row_number().over(series())))
+    d = window_stage(panel)
     d = group_stage(d, panel, x).withColumns(calendar_columns(F.col("dt"))).withColumn("board_type", board_type("code"))
     d = materialised(external_stage(d, x))
     d = derived(d.join(cross_stage(d), ["dt", "code"], "left"))
