@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,22 +33,43 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
     return builder.getOrCreate()
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where
-    that setting is absent (single-machine tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. A session on one machine
+    that lacks the setting gets a temporary folder of its own; a cluster session without it
+    is an error, since executors could not read a folder of the driver."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-")
+    return _OWN_FOLDERS[app]
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a Parquet table in the shared folder.
 
     Lost executors read it again instead of recomputing, and later stages read only the
-    columns they use.
+    columns they use. ``discard`` removes the table once nothing reads it any more.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._table_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialised`` that no later job reads."""
+    for df in tables:
+        path = getattr(df, "_table_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
