@@ -59,7 +59,7 @@ def materialised(df: DataFrame) -> DataFrame:
     columns they use. ``discard`` removes the table once nothing reads it any more.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._table_path = path
     return table
