@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from ..session import materialised
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: A block also ends at so many documents, for tables of very short texts.
-BLOCK_DOCS = 8192
+BLOCK_DOCS = 16_384
+SLICE = 512
 NAMES = ["block", "docs", "terms", "weights", "indptr", "at", "freq"]
 
 
@@ -30,7 +31,6 @@ def encode(
     tokenise: Callable[[pa.Array], pa.ListArray],
     weight: Column | None = None,
     term_type: str = "string",
-    block_docs: int = BLOCK_DOCS,
 ) -> DataFrame:
     """One row per block of documents (doc_id, text), as a table in the shared folder.
 
@@ -48,47 +48,66 @@ def encode(
             start = 0
             for i, s in enumerate(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)):
                 size, count = size + int(s), count + 1
-                if size >= BLOCK_BYTES or count >= block_docs:
-                    yield _block([*waiting, b.slice(start, i + 1 - start)], f"{task}-{number}", tokenise)
+                if size >= BLOCK_BYTES or count >= BLOCK_DOCS:
+                    yield _block([*waiting, b.slice(start, i + 1 - start)], (task << 24) + number, tokenise)
                     waiting, size, count, start, number = [], 0, 0, i + 1, number + 1
             if start < b.num_rows:
                 waiting.append(b.slice(start))
         if waiting:
-            yield _block(waiting, f"{task}-{number}", tokenise)
+            yield _block(waiting, (task << 24) + number, tokenise)
 
     weight = F.lit(1) if weight is None else weight
     text = F.col("text") if docs.schema["text"].dataType.typeName() == "binary" else F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), weight.cast("long").alias("weight"))
-    schema = f"block string, docs binary, terms array<{term_type}>, weights array<long>, indptr binary, at binary, freq binary"
+    schema = f"block long, docs binary, terms array<{term_type}>, weights array<long>, indptr binary, at binary, freq binary"
     return materialised(rows.mapInArrow(run, schema))
 
 
-def _whole(values: pa.Array) -> pa.Array:
+def planes(x: np.ndarray) -> bytes:
+    """32-bit integers, first all lowest bytes, then all second ones: compresses well if small."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def whole(values: pa.Array) -> pa.Array:
     """All values as the one list of a one-row column."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _block(parts: list[pa.RecordBatch], name: str, tokenise) -> pa.RecordBatch:
+def _block(parts: list[pa.RecordBatch], name: int, tokenise) -> pa.RecordBatch:
     rows = pa.Table.from_batches(parts).combine_chunks()
     text, weight = (rows.column(c).combine_chunks() for c in ("text", "weight"))
-    lists = tokenise(text)
-    coded = lists.flatten().dictionary_encode()
-    terms = coded.dictionary
-    lengths = np.diff(lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64))
-    v = max(len(terms), 1)
-    doc = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    pairs, freq = np.unique(doc * v + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-    of, at = np.divmod(pairs, v)
-    each = weight.fill_null(0).to_numpy(zero_copy_only=False)
+    chunks, freqs, sizes = [], [], []
+    for i in range(0, len(text), SLICE):  # few texts at once as single tokens
+        lists = tokenise(text.slice(i, SLICE))
+        coded = lists.flatten().dictionary_encode()
+        lengths = np.diff(lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64))
+        v = max(len(coded.dictionary), 1)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+        pairs, freq = np.unique(doc * v + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        of, at = np.divmod(pairs, v)
+        chunks.append(pa.DictionaryArray.from_arrays(pa.array(at.astype(np.int32)), coded.dictionary))
+        freqs.append(freq.astype(np.int32))
+        sizes.append(np.bincount(of, minlength=len(lengths)))
+    coded = pa.chunked_array(chunks).unify_dictionaries()
+    terms, freq = coded.chunk(0).dictionary, np.concatenate(freqs)
+    at = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
+    del chunks, coded
+    size = np.concatenate(sizes)
     weights = np.zeros(len(terms), np.int64)
-    np.add.at(weights, at, each[of] * freq)
-    indptr = np.searchsorted(of, np.arange(len(lengths) + 1)).astype("<i8")
+    np.add.at(weights, at, np.repeat(weight.fill_null(0).to_numpy(zero_copy_only=False), size) * freq)
+    indptr = np.concatenate([[0], np.cumsum(size)]).astype("<i8")
     sink = pa.BufferOutputStream()
     kept = pa.table({"doc_id": rows.column("doc_id"), "weight": weight, "n_bytes": pc.cast(pc.binary_length(text), pa.int64())})
     with pa.ipc.new_stream(sink, kept.schema) as out:
         out.write_table(kept)
-    raw = [pa.array([x.tobytes()], pa.binary()) for x in (indptr, at.astype("<i4"), freq.astype("<i4"))]
-    columns = [pa.array([name]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), _whole(terms), _whole(pa.array(weights)), *raw]
+    # Terms are numbered in order of appearance, so the steps from one to the next are small.
+    raw = [pa.array([x], pa.binary()) for x in (indptr.tobytes(), planes(np.diff(at, prepend=0)), planes(freq))]
+    columns = [pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), whole(terms), whole(pa.array(weights)), *raw]
+    pa.default_memory_pool().release_unused()  # workers are kept, what they once needed should not be
     return pa.RecordBatch.from_arrays(columns, names=NAMES)
 
 
@@ -102,26 +121,27 @@ def per_document(blocks: DataFrame, values: DataFrame, finish: Callable[..., dic
     """Bring (block, pos, value columns) back to their blocks and return rows per document.
 
     ``finish(take, weight, n_bytes, n_terms)`` returns the columns of ``schema``, which follow
-    doc_id; ``take(column)`` is the sum of frequency times value over each document's terms.
+    doc_id; ``take(column, f)`` is the sum of frequency times f(value) over each document's terms.
     """
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = {c: left.column(c)[0].as_py() for c in ("docs", "indptr", "at", "freq")}
         docs = pa.ipc.open_stream(row["docs"]).read_all()
-        indptr, at, freq = np.frombuffer(row["indptr"], "<i8"), np.frombuffer(row["at"], "<i4"), np.frombuffer(row["freq"], "<i4")
+        indptr, at, freq = np.frombuffer(row["indptr"], "<i8"), np.cumsum(from_planes(row["at"])), from_planes(row["freq"])
         of = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
 
         def sums(x: np.ndarray) -> np.ndarray:
             return np.bincount(of, x, minlength=len(indptr) - 1)
 
-        def take(column: str) -> np.ndarray:
+        def take(column: str, f=lambda x: x) -> np.ndarray:
             value = np.zeros(int(at.max()) + 1 if len(at) else 1)
             if right.num_rows:
-                value[right.column("pos").to_numpy()] = right.column(column).to_numpy()
+                value[right.column("pos").to_numpy()] = f(right.column(column).to_numpy())
             return sums(value[at] * freq)
 
         weight = docs.column("weight").combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+        pa.default_memory_pool().release_unused()
         out = finish(take, weight, docs.column("n_bytes").to_numpy(), sums(freq).astype(np.int64))
         return pa.table({"doc_id": docs.column("doc_id")} | {n: pa.array(out[n]) for n in names})
 

@@ -7,7 +7,7 @@ before. Every node of the context tree estimates a decision by Krichevsky-Trofim
 mixes that with what the deeper nodes say, in the proportion in which either predicted the
 training texts: P_w = (P_kt + P_w of the children) / 2. The counts come from all training texts.
 
-A token's code length splits in two: its first depth - 1 bytes depend on the tail of the word
+A token's code length splits in two: its first ``HEAD`` bytes depend on the tail of the word
 before (a "head"), the others on the word alone. Either is computed once however often it occurs.
 """
 
@@ -21,21 +21,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialised
+from ..session import materialised
 from . import blocks
 from .common import remainder
 
 DEPTH = 6
 TAIL = 2
+HEAD = 3
 END = b"\n"
 TOP = 2  # contexts of up to so many bytes lie above the subtrees
-TERMS_IN_BLOCK = 200_000
+#: Terms are scored in blocks of about so many (term, block of documents) pairs.
+TERM_REFS = 250_000
 
 
-def tokens(texts: pa.Array, depth: int = DEPTH) -> pa.ListArray:
+def tokens(texts: pa.Array) -> pa.ListArray:
     """Words and heads of A-Z lower-cased texts, cut at the six ASCII white-space characters.
 
-    A head is a space, the tail of the word before, a space, and the first depth - 1 bytes of the
+    A head is a space, the tail of the word before, a space, and the first HEAD bytes of the
     word and its closing space (of the end: a newline). Words never hold a space.
     """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -50,7 +52,7 @@ def tokens(texts: pa.Array, depth: int = DEPTH) -> pa.ListArray:
     before = np.arange(n) - 1
     before = pa.array(before, mask=first[:n] if n else None)
     space, none = pa.scalar(b" "), pa.scalar(b"")
-    start = pc.binary_slice(pc.binary_join_element_wise(words, space, none), 0, depth - 1)
+    start = pc.binary_slice(pc.binary_join_element_wise(words, space, none), 0, HEAD)
     heads = pc.binary_join_element_wise(space, pc.fill_null(tails.take(before), b""), space, start, none)
     last = tails.take(pa.array(ends[1:] - 1, mask=sizes == 0))
     closing = pc.binary_join_element_wise(space, pc.fill_null(last, b""), pa.scalar(b" " + END), none)
@@ -62,11 +64,11 @@ def tokens(texts: pa.Array, depth: int = DEPTH) -> pa.ListArray:
 
 def grams(terms: pa.Array, depth: int = DEPTH) -> pa.ListArray:
     """Context * 256 + byte, the nearest byte lowest, of the bytes that a term stands for: all of
-    a head's after its second space, a word's (closing space included) from byte depth - 1 on."""
+    a head's after its second space, a word's (closing space included) from byte HEAD on."""
     raw, skip = [], []
     for t in terms.to_pylist():
         raw.append(t[1:] if t[0] == 32 else b" " + t + b" ")
-        skip.append(t.index(b" ", 1) if t[0] == 32 else depth)
+        skip.append(t.index(b" ", 1) if t[0] == 32 else 1 + HEAD)
     sizes = np.array([len(r) for r in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
     at = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -170,20 +172,81 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return dealt.mapInArrow(scores, "gram long, lp double")
 
 
-def term_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(term, lp) for (term, count) rows: log10 probability of the bytes each term stands for.
-
-    Terms of count 0 are scored but not learned from."""
-    rows = counts.select(F.col("term").alias("doc_id"), F.col("term").alias("text"), "count")
-    made = blocks.encode(rows, lambda a: grams(a, depth), F.col("count"), "long", TERMS_IN_BLOCK)
-    each = blocks.terms(made)
-    summed = materialised(each.groupBy(F.col("term").alias("gram")).agg(F.sum("weight").alias("count")))
-    values = each.join(gram_scores(summed, depth), each.term == F.col("gram")).select("block", "pos", "lp")
-
-    def finish(take, weight, n_bytes, n_terms):
-        return {"lp": take("lp")}
-
-    return blocks.per_document(made, values, finish, "binary", "lp double").withColumnRenamed("doc_id", "term")
+def term_blocks(each: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Distinct terms in blocks, from (block, pos, term, weight) rows, as a table.
+
+    All rows of a term meet in one task and in one block: their weights are summed, and the block
+    keeps where each came from. Its distinct grams are listed once with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, number, waiting, size = TaskContext.get().partitionId(), 0, [], 0
+        for b in batches:
+            waiting.append(b)
+            size += b.num_rows
+            if size >= TERM_REFS:
+                rows = pa.Table.from_batches(waiting).combine_chunks()
+                term = rows.column("term").combine_chunks()
+                other = pc.not_equal(term, term[-1]).to_numpy(zero_copy_only=False)
+                cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0  # the last term may go on
+                if cut:
+                    yield _term_block(rows.slice(0, cut), (task << 24) + number, depth)
+                    rest = rows.slice(cut).combine_chunks()
+                    waiting, size, number = rest.to_batches(), rest.num_rows, number + 1
+        if size:
+            yield _term_block(pa.Table.from_batches(waiting).combine_chunks(), (task << 24) + number, depth)
+
+    schema = "tb long, terms array<long>, weights array<long>, at binary, owner binary, count binary, term binary, block binary, pos binary, n long, v long"
+    return materialised(each.repartition("term").sortWithinPartitions("term").mapInArrow(run, schema))
+
+
+def _term_block(rows: pa.Table, name: int, depth: int) -> pa.RecordBatch:
+    coded = rows.column("term").combine_chunks().dictionary_encode()
+    term, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    count = np.zeros(len(distinct), np.int64)
+    np.add.at(count, term, rows.column("weight").to_numpy())
+    lists = grams(distinct, depth)
+    sizes = np.diff(lists.offsets.to_numpy())
+    gram, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    owner = np.repeat(np.arange(len(distinct)), sizes)
+    weights = np.zeros(len(gram), np.int64)
+    np.add.at(weights, at, count[owner])
+    word = pc.not_equal(pc.binary_slice(distinct, 0, 1), b" ").to_numpy(zero_copy_only=False)
+    known = word & (count > 0)
+    raw = [
+        blocks.planes(at), blocks.planes(np.diff(owner, prepend=0)), np.where(word, count, -1).astype("<i8").tobytes(),
+        blocks.planes(np.diff(term, prepend=0)), rows.column("block").to_numpy().astype("<i8").tobytes(), blocks.planes(rows.column("pos").to_numpy()),
+    ]
+    columns = [pa.array([name]), blocks.whole(pa.array(gram)), blocks.whole(pa.array(weights))]
+    columns += [pa.array([x], pa.binary()) for x in raw] + [pa.array([int(count[known].sum())]), pa.array([int(known.sum())])]
+    names = ["tb", "terms", "weights", "at", "owner", "count", "term", "block", "pos", "n", "v"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def term_scores(made: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(block, pos, count, lp): for each place a term came from its training count (-1: a head) and
+    the log10 probability of the bytes it stands for. Terms of count 0 were not learned from."""
+    each = blocks.terms(made.withColumnRenamed("block", "b").withColumnRenamed("tb", "block").select("block", "terms", "weights"))
+    each = each.withColumnsRenamed({"block": "tb", "term": "gram"})
+    counts = materialised(each.groupBy("gram").agg(F.sum("weight").alias("count")))
+    values = each.join(gram_scores(counts, depth), "gram").select(F.col("tb").alias("tb"), F.col("pos").alias("p"), "lp")
+
+    def run(key, left, right):
+        row = {c: left.column(c)[0].as_py() for c in ("at", "owner", "count", "term", "block", "pos")}
+        at, owner = blocks.from_planes(row["at"]), np.cumsum(blocks.from_planes(row["owner"]))
+        count, term = np.frombuffer(row["count"], "<i8"), np.cumsum(blocks.from_planes(row["term"]))
+        lp = np.zeros(int(at.max()) + 1 if len(at) else 1)
+        if right.num_rows:
+            lp[right.column("p").to_numpy()] = right.column("lp").to_numpy()
+        total = np.bincount(owner, lp[at], len(count))
+        pa.default_memory_pool().release_unused()
+        return pa.table({
+            "block": np.frombuffer(row["block"], "<i8"), "pos": blocks.from_planes(row["pos"]), "count": count[term], "lp": total[term].astype(np.float32)
+        })
+
+    kept = made.select("tb", "at", "owner", "count", "term", "block", "pos")
+    return kept.groupBy("tb").cogroup(values.groupBy("tb")).applyInArrow(run, "block long, pos int, count long, lp float")
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH) -> DataFrame:
@@ -198,33 +261,26 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH)
     """
     docs = docs.select("doc_id", "text")
     learn = remainder(F.col("doc_id"), modulus) != held
-    made = blocks.encode(docs, lambda a: tokens(a, depth), learn, "binary")
-    each = blocks.terms(made)
-    word = F.substring("term", 1, 1) != F.lit(b" ")
-    counts = materialised(each.groupBy("term").agg(F.sum("weight").alias("count")))
-    n, v = counts.where(word).agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
-    ends = docs.agg(F.coalesce(F.sum(learn.cast("long")), F.lit(0))).first()[0]
+    made = blocks.encode(docs, tokens, learn, "binary")
+    distinct = term_blocks(blocks.terms(made), depth)
+    zero = F.lit(0)
+    n, v = distinct.agg(F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("v"), zero)).first()
+    ends = docs.agg(F.coalesce(F.sum(learn.cast("long")), zero)).first()[0]
     n, v = n + ends, v + (ends > 0)
     bottom = float(np.log10(n + v + 1))
-    known = F.when(word & (F.col("count") > 0), 1.0).otherwise(0.0)
-    base = F.when(word, F.log10(F.col("count") + 1) - bottom).otherwise(0.0)
-    scored = materialised(counts.join(term_scores(counts, depth), "term").select("term", known.alias("known"), base.alias("base"), "lp"))
-    values = each.select("block", "pos", "term").join(scored, "term").drop("term")
-    end_known, end_base = int(ends > 0), float(np.log10(ends + 1)) - bottom
 
     def finish(take, weight, n_bytes, n_terms):
         total = take("lp")
         return {
             "held_out": weight == 0,
             "n_tokens": (n_terms + 1) // 2,
-            "n_known": take("known").astype(np.int64) + end_known,
+            "n_known": take("count", lambda c: c > 0).astype(np.int64) + int(ends > 0),
             "train_tokens": np.full(len(weight), n, np.int64),
-            "base_score": take("base") + end_base,
+            "base_score": take("count", lambda c: np.where(c < 0, 0, np.log10(np.maximum(c, 0) + 1) - bottom)) + float(np.log10(ends + 1)) - bottom,
             "score": total,
             "bits_per_byte": np.where(n_bytes > 0, -total / np.log10(2) / np.maximum(n_bytes, 1), np.nan),
         }
 
     schema = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    out = blocks.per_document(made, values, finish, docs.schema["doc_id"].dataType.simpleString(), schema)
-    discard(counts)
+    out = blocks.per_document(made, term_scores(distinct, depth), finish, docs.schema["doc_id"].dataType.simpleString(), schema)
     return out.withColumn("bits_per_byte", F.nanvl("bits_per_byte", F.lit(None).cast("double")))

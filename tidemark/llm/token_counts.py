@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -25,6 +26,11 @@ class PreTokenizer:
     for one id each.
     """
 
+    @classmethod
+    @cache
+    def of(cls, path: str) -> PreTokenizer:
+        return cls(path)
+
     def __init__(self, path: str):
         with open(path) as f:
             spec = json.load(f)
@@ -67,7 +73,7 @@ def piece_counts(terms: DataFrame, path: str) -> DataFrame:
             pieces = pa.array([known[w] for w in words], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("pos"), pieces], names=["block", "pos", "pieces"])
 
-    return terms.select("block", "pos", "term").repartition("term").mapInArrow(run, "block string, pos int, pieces int")
+    return terms.select("block", "pos", "term").repartition("term").mapInArrow(run, "block long, pos int, pieces int")
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -79,7 +85,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
 
     def tokenise(texts: pa.Array) -> pa.ListArray:
-        cut = PreTokenizer(path)
+        cut = PreTokenizer.of(path)
         return pa.array([cut(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     def finish(take, weight, n_bytes, n_terms):
