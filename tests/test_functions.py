@@ -112,3 +112,20 @@ def test_partition_count_does_not_matter(spark, make_bars, noisy):
     a = ind.rsi_wilder(d.repartition(1)).orderBy("code", "dt").toPandas()
     b = ind.rsi_wilder(d.repartition(7)).orderBy("code", "dt").toPandas()
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_ewm_interior_nulls_and_any_rate(spark, make_bars):
+    gaps = F.when(~F.dayofyear("dt").isin(1, 4, 5, 31), F.col("close"))
+    d = make_bars({"A": [float(10 + (7 * i) % 13) for i in range(60)]}).withColumn("x", gaps)
+    spans = {"s1": 1, "s3": 3, "s62": 62, "s500": 500}
+    out = with_ewm(d, {k: ("x", span_rate(n)) for k, n in spans.items()}).toPandas().sort_values("dt")
+    for k, n in spans.items():
+        np.testing.assert_allclose(out[k], out["x"].ewm(span=n, adjust=False, ignore_na=True).mean(), rtol=1e-9)
+
+
+def test_ranks_ignore_nan(spark):
+    d = spark.createDataFrame([("g", float(x)) for x in (1, 2, float("nan"), 5)], "g string, v double")
+    from tidemark.functions.ranks import tie_table
+
+    got = {r.x: (r.n_below, r.n_group) for r in tie_table(d, ["g"], "v").collect()}
+    assert got == {1.0: (0, 3), 2.0: (1, 3), 5.0: (2, 3)}

@@ -170,3 +170,26 @@ def test_model_versions_are_found_by_date(spark, tmp_path):
     assert md.is_stale(spark, root, "momentum", "2020-03-01") and not md.is_stale(spark, root, "momentum", "2020-02-01")
     p = md.win_probability(model, d).toPandas()
     assert p[p.x > 1]["win_prob"].mean() > p[p.x < -1]["win_prob"].mean()
+
+
+def test_no_training_label_ends_in_validation(spark):
+    import datetime as dt
+
+    from tidemark.plans.models import fold_ranges, training_rows, with_label_end
+
+    day = dt.date(2020, 1, 1)
+    rows = [("dense", day + dt.timedelta(days=i), 1) for i in range(120)] + [("sparse", day + dt.timedelta(days=5 * i), 1) for i in range(24)]
+    labelled = spark.createDataFrame(rows, "code string, dt date, y_label int")
+    data = with_label_end(labelled, 5).cache()
+    folds = fold_ranges(labelled, 60, 20, 10, 5).collect()
+    assert folds and not fold_ranges(labelled, 100, 20, 10, 5).collect()
+    for f in folds:
+        train = training_rows(data, f.train_end, f.val_first)
+        assert train.where(F.col("end_idx") >= f.val_first).count() == 0 and train.where("code = 'sparse'").count() > 0
+
+
+def test_keyword_filter_takes_words_literally(spark):
+    from tidemark.operators.predicates import without_keywords
+
+    d = spark.createDataFrame([("a*b",), ("aab",), (None,), ("(x",)], "name string")
+    assert {r.name for r in without_keywords(d, "name", ["*", "("]).collect()} == {"aab", None}

@@ -33,7 +33,7 @@ def pattern_statistics(spark, base):
     return d.select("code", "n_events", "recovered_count", rd("recovery_rate").alias("recovery_rate"), rd("mean_recovery_days").alias("mean_recovery_days"), "best_case_days", "worst_case_days")
 
 
-@query(with_ctes(f"SELECT CAST(day AS INTEGER) AS day, {r('count(*) FILTER (rec <= day) * 100.0 / count(*)')} AS win_rate FROM (SELECT rec FROM pbev WHERE rec >= 0) JOIN (SELECT unnest(range(1, 1 + (SELECT least(max(rec), 120) FROM pbev))) AS day) ON true GROUP BY day", recursive=True))
+@query(with_ctes(f"SELECT CAST(day AS INTEGER) AS day, {r('count(*) FILTER (rec <= day) * 100.0 / count(*)')} AS win_rate FROM (SELECT rec FROM pbev WHERE rec >= 0) JOIN (SELECT unnest(range(1, 1 + (SELECT max(rec) FROM pbev))) AS day) ON true GROUP BY day", recursive=True))
 def recovery_curve(spark, base):
     d = st.recovery_curve(pb.pullback_events(src.l1_bars(spark, base)))
     return d.select("day", rd("win_rate").alias("win_rate"))

@@ -172,7 +172,14 @@ def industry_decay_proxy(spark, base):
 @query(with_ctes(f"""SELECT industry, week, {r('avg(low_wp_pct)')} AS low_wp_pct, sum(n_trades)::BIGINT AS n_trades FROM (SELECT *, CAST(date_trunc('week', dt) AS DATE) AS week FROM proxy)
   WHERE week IN (SELECT DISTINCT CAST(date_trunc('week', dt) AS DATE) AS w FROM proxy ORDER BY w DESC LIMIT 8) GROUP BY industry, week"""))
 def decay_heatmap(spark, base):
-    d = st.weekly_heatmap(st.decay_proxy(trades(spark, base), l1_industry(spark, base)))
+    d = st.weekly_heatmap(st.decay_proxy(trades(spark, base), l1_industry(spark, base)), weeks=8)
+    return d.select("industry", "week", rd("low_wp_pct").alias("low_wp_pct"), "n_trades")
+
+
+@query(with_ctes(f"""SELECT industry, week, {r('avg(low_wp_pct)')} AS low_wp_pct, sum(n_trades)::BIGINT AS n_trades FROM (SELECT *, CAST(date_trunc('week', dt) AS DATE) AS week FROM proxy)
+  WHERE industry IN (SELECT industry FROM proxy GROUP BY industry ORDER BY round(avg(low_wp_pct), 9) DESC, industry LIMIT 3) GROUP BY industry, week"""))
+def decay_heatmap_top(spark, base):
+    d = st.weekly_heatmap(st.decay_proxy(trades(spark, base), l1_industry(spark, base)), top=3)
     return d.select("industry", "week", rd("low_wp_pct").alias("low_wp_pct"), "n_trades")
 
 

@@ -1,21 +1,23 @@
 """Exponential smoothing (``adjust=False``) as window sums, without Python workers.
 
-y_t = (1-a) y_{t-1} + a x_t has the closed form
-y_t = (1-a)^j * sum_i w_i x_i (1-a)^-i inside a block of rows, plus the block's
-incoming value times (1-a)^(j+1). Blocks of 1,024 rows keep the powers inside the
-double range; what is carried over two block borders weighs less than double precision
-for the accepted rates.
+y_t = (1-a) y_{t-1} + a x_t over the values of a key that are not NULL; a NULL row takes the
+value before it and costs no decay. The recursion has the closed form
+y_t = (1-a)^j * sum_i w_i x_i (1-a)^-i inside a block of values, plus the block's
+incoming value times (1-a)^(j+1). Block lengths follow from the rate: short enough to keep the
+powers inside the double range, long enough that what is carried over two borders
+weighs less than double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from math import ceil, floor, log
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
-MIN_RATE, MAX_RATE = 0.032, 0.45
+# (1-a)^-length may reach e^MOST and must reach e^LEAST.
+LEAST, MOST = 40.0, 650.0
 
 
 def span_rate(span: int) -> float:
@@ -26,32 +28,48 @@ def wilder_rate(n: int) -> float:
     return 1.0 / n
 
 
+def block_lengths(rates: Mapping[str, float]) -> dict[str, int]:
+    """A block length per output: one for all if the rates allow it, so that they share a sort."""
+    decay = {k: -log(1.0 - a) for k, a in rates.items() if a < 1}
+    if decay:
+        common = floor(MOST / max(decay.values()))
+        if common * min(decay.values()) >= LEAST:
+            decay = dict.fromkeys(decay, MOST / common if common else MOST)
+    return {k: ceil(MOST / decay[k] - 1e-9) if k in decay else 1 for k in rates}
+
+
 def with_ewm(
     df: DataFrame, specs: Mapping[str, tuple[str, float]], key: str = "code", order: str = "dt"
 ) -> DataFrame:
-    """Add one smoothed column per ``out: (input, rate)``; leading NULLs are skipped,
-    the first value seeds the recursion."""
+    """Add one smoothed column per ``out: (input, rate)``, 0 < rate <= 1; the first value that is
+    not NULL seeds the recursion, rows before it are NULL."""
     for out, (_, a) in specs.items():
-        if not MIN_RATE <= a <= MAX_RATE:
-            raise ValueError(f"smoothing rate of {out} outside [{MIN_RATE}, {MAX_RATE}]: {a}")
+        if not 0 < a <= 1:
+            raise ValueError(f"smoothing rate of {out} outside (0, 1]: {a}")
     kept = [k for k in df.columns if k not in specs]
     w = Window.partitionBy(key).orderBy(order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    run, past = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    lengths = block_lengths({out: a for out, (_, a) in specs.items()})
     inputs = dict.fromkeys(x for x, _ in specs.values())
-    d = df.select("*", (F.row_number().over(w) - 1).alias("_i"), *[F.count(F.col(x)).over(run).alias(f"_c_{x}") for x in inputs])
-    d = d.withColumn("_blk", F.floor(F.col("_i") / BLOCK)).withColumn("_j", F.col("_i") - F.col("_blk") * BLOCK)
-    in_block = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = df.select("*", *[F.count(F.col(x)).over(run).alias(f"_c_{x}") for x in inputs])
+    places = dict.fromkeys((x, lengths[out]) for out, (x, _) in specs.items())
+    d = d.select("*", *[F.floor((F.col(f"_c_{x}") - 1) / n).alias(f"_b_{x}_{n}") for x, n in places])
+    d = d.select("*", *[(F.col(f"_c_{x}") - 1 - F.col(f"_b_{x}_{n}") * n).alias(f"_j_{x}_{n}") for x, n in places])
     locals_ = []
     for out, (x, a) in specs.items():
-        seed = F.col(f"_c_{x}") == 1
-        weight = F.when(seed, F.lit(1.0)).otherwise(F.lit(a))
-        term = F.coalesce(F.col(x), F.lit(0.0)) * weight * F.pow(F.lit(1.0 - a), -F.col("_j"))
-        locals_.append((F.sum(term).over(in_block) * F.pow(F.lit(1.0 - a), F.col("_j"))).alias(f"_l_{out}"))
+        n = lengths[out]
+        in_block = Window.partitionBy(key, f"_b_{x}_{n}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        j = F.col(f"_j_{x}_{n}")
+        weight = F.when(F.col(f"_c_{x}") == 1, F.lit(1.0)).otherwise(F.lit(a))
+        term = F.when(F.col(x).isNotNull(), F.col(x) * weight * F.pow(F.lit(1.0 - a), -j)).otherwise(0.0)
+        locals_.append((F.sum(term).over(in_block) * F.pow(F.lit(1.0 - a), j)).alias(f"_l_{out}"))
     d = d.select("*", *locals_)
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    outs = []
+    raws = []
     for out, (x, a) in specs.items():
-        block_end = F.last(F.when(F.col("_j") == BLOCK - 1, F.col(f"_l_{out}")), ignorenulls=True).over(past)
-        carried = F.coalesce(block_end, F.lit(0.0)) * F.pow(F.lit(1.0 - a), F.col("_j") + 1)
-        outs.append(F.when(F.col(f"_c_{x}") > 0, F.col(f"_l_{out}") + carried).alias(out))
-    return d.select(*kept, *outs)
+        n = lengths[out]
+        j = F.col(f"_j_{x}_{n}")
+        block_end = F.last(F.when(j == n - 1, F.col(f"_l_{out}")), ignorenulls=True).over(past)
+        carried = F.coalesce(block_end, F.lit(0.0)) * F.pow(F.lit(1.0 - a), j + 1)
+        raws.append(F.when(F.col(x).isNotNull(), F.col(f"_l_{out}") + carried).alias(f"_y_{out}"))
+    d = d.select(*kept, *raws)
+    return d.select(*kept, *[F.last(f"_y_{out}", ignorenulls=True).over(run).alias(out) for out in specs])

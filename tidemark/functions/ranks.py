@@ -37,11 +37,11 @@ def _offsets(counted: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def tie_table(df: DataFrame, by: Sequence[str], x) -> DataFrame:
-    """One row per (group, distinct value): ``x, n_tie, n_below, n_group``; NULLs ignored."""
+    """One row per (group, distinct value): ``x, n_tie, n_below, n_group``; NULLs and NaNs ignored."""
     by = list(by)
     freq = (
         df.select(*by, c(x).cast("double").alias("x"))
-        .where("x is not null")
+        .where("x is not null and not isnan(x)")
         .groupBy(*by, "x")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", value_bucket(F.col("x")))

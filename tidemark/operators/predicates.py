@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,9 @@ def tradable(day: DataFrame, min_price: float = MIN_PRICE) -> DataFrame:
 
 def without_keywords(df: DataFrame, name: str, words: Sequence[str]) -> DataFrame:
     """Rows whose name holds none of the words (a missing name passes)."""
-    return df.where(~nz(F.col(name).rlike("|".join(words)), False))
+    if not words:
+        return df
+    return df.where(~nz(F.col(name).rlike("|".join(re.escape(w) for w in words)), False))
 
 
 def overbought_warnings(ma20_dev, mom5, volume_ratio, atr_pct) -> Column:

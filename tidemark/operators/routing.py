@@ -140,7 +140,7 @@ def route(candidates: DataFrame, gate: float = 0.55) -> DataFrame:
     d = d.select(*[x for x in d.columns if x != "composite_score"], adj["vol_boost"].alias("vol_boost"), adj["score_out"].alias("composite_score"))
     d = materialised(d)
     best = Window.partitionBy("dt").orderBy(F.desc("composite_score"), "code")
-    top = d.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 5).where(F.col("place") <= F.col("top_n"))
+    top = d.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max(a["top_n"] for a in ALLOCATION.values())).where(F.col("place") <= F.col("top_n"))
     # bear dates without a pool member: the pool's best candidate takes the last seat
     has = top.groupBy("dt").agg(F.max(one_if(F.col("in_pool"))).alias("_has"), F.max("place").alias("_last"))
     pool = d.where("in_pool and state = 'bear'").withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")

@@ -180,12 +180,18 @@ def decay_proxy(trades: DataFrame, members: DataFrame, limit: float = 0.55) -> D
     )
 
 
-def weekly_heatmap(proxy: DataFrame, top: int = 15, weeks: int = 8) -> DataFrame:
-    """Mean low-probability share of the busiest industries over the last weeks, kept long."""
+def weekly_heatmap(proxy: DataFrame, top: int | None = None, weeks: int | None = None) -> DataFrame:
+    """Mean low-probability share per industry and week, kept long.
+
+    ``weeks`` keeps the last weeks, ``top`` the industries with the highest mean share over
+    those weeks (ties: the first by name); None keeps all."""
     d = proxy.withColumn("week", F.to_date(F.date_trunc("week", "dt")))
-    last = d.select("week").distinct().orderBy(F.desc("week")).limit(weeks)
-    busy = d.groupBy("industry").agg(F.sum("n_trades").alias("_n")).orderBy(F.desc("_n"), "industry").limit(top)
-    return d.join(last, "week", "left_semi").join(busy, "industry", "left_semi").groupBy("industry", "week").agg(
+    if weeks is not None:
+        d = d.join(d.select("week").distinct().orderBy(F.desc("week")).limit(weeks), "week", "left_semi")
+    if top is not None:
+        share_of = d.groupBy("industry").agg(F.round(F.avg("low_wp_pct"), 9).alias("_m"))
+        d = d.join(share_of.orderBy(F.desc("_m"), "industry").limit(top), "industry", "left_semi")
+    return d.groupBy("industry", "week").agg(
         F.avg("low_wp_pct").alias("low_wp_pct"), F.sum("n_trades").alias("n_trades")
     )
 
@@ -294,13 +300,14 @@ def pattern_statistics(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return agg
 
 
-def recovery_curve(events: DataFrame, max_days: int = 120) -> DataFrame:
-    """Share of the recovered events that were back within each number of days."""
+def recovery_curve(events: DataFrame, max_days: int | None = None) -> DataFrame:
+    """Share of the recovered events that were back within each number of days, up to
+    the longest recovery or ``max_days``."""
     done = events.where("recovery_days >= 0").groupBy("recovery_days").agg(F.count(F.lit(1)).alias("_n"))
-    last = done.agg(F.least(F.max("recovery_days"), F.lit(max_days)).alias("m"))
+    last = done.agg(F.least(F.max("recovery_days"), F.lit(max_days).cast("int")).alias("m"))
     days = last.select(F.explode(F.sequence(F.lit(1), F.greatest(F.col("m"), F.lit(1)))).alias("day"))
     marks = days.join(done.withColumn("day", F.greatest("recovery_days", F.lit(1))).groupBy("day").agg(F.sum("_n").alias("_n")), "day", "left")
-    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # at most max_days rows
+    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # a row per day of the longest recovery
     return marks.select("day", (F.sum(nz("_n", 0)).over(w) * 100 / done.agg(F.sum("_n")).scalar()).alias("win_rate"))
 
 

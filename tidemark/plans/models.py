@@ -90,23 +90,37 @@ def fit_direction(train: DataFrame, columns: Sequence[str], label: str, rounds:
 
 
 def fold_ranges(days: DataFrame, train0: int, val: int, step: int, gap: int = 20) -> DataFrame:
-    """Expanding-window folds over date positions; ``gap`` dates between train and validation
-    keep forward labels out of the validation span."""
+    """Expanding-window folds over date positions with ``gap`` dates between training and
+    validation; too short a calendar has no fold."""
     cal = trading_calendar(days)
     last = cal.agg(F.max("date_idx").alias("n"))
     # one row per fold
-    return last.select(F.explode(F.sequence(F.lit(train0), F.greatest(F.col("n") - val - gap, F.lit(train0)), F.lit(step))).alias("train_end")).select(
+    long = last.where(F.col("n") - val - gap >= train0)
+    return long.select(F.explode(F.sequence(F.lit(train0), F.col("n") - val - gap, F.lit(step))).alias("train_end")).select(
         (F.row_number().over(Window.orderBy("train_end")) - 1).alias("fold"), "train_end", (F.col("train_end") + gap + 1).alias("val_first"), (F.col("train_end") + gap + val).alias("val_last"),
     )
 
 
-def walk_forward(labelled: DataFrame, columns: Sequence[str], train0: int, val: int, step: int, gap: int = 20, trees: int = 10, depth: int = 4) -> DataFrame:
-    """Out-of-sample probabilities of every fold. Fits run fold by fold, each on the cluster;
+def with_label_end(labelled: DataFrame, horizon: int) -> DataFrame:
+    """Adds date_idx and end_idx, the date position of the row a label looks ahead to."""
+    cal = trading_calendar(labelled)
+    d = labelled.withColumn("_end", F.lead("dt", horizon).over(Window.partitionBy("code").orderBy("dt")))
+    ends = cal.select(F.col("dt").alias("_end"), F.col("date_idx").alias("end_idx"))
+    return d.join(cal, "dt").join(ends, "_end", "left").drop("_end")
+
+
+def training_rows(data: DataFrame, train_end: int, val_first: int) -> DataFrame:
+    return data.where((F.col("date_idx") <= train_end) & (F.col("end_idx") < val_first))
+
+
+def walk_forward(labelled: DataFrame, columns: Sequence[str], train0: int, val: int, step: int, gap: int = 20, trees: int = 10, depth: int = 4, horizon: int = 20) -> DataFrame:
+    """Out-of-sample probabilities of every fold. A label looks ``horizon`` rows of its code
+    ahead, which may span many more dates; a fold trains on labels that end before its validation. Fits run fold by fold, each on the cluster;
     the fold table (a row per fold) is the only thing read by the driver."""
-    data = materialised(labelled.join(trading_calendar(labelled), "dt"))
+    data = materialised(with_label_end(labelled, horizon))
     parts = []
     for f in fold_ranges(data, train0, val, step, gap).collect():
-        model = fit_engine(data.where(F.col("date_idx") <= f.train_end), columns, trees, depth)
+        model = fit_engine(training_rows(data, f.train_end, f.val_first), columns, trees, depth)
         rows = data.where(F.col("date_idx").between(f.val_first, f.val_last))
         parts.append(materialised(win_probability(model, rows).select("code", "dt", "fwd_ret", "y_label", "win_prob", *[c for c in ("atr_pct",) if c in rows.columns]).withColumn("fold", F.lit(f.fold))))
     return reduce(DataFrame.unionByName, parts)
