@@ -12,15 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised
-from .common import fresh, text_key
+from .common import fresh, small, text_key
 
 WILD = "<*>"
+#: The list of busy leaves is broadcast up to this many rows (8 MB), beyond it the join shuffles.
+BROADCAST_LEAVES = 500_000
 
 
 def tokens_of(line: Column) -> Column:
     """Tokens of a line: lower-cased, cut at white space, those with a digit as wildcards."""
     words = F.array_remove(F.split(F.lower(line), r"\s+"), "")
-    return F.transform(words, lambda w: F.when(w.rlike(r"\d"), WILD).otherwise(w))
+    masked = F.transform(words, lambda w: F.when(w.rlike(r"\d"), WILD).otherwise(w))
+    return F.when(line.rlike(r"\d"), masked).otherwise(words)
 
 
 def lines_of(docs: DataFrame, depth: int) -> DataFrame:
@@ -38,15 +41,21 @@ def recurring_lines(docs: DataFrame, seen: DataFrame, depth: int, min_docs: int,
     number of texts they are in; a line that a third of the corpus has is as cheap as any.
     """
     leaves = seen.select("leaf", "k1", "k2").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    leaves = small(materialised(leaves), BROADCAST_LEAVES)
     busy = lines_of(docs, depth).join(leaves, "leaf", "left_semi").select("leaf", "line", "toks", "k1", "k2").distinct()
     lines = materialised(busy.groupBy("leaf", "line").agg(F.first("toks").alias("toks"), F.count("*").alias("texts")))
     at = lines.select("leaf", "line", "texts", F.posexplode("toks").alias("p", "tok"))
     support = at.groupBy("leaf", "p", "tok").agg(F.sum("texts").alias("n"))
     marked = at.join(support.where(F.col("n") >= min_docs), ["leaf", "p", "tok"], "left")
-    general = marked.select("leaf", "line", "p", F.when(F.col("n").isNull(), WILD).otherwise(F.col("tok")).alias("tok"))
-    formed = general.groupBy("leaf", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "tok"))), lambda x: x["tok"]).alias("template"))
-    fixed = F.size(F.filter("template", lambda t: t != WILD))
-    formed = formed.where(fixed >= F.lit(constant) * F.size("template")).withColumn("template", F.xxhash64("template"))
+    number = F.col("tok") == WILD
+    general = marked.select("leaf", "line", "p", number.alias("number"), F.when(F.col("n").isNull(), WILD).otherwise(F.col("tok")).alias("tok"))
+    formed = general.groupBy("leaf", "line").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("p", "tok"))), lambda x: x["tok"]).alias("template"), F.count_if("number").alias("numbers")
+    )
+    # Tokens with a digit are fields by their form; of the others enough must be constant.
+    size, fixed = F.size("template"), F.size(F.filter("template", lambda t: t != WILD))
+    formed = formed.where((fixed >= F.lit(constant) * (size - F.col("numbers"))) & (2 * fixed >= size))
+    formed = formed.select("leaf", "line", F.xxhash64("template").alias("template"))
     # A text counts once for a template, whichever of its lines have it.
     pairs = seen.select("leaf", "line", "k1", "k2").join(formed, ["leaf", "line"]).select("leaf", "template", "k1", "k2").distinct()
     often = pairs.groupBy("leaf", "template").count().where(F.col("count") >= min_docs)
@@ -54,8 +63,10 @@ def recurring_lines(docs: DataFrame, seen: DataFrame, depth: int, min_docs: int,
 
 
 def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, constant: float = 0.75, most: float = 0.5) -> DataFrame:
-    """k1, k2, drop (positions of dropped lines), n_lines, whole (all that was found, dropped or
-    not), for texts with a recurring line.
+    """k1, k2, drop (positions of dropped lines), whole (recurring lines found, none dropped), for
+    texts with a recurring line.
+
+    A template needs constants in half of its tokens and in ``constant`` of those without a digit.
 
     A text with more than ``most`` of its words in recurring lines is itself a copy of others;
     it is left whole for near-duplicate removal, so that one copy survives.
@@ -93,7 +104,7 @@ def deduplicate_lines(docs: DataFrame, **how) -> DataFrame:
     names = fresh(docs, "k1_", "k2_", "drop_", "whole_")
     drop = names[2]
     out = _joined(docs, names, **how).withColumn(names[3], F.size(drop) > 0).withColumn("text", _kept(drop))
-    out = out.where(~F.coalesce(names[3], F.lit(False)) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    out = out.where(~F.coalesce(names[3], F.lit(False)) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col(names[3]), length).otherwise(F.col("n_chars")))
@@ -109,7 +120,7 @@ def report(docs: DataFrame, **how) -> DataFrame:
     rows = docs.select("doc_id", "text")
     names = fresh(rows, "k1", "k2", "drop", "whole")
     drop, whole = names[2], names[3]
-    blank = F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"\s+", "") != "")
+    blank = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))
     return _joined(rows, names, **how).select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(blank)).alias("n_lines"),
