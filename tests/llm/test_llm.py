@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -216,7 +217,6 @@ def test_language_model(docs, none):
 
 def brute_ctw(train, texts, depth):
     """Directly recursive weighting over (context, bit prefix) nodes, with the same contexts."""
-    import pyarrow as pa
 
     def events(word_list):
         lists = language_model.tokens(pa.array(word_list))
@@ -281,6 +281,19 @@ def test_language_model_sums_to_one():
     assert p.sum(axis=1) == pytest.approx([1, 1])
 
 
+def test_language_model_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    gram = np.unique(rng.integers(97, 101, (3000, 7)) @ (1 << (8 * np.arange(7))))
+    batch = pa.record_batch({"gram": gram, "count": rng.integers(0, 9, len(gram))})
+    once = language_model._tops(language_model._pieces([batch], 3), 6, 3)
+    monkeypatch.setattr(language_model, "PIECE", 50)
+    pieces = language_model._pieces([batch], 3)
+    assert len(pieces) > 10 and sorted(np.concatenate([g for g, _ in pieces])) == gram.tolist()
+    many = language_model._tops(pieces, 6, 3)
+    assert many.keys.tolist() == once.keys.tolist() and many.weighted == pytest.approx(once.weighted)
+    assert once.weighted == pytest.approx(language_model.subtrees(gram, batch.column("count").to_numpy(), 6, 2)[2].weighted)
+
+
 def test_sharding(spark, docs, none):
     got = sharding.assign(docs).collect()
     assert len(got) == len(TEXTS) + 2

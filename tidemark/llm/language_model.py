@@ -30,6 +30,9 @@ TAIL = 2
 HEAD = 3
 END = b"\n"
 TOP = 2  # contexts of up to so many bytes lie above the subtrees
+CUT = 3  # a task works its subtrees in pieces that are whole for contexts of so many bytes
+#: A piece has about so many grams.
+PIECE = 100_000
 #: Terms are scored in blocks of about so many (term, block of documents) pairs.
 TERM_REFS = 250_000
 
@@ -97,7 +100,7 @@ class Level:
 
     def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
         self.keys, self.zeros, self.ones = keys, zeros, ones
-        kt = log_kt(zeros, ones)
+        self.below, kt = below, log_kt(zeros, ones)
         self.weighted = kt if below is None else np.logaddexp(kt, below) - np.log(2)
         self.own = None if below is None else 1 / (1 + np.exp(np.clip(below - kt, -700, 700)))
         self.one = (ones + 0.5) / (zeros + ones + 1)
@@ -130,12 +133,28 @@ def subtrees(gram: np.ndarray, count: np.ndarray, depth: int, top: int):
     return state.reshape(-1, 8), bits, level, node, one
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
+def _pieces(batches: Iterator[pa.RecordBatch], cut: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts of a task in pieces of about PIECE, none of which parts the grams of one
+    context of ``cut`` bytes. Eight decisions for each gram are then held for one piece only."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
-        return None
+        return []
     rows = pa.Table.from_batches(parts)
-    return rows.column("gram").to_numpy(), rows.column("count").to_numpy()
+    gram, count = rows.column("gram").to_numpy(), rows.column("count").to_numpy()
+    key = (gram >> 8) & ((1 << (8 * cut)) - 1)
+    order = np.argsort(key, kind="stable")
+    gram, count, key = gram[order], count[order], key[order]
+    ends = np.flatnonzero(np.diff(key, append=-1)) + 1
+    ends = ends[np.flatnonzero(np.diff((ends - 1) // PIECE, append=-1))]
+    return [(gram[i:j], count[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _tops(pieces: list[tuple[np.ndarray, np.ndarray]], depth: int, cut: int) -> Level:
+    """The nodes at TOP bytes of context of all pieces."""
+    levels = [subtrees(*piece, depth, cut)[2] for piece in pieces]
+    keys, zeros, ones = (np.concatenate([getattr(x, c) for x in levels]) for c in ("keys", "zeros", "ones"))
+    level = Level(keys, zeros, ones, None if cut == depth else np.concatenate([x.below for x in levels]))
+    return up(level, cut)[0] if cut > TOP else level
 
 
 def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -145,11 +164,12 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     returns the counts and weights of their roots, which sum up to at most 256 * 255 nodes of
     one byte and 255 of none. With those, the second pass mixes down to the root.
     """
+    cut = min(CUT, depth)
     dealt = counts.repartition(F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * TOP)) - 1)))
 
     def roots(batches):
-        if (got := _gathered(batches)) is not None:
-            level = subtrees(*got, depth, TOP)[2]
+        if pieces := _pieces(batches, cut):
+            level = _tops(pieces, depth, cut)
             columns = [level.keys, level.zeros, level.ones, level.weighted]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "zeros", "ones", "weighted"])
 
@@ -157,17 +177,20 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     parent = F.col("node").bitwiseAND(F.lit(0xFFFF))  # one byte of context and the bits
     sums = found.groupBy(parent.alias("node")).agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).orderBy("node").collect()
     one_byte = Level(*(np.array([r[i] for r in sums], np.int64 if i == 0 else float) for i in range(4)))
-    root, above = up(one_byte, 1)
+    root = up(one_byte, 1)[0]
 
     def scores(batches):
-        if (got := _gathered(batches)) is None:
+        if not (pieces := _pieces(batches, cut)):
             return
-        state, bits, level, node, one = subtrees(*got, depth, TOP)
-        at = np.searchsorted(one_byte.keys, level.keys & 0xFFFF)[node]
-        one = one_byte.own[at] * one_byte.one[at] + (1 - one_byte.own[at]) * one
-        one = root.own[above[at]] * root.one[above[at]] + (1 - root.own[above[at]]) * one
-        p = np.where(bits == 1, one[state], 1 - one[state])
-        yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(np.log10(p).sum(axis=1))], names=["gram", "lp"])
+        tops = _tops(pieces, depth, cut)
+        for gram, count in pieces:
+            state, bits, level, node, one = subtrees(gram, count, depth, cut)
+            for above in ([tops] if cut > TOP else []) + [one_byte, root]:
+                mask = 0xFFFFFF if above is tops else 0xFFFF if above is one_byte else 0xFF
+                at = np.searchsorted(above.keys, level.keys & mask)[node]
+                one = above.own[at] * above.one[at] + (1 - above.own[at]) * one
+            p = np.where(bits == 1, one[state], 1 - one[state])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.log10(p).sum(axis=1))], names=["gram", "lp"])
 
     return dealt.mapInArrow(scores, "gram long, lp double")
 
