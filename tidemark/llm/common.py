@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,6 +31,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs, once their result is a table.
+
+    Spark deletes them when the driver's garbage is collected, which a large idle heap puts off
+    (its own timer: every 30 minutes), while executors' disks fill."""
+    for _ in range(2):  # what the first pass frees may hold more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that clash with no column of ``df``, whatever their case."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialised
 from . import blocks
-from .common import remainder
+from .common import release, remainder
 
 DEPTH = 6
 TAIL = 2
@@ -253,6 +253,7 @@ def term_scores(made: DataFrame, depth: int = DEPTH) -> DataFrame:
     each = blocks.terms(made.withColumnRenamed("block", "b").withColumnRenamed("tb", "block").select("block", "terms", "weights"))
     each = each.withColumnsRenamed({"block": "tb", "term": "gram"})
     counts = materialised(each.groupBy("gram").agg(F.sum("weight").alias("count")))
+    release(made.sparkSession)
     values = each.join(gram_scores(counts, depth), "gram").select(F.col("tb").alias("tb"), F.col("pos").alias("p"), "lp")
 
     def run(key, left, right):
@@ -286,6 +287,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH)
     learn = remainder(F.col("doc_id"), modulus) != held
     made = blocks.encode(docs, tokens, learn, "binary")
     distinct = term_blocks(blocks.terms(made), depth)
+    release(docs.sparkSession)
     zero = F.lit(0)
     n, v = distinct.agg(F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("v"), zero)).first()
     ends = docs.agg(F.coalesce(F.sum(learn.cast("long")), zero)).first()[0]
