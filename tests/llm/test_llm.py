@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from tidemark.llm import (
-    components, decontamination, embeddings, language_model, line_dedup, near_duplicates, packing, quality, sharding, token_counts, url_filters,
+    blocks, components, decontamination, embeddings, language_model, line_dedup, near_duplicates, packing, quality, sharding, token_counts, url_filters,
 )
 from tidemark.llm.queries import QUERIES, SQL, byte_bpe
 
@@ -281,6 +281,16 @@ def test_language_model_sums_to_one():
     assert p.sum(axis=1) == pytest.approx([1, 1])
 
 
+def test_pack():
+    group, count = np.array([3, 3, 7, 9, 9, 9]), np.array([1, -1, 2**40 + 5, 0, 2**31, 7])
+    lp = np.linspace(-9, 0, 6).astype("<f4")
+    names, packed = blocks.pack(group, np.arange(6, dtype="<i4"), *count.view("<i4").reshape(-1, 2).T, lp)
+    assert names.tolist() == [3, 7, 9] and [len(x) for x in packed.to_pylist()] == [32, 16, 48]
+    got = language_model._unpacked(pa.table({"packed": packed}))
+    assert got["pos"].tolist() == list(range(6)) and got["count"].tolist() == count.tolist() and got["lp"].tolist() == lp.tolist()
+    assert len(blocks.pack(group[:0], count[:0].astype("<i4"))[1]) == 0
+
+
 def test_language_model_pieces(monkeypatch):
     rng = np.random.default_rng(1)
     gram = np.unique(rng.integers(97, 101, (3000, 7)) @ (1 << (8 * np.arange(7))))

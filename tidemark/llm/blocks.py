@@ -72,6 +72,29 @@ def from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def pack(group: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(group, packed): the 32-bit columns of each run of equal ``group`` as one binary, in byte planes."""
+    first = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+    size, width = np.diff(first, append=len(group)), 4 * len(columns)
+    to = np.arange(len(group)) + np.repeat((width - 1) * first, size)
+    raw, out = np.stack([np.ascontiguousarray(c).view("<i4") for c in columns], axis=1).view(np.uint8), np.empty(width * len(group), np.uint8)
+    for plane in range(width):
+        out[to + plane * np.repeat(size, size)] = raw[:, plane]
+    offsets = pa.array(np.append(first, len(group)) * width, pa.int32())
+    return group[first], pa.Array.from_buffers(pa.binary(), len(first), [None, offsets.buffers()[1], pa.py_buffer(out)])
+
+
+def unpack(packed: pa.Array | pa.ChunkedArray, n_columns: int) -> list[np.ndarray]:
+    """The 32-bit columns (as integers) of all binaries of ``pack``, one after another."""
+    width = 4 * n_columns
+    data = np.frombuffer(b"".join(packed.to_pylist()), np.uint8)
+    size = pc.binary_length(packed).to_numpy().astype(np.int64) // width
+    n, size_of = int(size.sum()), np.repeat(size, size)
+    at = np.arange(n) + np.repeat((width - 1) * (np.cumsum(size) - size), size)
+    rows = np.stack([data[at + plane * size_of] for plane in range(width)], axis=1)
+    return list(np.ascontiguousarray(rows).view("<i4").T)
+
+
 def whole(values: pa.Array) -> pa.Array:
     """All values as the one list of a one-row column."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -117,9 +140,22 @@ def terms(blocks: DataFrame) -> DataFrame:
     return each.select("block", "pos", F.col("z.terms").alias("term"), F.col("z.weights").alias("weight"))
 
 
-def per_document(blocks: DataFrame, values: DataFrame, finish: Callable[..., dict[str, np.ndarray]], id_type: str, schema: str) -> DataFrame:
+def _plain(values: pa.Table) -> dict[str, np.ndarray]:
+    return {c: values.column(c).to_numpy() for c in values.column_names if c != "block"}
+
+
+def per_document(
+    blocks: DataFrame,
+    values: DataFrame,
+    finish: Callable[..., dict[str, np.ndarray]],
+    id_type: str,
+    schema: str,
+    decode: Callable[[pa.Table], dict[str, np.ndarray]] = _plain,
+) -> DataFrame:
     """Bring (block, pos, value columns) back to their blocks and return rows per document.
 
+    ``decode`` makes pos and the value columns of what else the rows of a block hold.
+
     ``finish(take, weight, n_bytes, n_terms)`` returns the columns of ``schema``, which follow
     doc_id; ``take(column, f)`` is the sum of frequency times f(value) over each document's terms.
     """
@@ -130,14 +166,15 @@ def per_document(blocks: DataFrame, values: DataFrame, finish: Callable[..., dic
         docs = pa.ipc.open_stream(row["docs"]).read_all()
         indptr, at, freq = np.frombuffer(row["indptr"], "<i8"), np.cumsum(from_planes(row["at"])), from_planes(row["freq"])
         of = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
+        got = decode(right) if right.num_rows else None
 
         def sums(x: np.ndarray) -> np.ndarray:
             return np.bincount(of, x, minlength=len(indptr) - 1)
 
         def take(column: str, f=lambda x: x) -> np.ndarray:
             value = np.zeros(int(at.max()) + 1 if len(at) else 1)
-            if right.num_rows:
-                value[right.column("pos").to_numpy()] = f(right.column(column).to_numpy())
+            if got:
+                value[got["pos"]] = f(got[column])
             return sums(value[at] * freq)
 
         weight = docs.column("weight").combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)

@@ -190,9 +190,9 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
                 at = np.searchsorted(above.keys, level.keys & mask)[node]
                 one = above.own[at] * above.one[at] + (1 - above.own[at]) * one
             p = np.where(bits == 1, one[state], 1 - one[state])
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.log10(p).sum(axis=1))], names=["gram", "lp"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.log10(p).sum(axis=1).astype(np.float32))], names=["gram", "lp"])
 
-    return dealt.mapInArrow(scores, "gram long, lp double")
+    return dealt.mapInArrow(scores, "gram long, lp float")
 
 
 def term_blocks(each: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -220,7 +220,7 @@ def term_blocks(each: DataFrame, depth: int = DEPTH) -> DataFrame:
         if size:
             yield _term_block(pa.Table.from_batches(waiting).combine_chunks(), (task << 24) + number, depth)
 
-    schema = "tb long, terms array<long>, weights array<long>, at binary, owner binary, count binary, term binary, block binary, pos binary, n long, v long"
+    schema = "tb long, terms array<long>, weights array<long>, at binary, owner binary, count binary, term binary, blocks binary, block binary, pos binary, n long, v long"
     return materialised(each.repartition("term").sortWithinPartitions("term").mapInArrow(run, schema))
 
 
@@ -237,26 +237,28 @@ def _term_block(rows: pa.Table, name: int, depth: int) -> pa.RecordBatch:
     np.add.at(weights, at, count[owner])
     word = pc.not_equal(pc.binary_slice(distinct, 0, 1), b" ").to_numpy(zero_copy_only=False)
     known = word & (count > 0)
+    source, of = np.unique(rows.column("block").to_numpy(), return_inverse=True)
     raw = [
         blocks.planes(at), blocks.planes(np.diff(owner, prepend=0)), np.where(word, count, -1).astype("<i8").tobytes(),
-        blocks.planes(np.diff(term, prepend=0)), rows.column("block").to_numpy().astype("<i8").tobytes(), blocks.planes(rows.column("pos").to_numpy()),
+        blocks.planes(np.diff(term, prepend=0)), source.astype("<i8").tobytes(), blocks.planes(of), blocks.planes(rows.column("pos").to_numpy()),
     ]
     columns = [pa.array([name]), blocks.whole(pa.array(gram)), blocks.whole(pa.array(weights))]
     columns += [pa.array([x], pa.binary()) for x in raw] + [pa.array([int(count[known].sum())]), pa.array([int(known.sum())])]
-    names = ["tb", "terms", "weights", "at", "owner", "count", "term", "block", "pos", "n", "v"]
+    names = ["tb", "terms", "weights", "at", "owner", "count", "term", "blocks", "block", "pos", "n", "v"]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def term_scores(made: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(block, pos, count, lp): for each place a term came from its training count (-1: a head) and
-    the log10 probability of the bytes it stands for. Terms of count 0 were not learned from."""
+    """(block, packed): for each place (pos) a term came from its training count (-1: a head; as
+    two halves) and the log10 probability (lp) of the bytes it stands for, those of one block of
+    documents packed. Terms of count 0 were not learned from."""
     each = blocks.terms(made.withColumnRenamed("block", "b").withColumnRenamed("tb", "block").select("block", "terms", "weights"))
     each = each.withColumnsRenamed({"block": "tb", "term": "gram"})
     counts = materialised(each.groupBy("gram").agg(F.sum("weight").alias("count")))
     values = each.join(gram_scores(counts, depth), "gram").select(F.col("tb").alias("tb"), F.col("pos").alias("p"), "lp")
 
     def run(key, left, right):
-        row = {c: left.column(c)[0].as_py() for c in ("at", "owner", "count", "term", "block", "pos")}
+        row = {c: left.column(c)[0].as_py() for c in ("at", "owner", "count", "term", "blocks", "block", "pos")}
         at, owner = blocks.from_planes(row["at"]), np.cumsum(blocks.from_planes(row["owner"]))
         count, term = np.frombuffer(row["count"], "<i8"), np.cumsum(blocks.from_planes(row["term"]))
         lp = np.zeros(int(at.max()) + 1 if len(at) else 1)
@@ -264,12 +266,20 @@ def term_scores(made: DataFrame, depth: int = DEPTH) -> DataFrame:
             lp[right.column("p").to_numpy()] = right.column("lp").to_numpy()
         total = np.bincount(owner, lp[at], len(count))
         pa.default_memory_pool().release_unused()
-        return pa.table({
-            "block": np.frombuffer(row["block"], "<i8"), "pos": blocks.from_planes(row["pos"]), "count": count[term], "lp": total[term].astype(np.float32)
-        })
+        block, pos = np.frombuffer(row["blocks"], "<i8")[blocks.from_planes(row["block"])], blocks.from_planes(row["pos"])
+        order = np.lexsort((pos, block))
+        term = term[order]
+        block, packed = blocks.pack(block[order], pos[order], *count[term].view("<i4").reshape(-1, 2).T, total[term].astype("<f4"))
+        return pa.table({"block": block, "packed": packed})
 
-    kept = made.select("tb", "at", "owner", "count", "term", "block", "pos")
-    return kept.groupBy("tb").cogroup(values.groupBy("tb")).applyInArrow(run, "block long, pos int, count long, lp float")
+    kept = made.select("tb", "at", "owner", "count", "term", "blocks", "block", "pos")
+    return kept.groupBy("tb").cogroup(values.groupBy("tb")).applyInArrow(run, "block long, packed binary")
+
+
+def _unpacked(values: pa.Table) -> dict[str, np.ndarray]:
+    pos, low, high, lp = blocks.unpack(values.column("packed"), 4)
+    count = np.stack([low, high], axis=1).view("<i8").ravel()
+    return {"pos": pos, "count": count, "lp": np.ascontiguousarray(lp).view("<f4").astype(float)}
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH) -> DataFrame:
@@ -305,5 +315,5 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH)
         }
 
     schema = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    out = blocks.per_document(made, term_scores(distinct, depth), finish, docs.schema["doc_id"].dataType.simpleString(), schema)
+    out = blocks.per_document(made, term_scores(distinct, depth), finish, docs.schema["doc_id"].dataType.simpleString(), schema, _unpacked)
     return out.withColumn("bits_per_byte", F.nanvl("bits_per_byte", F.lit(None).cast("double")))
