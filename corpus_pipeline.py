@@ -28,8 +28,9 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, by shingles of five words."""
-    return near_duplicates.deduplicate(docs)
+    """One document of each near-duplicate group stays, by shingles of five words
+    (exact Jaccard similarity 0.8 or more)."""
+    return near_duplicates.deduplicate_similar(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing."""
+"""SimHash near-duplicates by meet-in-the-middle ball hashing, and all pairs of texts whose
+shingles have a Jaccard similarity of a threshold or more."""
 
 from __future__ import annotations
 
@@ -9,12 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import materialised
+from ..session import discard, materialised
+from .common import fresh, small, text_key
 from .components import components
 
 SEED = 42
 #: Bits of a text are counted in pieces of this many shingles, so one long text needs little memory.
 PIECE = 1 << 16
+#: One text in so many is looked at for frequent shingles; one in as many of these texts, at most so many.
+SAMPLE, OFTEN, FREQUENT = 8, 8, 200_000
+#: Lists of nodes are broadcast up to this many rows (16 MB), beyond it joins shuffle.
+BROADCAST_NODES = 500_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -104,3 +111,133 @@ def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = 2) -> DataFra
     of = near_duplicates(docs, shingle, distance).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(of, "doc_id", "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes, sorted, of the shingles of a text; fewer words are one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    out = np.zeros(len(words) - size + 1, np.uint64)
+    for i in range(size):
+        out = (out ^ h[i : i + len(out)]) * MIX
+        out ^= out >> np.uint64(29)
+    return np.unique(out.view(np.int64))
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
+    """The first shingles of a set in an order that is the same for all sets (frequent ones last):
+    so many that two sets of similarity ``threshold`` or more have one of them in common."""
+    n = len(hashes) - int(np.ceil(threshold * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
+    if not len(frequent):
+        return hashes[:n]
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    often = frequent[at] == hashes
+    return np.concatenate([hashes[~often], hashes[often][np.argsort(rank[at[often]])]])[:n]
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of every row: its shingles, and 128 bits that stand for them."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t or b"", shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node binary, hashes array<long>")
+
+
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many different texts, sorted, and their rank by frequency. They only shape the
+    order of prefixes: any list gives the same links, this one small buckets."""
+    some = docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(SAMPLE)) == 0)
+    each = _sets(some, shingle).dropDuplicates(["node"]).select(F.explode("hashes").alias("h"))
+    top = each.groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(FREQUENT)
+    found = np.array([r.h for r in top.collect()], np.int64)
+    order = np.argsort(found)
+    return found[order], -order
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose exact Jaccard similarity is at least ``threshold``."""
+    asked = materialised(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
+    sets = materialised(_sets(docs, shingle).join(small(asked, BROADCAST_NODES), "node", "left_semi").dropDuplicates(["node"]))
+    one, two = sets.toDF("a", "ha"), sets.toDF("b", "hb")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("i"), (F.size("ha") + F.size("hb")).alias("n"))
+    out = materialised(both.where(F.col("i") >= F.lit(threshold) * (F.col("n") - F.col("i")) - 1e-9).select("a", "b"))
+    discard(asked, sets)
+    return out
+
+
+def _balls(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes: neighbours of one fingerprint, and one node each of linked fingerprints."""
+    same = nodes.select(F.lag("node").over(Window.partitionBy("fp").orderBy("n", "node")).alias("a"), F.col("node").alias("b")).where("a is not null")
+    one = materialised(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    linked = links(one.select("fp")).toDF("fa", "fb")
+    return same.union(linked.join(one.toDF("fa", "a"), "fa").join(one.toDF("fb", "b"), "fb").select("a", "b"))
+
+
+def similar(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """doc_id, k1, k2 (see text_key), node, root for every row: root is the same for texts connected by pairs
+    of Jaccard similarity ``threshold`` or more, and no pair is missed. Texts without words are alike.
+
+    Texts with the same shingles are one node. SimHash balls propose nodes up to two bits apart.
+    That is few of the pairs near the threshold, so prefixes make it whole: two nodes of a pair
+    share a shingle of their prefixes, and these are buckets. Neighbours by size in a bucket are
+    compared with what the balls propose; then all its pairs that are not yet connected,
+    unless their sizes or the shingle's places rule them out. What the first step connects
+    costs no pairs in the second; members of a bucket that it does not connect do.
+    """
+    frequent, rank = _frequent(docs, shingle)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t or b"", shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            first = pa.array([prefix(x, frequent, rank, threshold) for x in sets], pa.list_(pa.int64()))
+            fps = [np.packbits(2 * _bits(x) > len(x), bitorder="little").view("<i8")[0] for x in sets]
+            columns = [*(b.column(c) for c in ("doc_id", "k1", "k2")), nodes, pa.array([len(x) for x in sets], pa.int32()), pa.array(fps, pa.int64()), first]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "node", "n", "fp", "first"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = F.col("text").cast("string")
+    made = docs.select("doc_id", *text_key(text), text.alias("text")).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, node binary, n int, fp long, first array<long>")
+    made = materialised(made)
+    nodes = materialised(made.dropDuplicates(["node"]).select("node", "n", "fp", "first"))
+    each = nodes.select("node", "n", F.posexplode("first").alias("p", "h"))
+    order = Window.partitionBy("h").orderBy("n", "node")
+    seen = each.withColumn("size", F.count("*").over(Window.partitionBy("h"))).withColumn("before", F.lag("node").over(order))
+    buckets = materialised(seen.where(F.col("size") > 1))
+    near = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    chains = buckets.where("before is not null").select(near(F.col("before"), F.col("node")).alias("e"))
+    tried = materialised(chains.union(_balls(nodes).select(near(F.col("a"), F.col("b")))).select("e.a", "e.b").distinct())
+    links = _similar(docs, tried, shingle, threshold)
+    of = components(links)
+    # What the chains leave: pairs of buckets of three or more that are in different components.
+    placed = buckets.where(F.col("size") > 2).join(of, "node", "left").select("h", "node", "n", "p", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    placed = materialised(placed.join(mixed, "h", "left_semi"))
+    x, y = placed.toDF("h", "a", "na", "pa", "ra"), placed.toDF("h", "b", "nb", "pb", "rb")
+    least = F.lit(threshold) / (1 + F.lit(threshold)) * (F.col("na") + F.col("nb")) - 1e-6  # words in common
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= least) & (room >= least)
+    rest = materialised(x.join(y, "h").where(fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        of = components(links.unionByName(_similar(docs, rest, shingle, threshold)))
+    discard(nodes, buckets, tried, placed, rest)
+    return made.select("doc_id", "k1", "k2", "node").join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def deduplicate_similar(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs``, all columns, with one document of each component of ``similar``: the one of the
+    smallest doc_id. Of repeated rows with that id and text one stays. Documents without an id are kept."""
+    rows = similar(docs, shingle, threshold).where("doc_id is not null")
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("f")).select("f.*").distinct()
+    a, b, *names = fresh(docs, "k1_", "k2_", "id_of_", "k1_of_", "k2_of_")
+    one, two = text_key(F.col("text").cast("string"))
+    keyed = docs.where("doc_id is not null").withColumns({a: one, b: two})
+    kept = keyed.join(first.toDF(*names), [F.col(x) == F.col(y) for x, y in zip(("doc_id", a, b), names, strict=True)], "left_semi")
+    return kept.dropDuplicates(["doc_id", a, b]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
