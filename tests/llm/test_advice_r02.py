@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidemark.llm import near_duplicates
+from tidemark.llm import line_dedup, near_duplicates
 
 from .test_llm import prose, union_find
 
@@ -45,3 +45,18 @@ def test_stage_finds_all_edited_copies(spark, copies, monkeypatch, often):
     kept = corpus_pipeline.simhash_near_dedup(spark, df, "")
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+
+
+def test_line_dedup_pairs_mixtures_and_numbers(spark):
+    line = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30)) for i in range(40)]
+    texts = [
+        "\n".join([line[0], line[1], line[2]]), "\n".join([line[3], line[0], line[4]]),  # one line in two texts
+        *("\n".join([line[5 + i], line[12], line[13 + i]]) for i in range(3)),
+        "\n".join([line[5], line[6], line[7], line[20]]),  # mostly lines of three others, no copy of any
+        "\n".join([line[21], "1 2 3 4", line[22]]), "\n".join([line[23], "1 2  3 4", line[24]]), "\n".join([line[25], "1 2 3 5", line[26]]),
+        "\n".join(line[27:37]), "\n".join([*line[27:36], line[36][:-4] + "zzzz"]),  # copies
+    ]
+    got = sorted(line_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [r.n_dropped for r in got] == [1, 1, 2, 2, 2, 3, 1, 1, 0, 0, 0]
+    assert [r.left_whole for r in got] == [False] * 9 + [True] * 2
+    assert got[5].text == line[20]

@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised
+from . import near_duplicates
 from .common import fresh, small, text_key
 
 WILD = "<*>"
 #: The list of busy leaves is broadcast up to this many rows (8 MB), beyond it the join shuffles.
 BROADCAST_LEAVES = 500_000
+#: The same for the texts that may be copies.
+BROADCAST_TEXTS = 500_000
 
 
 def tokens_of(line: Column) -> Column:
@@ -27,9 +30,13 @@ def tokens_of(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, depth: int) -> DataFrame:
-    """k1, k2, pos, toks, leaf, line for every line of every text that has a token."""
+    """k1, k2, pos, toks, leaf, line, exact for every line of every text that has a token. exact
+    stands for the tokens with their digits, for lines that are too much of numbers for a template."""
     each = docs.where("text is not null").select(*text_key(F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    toks = each.select("k1", "k2", "pos", tokens_of(F.col("raw")).alias("toks")).where(F.size("toks") > 0)
+    toks = each.select("k1", "k2", "pos", tokens_of(F.col("raw")).alias("toks"), "raw").where(F.size("toks") > 0)
+    numbers = F.size(F.filter("toks", lambda t: t == WILD))
+    words = F.array_remove(F.split(F.lower("raw"), r"\s+"), "")
+    toks = toks.select("k1", "k2", "pos", "toks", F.when(F.col("raw").rlike(r"\d") & (2 * numbers > F.size("toks")), F.xxhash64(words)).alias("exact"))
     path = F.xxhash64(F.size("toks"), F.slice("toks", 1, depth))
     return toks.select("*", path.alias("leaf"), F.xxhash64("toks").alias("line"))
 
@@ -62,27 +69,45 @@ def recurring_lines(docs: DataFrame, seen: DataFrame, depth: int, min_docs: int,
     return formed.join(often, ["leaf", "template"], "left_semi").select("leaf", "line")
 
 
-def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, constant: float = 0.75, most: float = 0.5) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 2, constant: float = 0.75, most: float = 0.5) -> DataFrame:
     """k1, k2, drop (positions of dropped lines), whole (recurring lines found, none dropped), for
     texts with a recurring line.
 
-    A template needs constants in half of its tokens and in ``constant`` of those without a digit.
+    A template needs constants in half of its tokens and in ``constant`` of those without a digit;
+    lines with fewer recur if they are equal, digits included.
 
-    A text with more than ``most`` of its words in recurring lines is itself a copy of others;
-    it is left whole for near-duplicate removal, so that one copy survives.
+    A text with more than ``most`` of its words in recurring lines may be a copy of another. If one of
+    those texts has the similarity at which near-duplicate removal connects, both are left whole for
+    it, so that one copy survives; the others lose their recurring lines like any text.
     """
-    made = lines_of(docs, depth).select("k1", "k2", "pos", "leaf", "line", F.size("toks").alias("n")).distinct()
+    made = lines_of(docs, depth).select("k1", "k2", "pos", "leaf", "line", "exact", F.size("toks").alias("n")).distinct()
     seen = materialised(made)
     hit = recurring_lines(docs, seen, depth, min_docs, constant).withColumn("hit", F.lit(True))
-    found = seen.join(hit, ["leaf", "line"], "left")
+    found = seen.join(hit, ["leaf", "line"], "left").select("k1", "k2", "pos", "n", F.col("n").alias("words"), "hit")
+    # Lines with an exact hash have no template, so no line is counted twice.
+    equal = seen.where("exact is not null")
+    often = equal.select("exact", "k1", "k2").distinct().groupBy("exact").count().where(F.col("count") >= min_docs)
+    found = found.union(equal.join(often, "exact", "left_semi").select("k1", "k2", "pos", "n", F.lit(0), F.lit(True)))
     per = found.groupBy("k1", "k2").agg(
         F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("pos")))).alias("found"),
         F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("in_hit"),
-        F.sum("n").alias("words"),
+        F.sum("words").alias("words"),
     )
-    copy = F.col("in_hit") > F.lit(most) * F.col("words")
-    none = F.array().cast("array<int>")
-    return per.where(F.size("found") > 0).select("k1", "k2", F.when(copy, none).otherwise(F.col("found")).alias("drop"), copy.alias("whole"))
+    most_of = F.col("in_hit") > F.lit(most) * F.col("words")
+    per = materialised(per.where(F.size("found") > 0).select("k1", "k2", "found", most_of.alias("mostly")))
+    copies = _copies(docs, per.where("mostly").select("k1", "k2")).withColumn("copy", F.lit(True))
+    whole, none = F.coalesce("copy", F.lit(False)), F.array().cast("array<int>")
+    return per.join(copies, ["k1", "k2"], "left").select("k1", "k2", F.when(whole, none).otherwise(F.col("found")).alias("drop"), whole.alias("whole"))
+
+
+def _copies(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k1, k2) of those of ``texts`` that near-duplicate removal connects with another of them."""
+    one, two = text_key(F.col("text"))
+    asked = small(texts.toDF("x1", "x2"), BROADCAST_TEXTS)
+    few = materialised(docs.select("doc_id", "text").join(asked, (one == F.col("x1")) & (two == F.col("x2")), "left_semi"))
+    of = near_duplicates.similar(few).select("k1", "k2", "root").distinct()
+    many = of.groupBy("root").count().where(F.col("count") > 1).select("root")
+    return of.join(many, "root", "left_semi").select("k1", "k2")
 
 
 def _joined(docs: DataFrame, names: list[str], **how) -> DataFrame:
