@@ -2,10 +2,11 @@
 
 A neighbour graph is seeded by the leaves of random hyperplane trees and refined: at every vector
 its neighbours (and those that have it as a neighbour) are compared with each other, and each
-pair closer than what either end has is sent there. Edges at or above the threshold connect
-vectors. A list that is full of such edges is saturated: it is enlarged to its whole
-connected group, compared in blocks. An audit against all rows decides if another seeding
-and round is needed.
+pair closer than what either end has is sent there. Wherever vectors are compared, the links among
+them (cosine at or above the threshold) are kept as a spanning forest, however full the lists are.
+The next round looks for neighbours outside the connected groups found so far, so links inside
+a group fill no list. An audit against all rows decides if another round is needed; if rounds
+do not do, all blocks are compared. Links are counted inside the connected groups.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ NEIGHBOURS = 10
 LEAF = 256  # about as many vectors share a leaf
 TREES = 12
 BLOCK = 512  # vectors in a block of a group's comparison
-AUDIT = 256  # vectors compared with all rows in the audit
+SPLIT = 16  # further hyperplanes for leaves that are too large
+AUDIT = 512  # vectors of each kind of group compared with all rows in the audit
+ALONE = 4096  # the same of vectors without a link
+MARGIN = 1e-6  # of cosines in float precision
 RECALL = 0.99
 ROUNDS = 4
 
@@ -47,43 +51,78 @@ def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, sim) of the k nearest of each row of a block."""
-    n = len(ids)
-    k = min(k, n - 1)
-    if k < 1:
-        return ids[:0], ids[:0], np.zeros(0)
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    to = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[to].ravel(), np.take_along_axis(s, to, axis=1).ravel()
+def _forest(ids: np.ndarray, s: np.ndarray, apart: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect the rows of a block as all its links do, among those ``apart``; pairs that
+    rounding could make a link are all returned, to be verified."""
+    linked = apart & (s >= threshold + MARGIN)
+    i, j = np.nonzero(np.triu(apart & (np.abs(s - threshold) < MARGIN), 1))
+    found, left = [], linked.any(axis=1)
+    for start in np.flatnonzero(left):
+        if not left[start]:
+            continue
+        left[start], queue = False, [start]
+        while queue:
+            x = queue.pop()
+            new = np.flatnonzero(linked[x] & left)
+            left[new] = False
+            found.append((np.full(len(new), x), new))
+            queue.extend(new)
+    x, y = (np.concatenate([c, *(f[k] for f in found)]).astype(np.int64) for k, c in enumerate((i, j)))
+    return ids[x], ids[y]
 
 
-def seeds(points: DataFrame, width: int, count: int, first: int, k: int, trees: int = TREES) -> DataFrame:
-    """Edges (a, b, sim) to the k nearest vectors in the same leaf of each tree.
+def _edges(lists: tuple, ties: tuple) -> pa.Table:
+    """Rows of neighbour lists, and links (tie) that may be in no list."""
+    a, b, sim = (np.asarray(x) for x in lists)
+    return pa.table({
+        "a": np.concatenate([a, ties[0]]), "b": np.concatenate([b, ties[1]]), "sim": np.concatenate([sim, np.ones(len(ties[0]))]),
+        "tie": np.repeat([False, True], [len(a), len(ties[0])]),
+    })
+
+
+EDGES = "a long, b long, sim double, tie boolean"
+
+
+def seeds(points: DataFrame, width: int, count: int, first: int, k: int, threshold: float, trees: int = TREES) -> DataFrame:
+    """Edges (a, b, sim, tie) in the leaves of each tree: to the k nearest vectors of other roots, and
+    ties that connect what is linked.
 
     A leaf is the signs of random projections, as many as make leaves of about LEAF vectors. A
-    leaf with more (a large group of near copies) is dealt into parts of about that many."""
+    larger one is split by further projections; what those do not part (a large group of
+    nearly equal vectors) is dealt into parts of about that many."""
     bits = max(0, math.ceil(math.log2(max(count, 1) / LEAF)))
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _vectors(b.column("v"))
             for t in range(first, first + trees):
-                planes = np.random.default_rng((7, t)).standard_normal((width, max(bits, 1)))
-                code = ((x @ planes > 0) @ (1 << np.arange(max(bits, 1)))) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("v"), pa.array(np.full(len(x), t), pa.int32()), pa.array(code, pa.int64())], names=["id", "v", "t", "leaf"]
-                )
+                signs = x @ np.random.default_rng((7, t)).standard_normal((width, bits + SPLIT)) > 0
+                code, more = signs[:, :bits] @ (1 << np.arange(bits)), signs[:, bits:] @ (1 << np.arange(SPLIT))
+                columns = [b.column("id"), b.column("root"), b.column("v"), pa.array(np.full(len(x), t), pa.int32()), pa.array(code.astype(np.int64)), pa.array(more)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "root", "v", "t", "leaf", "more"])
 
     def inside(key, rows):
-        a, b, s = _nearest(rows.column("id").to_numpy(), _vectors(rows.column("v")), k)
-        return pa.table({"a": a, "b": b, "sim": s})
-
-    coded = points.select("id", "v").mapInArrow(leaf, "id long, v array<double>, t int, leaf long")
-    sizes = coded.select("t", "leaf").groupBy("t", "leaf").count().withColumn("parts", F.ceil(F.col("count") / (4 * LEAF))).drop("count")
-    dealt = coded.join(sizes, ["t", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), F.col("parts")))
-    return dealt.groupBy("t", "leaf", "part").applyInArrow(inside, "a long, b long, sim double")
+        ids, root, x = rows.column("id").to_numpy(), rows.column("root").to_numpy(), _vectors(rows.column("v"))
+        s, apart = x @ x.T, root[:, None] != root[None, :]
+        ties = _forest(ids, s, apart, threshold)
+        n = min(k, len(ids) - 1)
+        if n < 1:
+            return _edges((ids[:0], ids[:0], np.zeros(0)), ties)
+        s[~apart] = -2
+        to = np.argpartition(-s, n - 1, axis=1)[:, :n]
+        sim = np.take_along_axis(s, to, axis=1)
+        i, j = np.nonzero(sim > -2)
+        return _edges((ids[i], ids[to[i, j]], sim[i, j]), ties)
+
+    coded = points.select("id", "root", "v").mapInArrow(leaf, "id long, root long, v array<double>, t int, leaf long, more long")
+    codes = coded.select("t", "leaf", "more").groupBy("t", "leaf", "more").count()
+    further = F.least(F.lit(SPLIT), F.greatest(F.lit(0), F.ceil(F.log2(F.sum("count") / (4 * LEAF))))).cast("int")
+    splits = codes.groupBy("t", "leaf").agg(further.alias("e"))
+    split = F.col("more").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("e")) - 1)
+    sizes = codes.join(splits, ["t", "leaf"]).withColumn("split", split).groupBy("t", "leaf", "e", "split").agg(F.ceil(F.sum("count") / (4 * LEAF)).alias("parts"))
+    dealt = coded.join(splits, ["t", "leaf"]).withColumn("split", split).join(sizes.drop("e"), ["t", "leaf", "split"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id", "t"), F.col("parts")))
+    return dealt.groupBy("t", "leaf", "split", "part").applyInArrow(inside, EDGES)
 
 
 def best(edges: DataFrame, k: int) -> DataFrame:
@@ -93,9 +132,10 @@ def best(edges: DataFrame, k: int) -> DataFrame:
     return top.select("a", F.explode("l").alias("e")).select("a", "e.b", "e.sim", "e.new")
 
 
-def descend(points: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    """One round: compare the neighbours of every vector with each other; return the pairs, in
-    both directions, that are nearer than the farthest in the list of their first end.
+def descend(points: DataFrame, graph: DataFrame, k: int, threshold: float) -> DataFrame:
+    """One round: compare the neighbours of every vector with each other; return the pairs of different
+    roots, in both directions, that are nearer than the farthest in the list of their first end,
+    and ties that connect what is linked.
 
     A vector takes part with its own list and at most k of the vectors that list it (chosen by
     hash), pairs of two old neighbours are skipped."""
@@ -106,19 +146,18 @@ def descend(points: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     least = graph.groupBy("a").agg(F.when(F.count("*") < k, F.lit(-2.0)).otherwise(F.min("sim")).alias("least"))
     # Float precision will do for ordering; links are verified in double precision afterwards.
     near = points.join(least.withColumnRenamed("a", "id"), "id", "left").select(
-        F.col("id").alias("b"), F.col("v").cast("array<float>").alias("v"), F.coalesce("least", F.lit(-2.0)).alias("least")
+        F.col("id").alias("b"), "root", F.col("v").cast("array<float>").alias("v"), F.coalesce("least", F.lit(-2.0)).alias("least")
     )
 
     def meet(key, rows):
         ids, x = rows.column("b").to_numpy(), _vectors(rows.column("v")).astype(np.float64)
         new, floor = rows.column("new").to_numpy(), rows.column("least").to_numpy()
-        s = x @ x.T
-        better = (s > floor[:, None]) & (new[:, None] | new[None, :])
-        np.fill_diagonal(better, False)
-        i, j = np.nonzero(better)
-        return pa.table({"a": ids[i], "b": ids[j], "sim": s[i, j]})
+        s, root = x @ x.T, rows.column("root").to_numpy()
+        apart = (new[:, None] | new[None, :]) & (root[:, None] != root[None, :])
+        i, j = np.nonzero(apart & (s > floor[:, None]))
+        return _edges((ids[i], ids[j], s[i, j]), _forest(ids, s, apart, threshold))
 
-    return hood.join(near, "b").select("a", "b", "new", "v", "least").groupBy("a").applyInArrow(meet, "a long, b long, sim double")
+    return hood.join(near, "b").select("a", "b", "new", "root", "v", "least").groupBy("a").applyInArrow(meet, EDGES)
 
 
 def verified(points: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
@@ -130,6 +169,27 @@ def verified(points: DataFrame, edges: DataFrame, threshold: float) -> DataFrame
     return pairs.join(va, "a").join(vb, "b").where(dot >= threshold).select("a", "b")
 
 
+def _block_pairs(member: DataFrame) -> DataFrame:
+    """Rows (root, id, ...) dealt so that any two blocks of BLOCK vectors of a root meet: the block pair
+    (x, y), x <= y, gets block x as one side and block y as the other; i is the row's block."""
+    sizes = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = member.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
+    return placed.select("*", other).withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")})
+
+
+def all_ties(points: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, sim, tie) that connect all points as all links do, by comparing every block with every
+    other: exact, and quadratic."""
+
+    def compare(key, rows):
+        ids, x = rows.column("id").to_numpy(), _vectors(rows.column("v"))
+        return _edges((ids[:0], ids[:0], np.zeros(0)), _forest(ids, x @ x.T, ~np.eye(len(ids), dtype=bool), threshold))
+
+    dealt = _block_pairs(points.select(F.lit(0).alias("root"), "id", "v"))
+    return dealt.select("x", "y", "id", "v").groupBy("x", "y").applyInArrow(compare, EDGES)
+
+
 def group_links(points: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
     """(id, links): for vectors of connected groups, the rows within the threshold, without itself.
 
@@ -137,13 +197,7 @@ def group_links(points: DataFrame, of: DataFrame, threshold: float) -> DataFrame
     precision; a task holds two blocks and returns counts, no pairs. The number of links is what
     is asked for and is quadratic in a group; no group is in one task."""
     member = of.select(F.col("node").alias("id"), "root").join(points, "id")
-    sizes = of.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = member.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # The block pair (i, j), i <= j, gets block i as one side and block j as the other.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
-    dealt = placed.select("root", "id", "v", "copies", "i", other).select(
-        "root", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "v", "copies"
-    )
+    dealt = _block_pairs(member.select("root", "id", "v", "copies"))
 
     def compare(key, rows):
         block, x, y = rows.column("i").to_numpy(), key[1].as_py(), key[2].as_py()
@@ -159,27 +213,54 @@ def group_links(points: DataFrame, of: DataFrame, threshold: float) -> DataFrame
     return counts.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(points: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the true links of ``queries`` vectors (least hash of the id) that were found; the
-    queries, a bounded table, are compared with all rows."""
-    asked = points.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "v").collect()
+def audit(points: DataFrame, of: DataFrame, threshold: float) -> float:
+    """Estimated mean over the distinct vectors that have a link of the share of their links that is
+    inside their group; copies count for nothing, a large group for no more than its vectors.
+
+    Asked are, by least hash of the id, ALONE vectors without a group and AUDIT each of small
+    and large groups; each kind weighs what it has. They are bounded and compared with all rows."""
+    size = of.groupBy("root").count()
+    kinds = size.select("root", F.when(F.col("count") > NEIGHBOURS, 2).otherwise(1).alias("kind"))
+    rooted = points.select("id", "v").join(of.join(kinds, "root").withColumnRenamed("node", "id"), "id", "left")
+    rooted = materialised(rooted.select("id", "v", F.coalesce("root", "id").alias("root"), F.coalesce("kind", F.lit(0)).alias("kind")))
+    many = {r.kind: r["count"] for r in rooted.groupBy("kind").count().collect()}
+    asked = [r for kind in many for r in rooted.where(F.col("kind") == kind).orderBy(F.xxhash64("id"), "id").limit(AUDIT if kind else ALONE).collect()]
     if not asked:
         return 1.0
-    ids, q = np.array([r.id for r in asked]), np.array([r.v for r in asked])
+    ids, roots, q = np.array([r.id for r in asked]), np.array([r.root for r in asked]), np.array([r.v for r in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
+        true, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for b in batches:
-            x = _vectors(b.column("v"))
-            if len(x):
-                near = q @ x.T >= threshold
-                near |= ids[:, None] == b.column("id").to_numpy()[None, :]
-                total += near @ b.column("copies").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "n"])
-
-    true = points.select("id", "v", "copies").mapInArrow(run, "id long, n long").groupBy("id").agg((F.sum("n") - 1).alias("true"))
-    got = true.join(links, "id", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).first()
-    return got.f / got.t if got.t else 1.0
+            x, own, root = _vectors(b.column("v")), b.column("id").to_numpy(), b.column("root").to_numpy()
+            for i in range(0, len(ids) if len(x) else 0, AUDIT):
+                part = slice(i, i + AUDIT)
+                near = (q[part] @ x.T >= threshold) & (ids[part, None] != own[None, :])
+                true[part] += near.sum(axis=1)
+                found[part] += (near & (roots[part, None] == root[None, :])).sum(axis=1)
+        has = np.flatnonzero(true)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(true[has]), pa.array(found[has])], names=["id", "true", "found"])
+
+    sums = rooted.mapInArrow(run, "id long, true long, found long").groupBy("id").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).collect()
+    discard(rooted)
+    kind_of, drawn = {r.id: r.kind for r in asked}, {k: sum(r.kind == k for r in asked) for k in many}
+    weight = [many[kind_of[r.id]] / drawn[kind_of[r.id]] for r in sums]
+    return sum(w * r.f / r.t for w, r in zip(weight, sums, strict=True)) / sum(weight) if weight else 1.0
+
+
+def ties_of(points: DataFrame, width: int, count: int, first: int, k: int, threshold: float) -> DataFrame:
+    """Links (a, b, sim) found by one seeding and two rounds, between vectors of different roots."""
+    start = materialised(seeds(points, width, count, first, k, threshold))
+    ties = start.where("tie")
+    graph = materialised(best(start.where("not tie").drop("tie").withColumn("new", F.lit(True)), k))
+    for _ in range(2):
+        found = materialised(descend(points, graph, k, threshold))
+        ties = ties.unionByName(found.where("tie"))
+        listed = found.where("not tie").drop("tie").withColumn("new", F.lit(True))
+        following = materialised(best(graph.withColumn("new", F.lit(False)).unionByName(listed), k))
+        discard(graph)
+        graph = following
+    return ties.select("a", "b", "sim")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS, recall: float = RECALL, rounds: int = ROUNDS) -> DataFrame:
@@ -189,8 +270,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBO
     zero, or hold a null or non-finite component link with nothing, nor do rows without an id
     or of another length than most. n_links counts the other rows a row links with, its exact
     copies included; component_id is the smallest vec_id reachable. An empty table gives an
-    empty result. If the audit still finds less than ``recall`` after ``rounds`` seedings, the
-    result is what they found.
+    empty result. If the audit still finds less than ``recall`` after ``rounds`` seedings, all
+    blocks of vectors are compared, and the result is exact.
 
     Equal vectors are one point, so a group of exact copies costs no more than one vector.
     """
@@ -200,25 +281,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBO
     points = rows.where(F.size("v") == width).groupBy("v").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("copies"))
     points = materialised(points)
     count = points.count()
-    of = points.sparkSession.createDataFrame([], "node long, root long")
-    links = points.select("id", (F.col("copies") - 1).alias("links"))
-    graph = None
-    for r in range(rounds if count else 0):
-        start = seeds(points, width, count, r * TREES, k).withColumn("new", F.lit(True))
-        graph = materialised(best(start if graph is None else start.unionByName(graph), k))
-        for _ in range(2):
-            found = descend(points, graph, k).withColumn("new", F.lit(True))
-            following = materialised(best(graph.withColumn("new", F.lit(False)).unionByName(found), k))
-            discard(graph)
-            graph = following
-        pairs = materialised(verified(points, graph, threshold))
-        if not pairs.isEmpty():
-            of = components(pairs)
-            inside = group_links(points, of, threshold).withColumnRenamed("links", "n")
-            links = materialised(points.join(inside, "id", "left").select("id", F.coalesce("n", F.col("copies") - 1).alias("links")))
-        discard(pairs)
-        if audit(points, links, threshold) >= recall:
+    of, pairs = points.sparkSession.createDataFrame([], "node long, root long"), None
+    for r in range(rounds + 1 if count else 0):
+        if r < rounds:
+            rooted = points.join(of.withColumnRenamed("node", "id"), "id", "left").select("id", "v", F.coalesce("root", "id").alias("root"))
+            found = ties_of(materialised(rooted), width, count, r * TREES, k, threshold)
+        else:
+            found = all_ties(points, threshold)
+        new = verified(points, found, threshold)
+        pairs = materialised(new if pairs is None else pairs.unionByName(new))
+        of = of if pairs.isEmpty() else components(pairs)
+        if r < rounds and audit(points, of, threshold) >= recall:
             break
+    inside = group_links(points, of, threshold).withColumnRenamed("links", "n")
+    links = points.join(inside, "id", "left").select("id", F.coalesce("n", F.col("copies") - 1).alias("links"))
     each = points.join(of.withColumnRenamed("node", "id"), "id", "left").join(links, "id").select("id", "v", "links", F.coalesce("root", "id").alias("root"))
     first = each.groupBy("root").agg(F.min("id").alias("first"))
     per = each.join(first, "root").select("v", "links", "first")
