@@ -90,3 +90,13 @@ def test_embeddings_links_between_full_lists(spark):
         b = near(a, 0.915, rng)
         x += [near(c, 0.995, rng) for c in (a, b) for _ in range(14)]
     assert equals_brute_force(spark, np.array(x), 0.9) == 4
+
+
+def test_embeddings_small_pairs_beside_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LEAF", 2)
+    rng = np.random.default_rng(4)
+    x = [near(rng.standard_normal(48) if i == 0 else np.ones(48), 0.97, rng) for i in range(300)]
+    for _ in range(60):
+        a = rng.standard_normal(48)
+        x += [a, near(a, 0.72, rng)]
+    equals_brute_force(spark, np.array(x), 0.7, recall=1.0)  # the audit sees all 420 vectors
