@@ -100,3 +100,16 @@ def test_embeddings_small_pairs_beside_a_large_group(spark, monkeypatch):
         a = rng.standard_normal(48)
         x += [a, near(a, 0.72, rng)]
     equals_brute_force(spark, np.array(x), 0.7, recall=1.0)  # the audit sees all 420 vectors
+
+
+def test_language_model_contexts_are_whole():
+    """Every byte's context: the last six bytes, of the word before two at most."""
+    words, want = [b"river", b"abcdefgh", b"xyz"], set()
+    for i, word in enumerate(words):
+        before = (words[i - 1][-language_model.TAIL :] if i else b"") + b" "
+        stream = before + word + b" "
+        for at in range(len(before), len(stream)):
+            want.add(int.from_bytes(stream[max(0, at - language_model.DEPTH) : at + 1], "big"))
+    terms = language_model.tokens(pa.array([b" ".join(words).decode()])).flatten()
+    got = set(language_model.grams(terms).flatten().to_pylist())
+    assert {g for g in got if g & 255 != 10} == want

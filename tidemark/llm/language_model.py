@@ -27,7 +27,7 @@ from .common import remainder
 
 DEPTH = 6
 TAIL = 2
-HEAD = 3
+HEAD = DEPTH - 1  # bytes whose context reaches the word before
 END = b"\n"
 TOP = 2  # contexts of up to so many bytes lie above the subtrees
 CUT = 3  # a task works its subtrees in pieces that are whole for contexts of so many bytes
