@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +44,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name)
         out.append(name)
     return out
+
+
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (length[0] of them), then those of start[1], and so on."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of whole rows, each of at most ``size`` bytes (or list elements) of
+    ``column``, or of one larger row."""
+    values = batch.column(column)
+    measure = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    upto, first = np.cumsum(measure(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while first < len(upto):
+        done = upto[first - 1] if first else 0
+        last = max(int(np.searchsorted(upto, done + size, "right")), first + 1)
+        yield batch.slice(first, last - first)
+        first = last

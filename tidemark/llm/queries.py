@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontamination, embeddings, language_model, line_dedup, near_duplicates, packing, quality, sharding, token_counts, url_filters
+from . import decontamination, embeddings, language_model, line_dedup, near_duplicates, packing, pieces, quality, sharding, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,6 +102,19 @@ from dw left join covered using (row_id) left join items using (row_id)
 """
 
 
+@query
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    done = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model).select("doc_id", "ids"), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
