@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontamination, embeddings, language_model, line_dedup, near_duplicates, packing, pieces, quality, sharding, token_counts, url_filters
+from . import decontamination, embeddings, language_model, line_dedup, near_duplicates, packing, pieces, quality, runs, sharding, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,6 +115,40 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def partly_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which by the checksum of the id a tenth of the texts repeat a stretch of their words up to the end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
+        return F.array_join(F.when(n > 0, F.concat(F.slice(words, F.lit(1), a), tail)).otherwise(words), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    bound = F.element_at(F.transform(F.array(words), repeated), 1)  # the words are taken once
+    return docs.select("doc_id", F.when(h % 10 == 0, bound).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(partly_periodic(table(spark, sf_dir, "documents")))
+    larger = lambda best, r: best.isNull() | (r["length"].cast("long") * best["period"] > best["length"].cast("long") * r["period"])
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:int,length:int,period:int>"), lambda b, r: F.when(larger(b, r), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").cast("long").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length").cast("long") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
