@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontamination, embeddings, language_model, line_dedup, near_duplicates, packing, pieces, quality, runs, sharding, token_counts, url_filters
+from . import collocations, decontamination, embeddings, language_model, line_dedup, near_duplicates, packing, pieces, quality, runs, sharding, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,6 +115,38 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).withColumnRenamed("group", "lang")
+
+
+SQL["op12_collocations"] = r"""
+with piece as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[.,;:!?\x0A-\x0D]')) as t from documents),
+     w as (select lang, [x for x in regexp_extract_all(t, '[^\x20\x09]+') if x <> ''] as w from piece),
+     total as (select lang, sum(len(w))::hugeint as n from w group by lang),
+     f as (select lang, phrase, m, count(*)::hugeint as f
+           from (select lang, m, array_to_string(w[s : s + m - 1], ' ') as phrase
+                 from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as s from w, range(1, 6) as sizes(m) where len(w) >= m))
+           group by lang, phrase, m having count(*) >= 100),
+     cand as (select lang, phrase, m, f as a, string_split(phrase, ' ') as w from f where m > 1),
+     inner_ as (select lang, array_to_string(w[s : s + m2 - 1], ' ') as phrase, max(a) as longer
+                from (select lang, w, a, m2, unnest(range(1, m - m2 + 2)) as s from cand, range(2, 5) as sizes(m2) where m2 < m)
+                group by all),
+     free as (select c.* from cand c left join inner_ i using (lang, phrase) where i.longer is null or 100 * i.longer < 100 * c.a),
+     cut as (select lang, phrase, m, a, k, array_to_string(w[1 : k], ' ') as head, array_to_string(w[k + 1 : m], ' ') as rest
+             from (select *, unnest(range(1, m)) as k from free)),
+     scored as (select c.lang, c.phrase, a, k, l.f as l, r.f as r, n, (1000 * a * n) // (l.f * r.f) as score
+                from cut c join f l on l.lang = c.lang and l.phrase = c.head join f r on r.lang = c.lang and r.phrase = c.rest
+                join total on total.lang = c.lang),
+     best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank, phrase,
+       a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from best qualify rank <= 2000
+"""
+
+
 def partly_periodic(docs: DataFrame) -> DataFrame:
     """doc_id and text, in which by the checksum of the id a tenth of the texts repeat a stretch of their words up to the end."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
