@@ -30,6 +30,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NEVER = np.int64(1) << 40
 #: Words of up to so many characters are merged side by side, longer ones each by itself.
 WIDTHS = 0, 6, 10, 16, 32, 64
+#: Characters of words that are merged side by side at once, and bytes of text encoded at once.
+CELLS, SLICE_BYTES = 1 << 18, 2 << 20
 
 
 class CharacterMap:
@@ -183,7 +185,7 @@ class Model:
         start = np.cumsum(size) - size
         for low, high in zip(WIDTHS, WIDTHS[1:]):
             some = np.flatnonzero((size > low) & (size <= high))
-            for part in np.array_split(some, len(some) // 65_536 + 1):
+            for part in np.array_split(some, len(some) * high // CELLS + 1):
                 self._merge_rows(sym, begins, start[part], size[part], high)
         for i in np.flatnonzero(size > WIDTHS[-1]).tolist():
             self._merge_long(sym[start[i] : start[i] + size[i]], begins[start[i] : start[i] + size[i]])
@@ -222,8 +224,8 @@ class Model:
         there = column < size[:, None]
         s = np.full((n, width + 1), -1, np.int32)
         s[:, :width][there] = sym[ragged(start, size)]
-        after = np.where(column + 1 < size[:, None], column + 1, width)
-        before = np.tile(np.arange(-1, width), (n, 1))
+        after = np.where(column + 1 < size[:, None], column + 1, width).astype(np.int16)
+        before = np.tile(np.arange(-1, width, dtype=np.int16), (n, 1))
         rank, becomes = self._look_up(s[:, :-1], np.where(after < width, s[:, 1:], -1))
         alive, row = there.copy(), np.arange(n)
         while len(row):
@@ -306,11 +308,12 @@ def encode(docs: DataFrame, path: str, add_end: bool = True, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(path)
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", SLICE_BYTES):
                 n, *columns = model.encode(part.column("text"), add_end)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32))) for c in columns]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists], names=["doc_id", "ids", "starts", "ends"])
+                pa.default_memory_pool().release_unused()  # workers are kept, what they once needed should not be
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -326,7 +329,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = SentencePieceProcessor(model_file=path)
         for b in batches:
-            for part in slices(b, "ids", 1 << 20):
+            for part in slices(b, "ids", 1 << 18):
                 ids = part.column("ids")
                 texts = iter(model.decode(ids.drop_null().to_pylist(), num_threads=1) if ids.null_count < len(ids) else [])
                 made = pa.array([next(texts) if there else None for there in pc.is_valid(ids).to_pylist()], pa.string())
