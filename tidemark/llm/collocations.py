@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, materialised
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, small
 
 #: Bytes of text in a block, and of all unfinished blocks of a task (one a language).
-BLOCK_BYTES, OPEN_BYTES = 3 << 20, 24 << 20
+BLOCK_BYTES, OPEN_BYTES = 8 << 20, 32 << 20
+#: So many frequent phrases of one length are sent to all tasks; more are joined by exchange.
+BROADCAST_ROWS = 500_000
 #: A-Z in lower case, ends of pieces as line feeds, tabs as spaces.
 FOLDED = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\r\t", LOWER.encode() + b"\n" * 9 + b" ")
 RELATION = "group string, block long, step array<int>, phrase array<int>, times array<int>"
@@ -55,7 +57,7 @@ def words(docs: DataFrame, text: str, group: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, waiting, size = TaskContext.get().partitionId() << 32, {}, {}
+        number, waiting, size, open_bytes = TaskContext.get().partitionId() << 32, {}, {}, 0
 
         def done(g: str) -> pa.RecordBatch:
             nonlocal number
@@ -70,8 +72,9 @@ def words(docs: DataFrame, text: str, group: str) -> DataFrame:
                 size[g] = size.get(g, 0) + len(t) + 1
                 if size[g] >= BLOCK_BYTES:
                     yield done(g)
-                elif sum(size.values()) >= OPEN_BYTES if len(size) < 64 else len(size) >= 4096:
+                elif (open_bytes := open_bytes + len(t) + 64) >= OPEN_BYTES:
                     yield from map(done, list(size))
+                    open_bytes = 0
         yield from map(done, list(size))
 
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -80,14 +83,15 @@ def words(docs: DataFrame, text: str, group: str) -> DataFrame:
 
 
 def _phrases(relation: DataFrame, keys: list[str]) -> DataFrame:
-    """(block, no, group, keys, times): the distinct phrases of each block."""
-    each = relation.select("block", "group", F.posexplode(F.arrays_zip(*keys, "times")).alias("no", "z"))
-    return each.select("block", "no", "group", *[F.col(f"z.{k}").alias(k) for k in [*keys, "times"]])
+    """(block, no, keys, times): the distinct phrases of each block. Words have the group as a key; longer
+    phrases are named by ids, which belong to one group each."""
+    each = relation.select("block", "group", F.posexplode(F.arrays_zip(*[k for k in keys if k != "group"], "times")).alias("no", "z"))
+    return each.select("block", "no", *["group" if k == "group" else F.col(f"z.{k}").alias(k) for k in [*keys, "times"]])
 
 
 def frequent(relation: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """(group, keys, f, id): the phrases with at least ``least`` occurrences, as a table."""
-    counted = _phrases(relation, keys).groupBy("group", *keys).agg(F.sum(F.col("times").cast("long")).alias("f"))
+    """(keys, f, id): the phrases with at least ``least`` occurrences, as a table."""
+    counted = _phrases(relation, keys).groupBy(*keys).agg(F.sum(F.col("times").cast("long")).alias("f"))
     return materialised(counted.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
 
 
@@ -108,7 +112,7 @@ def extended(relation: DataFrame, keys: list[str], known: DataFrame) -> DataFram
         made = _relation(at[i], longer, times) | {"first": _whole(pa.array(ids[a], pa.int64())), "last": _whole(pa.array(ids[b], pa.int64()))}
         return pa.table({"group": left.column("group"), "block": left.column("block")} | made)
 
-    named = _phrases(relation, keys).select("block", "no", "group", *keys).join(known.select("group", *keys, "id"), ["group", *keys])
+    named = _phrases(relation, keys).drop("times").join(small(known.select(*keys, "id"), BROADCAST_ROWS), keys)
     named = named.select(*[F.col(c).alias(c) for c in ("block", "no", "id")])  # own columns, though both stem from the relation
     both = relation.select("group", "block", "step", "phrase").groupBy("block").cogroup(named.groupBy("block"))
     return materialised(both.applyInArrow(run, f"{RELATION}, first array<long>, last array<long>"))
@@ -119,7 +123,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text:
     group, and (group, n), the words of each group. The frequent ones are tables."""
     relation = words(docs, text, group)
     totals = materialised(relation.groupBy("group").agg(F.sum(F.size("phrase").cast("long")).alias("n")))
-    keys, levels = ["word"], []
+    keys, levels = ["group", "word"], []
     for length in range(1, longest + 1):
         known = frequent(relation, keys, least)
         if length == 1:
@@ -127,8 +131,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text:
         else:
             before = levels[-1]
             first = before.select("group", F.col("id").alias("first"), F.col("words").alias("head"))
-            last = before.select("group", F.col("id").alias("last"), F.element_at("words", -1).alias("tail"))
-            named = known.join(first, ["group", "first"]).join(last, ["group", "last"])
+            last = before.select(F.col("id").alias("last"), F.element_at("words", -1).alias("tail"))
+            named = known.join(first, "first").join(last, "last")
             named = named.select("group", "id", F.concat("head", F.array("tail")).alias("words"), "f")
         levels.append(materialised(named))
         if length == longest or levels[-1].isEmpty():
