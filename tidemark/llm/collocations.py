@@ -21,7 +21,8 @@ from ..session import discard, materialised
 from .common import LOWER, UPPER, small
 
 #: Bytes of text in a block, and of all unfinished blocks of a task (one a language).
-BLOCK_BYTES, OPEN_BYTES = 8 << 20, 32 << 20
+BLOCK_BYTES, OPEN_BYTES = 12 << 20, 32 << 20
+SLICE_BYTES = 2 << 20
 #: So many frequent phrases of one length are sent to all tasks; more are joined by exchange.
 BROADCAST_ROWS = 500_000
 #: A-Z in lower case, ends of pieces as line feeds, tabs as spaces.
@@ -32,13 +33,22 @@ RELATION = "group string, block long, step array<int>, phrase array<int>, times
 def _occurrences(texts: list[bytes]) -> dict[str, pa.Array]:
     """Words of all texts: their positions as steps from one to the next (1: neighbours in a piece), what
     stands there as numbers of distinct words, those words, and how often each occurs."""
-    tokens = pa.array(b"\n".join(texts).translate(FOLDED).replace(b"\n", b" \n ").split(b" "), pa.binary()).dictionary_encode()
-    values = tokens.dictionary.to_pylist()
-    code = tokens.indices.to_numpy(zero_copy_only=False)
+    chunks, some, size = [], [], 0
+    for i, t in enumerate(texts):  # few texts at once as single tokens
+        some.append(t)
+        size += len(t)
+        if size >= SLICE_BYTES or i == len(texts) - 1:
+            some.append(b"")
+            chunks.append(pa.array(b"\n".join(some).translate(FOLDED).replace(b"\n", b" \n ").split(b" "), pa.binary()).dictionary_encode())
+            some, size = [], 0
+    tokens = pa.chunked_array(chunks).unify_dictionaries()
+    dictionary = tokens.chunk(0).dictionary
+    values = dictionary.to_pylist()
+    code = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in tokens.chunks])
     code = code[code != (values.index(b"") if b"" in values else -1)]
     at = np.flatnonzero(code != (values.index(b"\n") if b"\n" in values else -1))
     distinct, phrase, times = np.unique(code[at], return_inverse=True, return_counts=True)
-    words = tokens.dictionary.take(pa.array(distinct)).cast(pa.string())
+    words = dictionary.take(pa.array(distinct)).cast(pa.string())
     return _relation(at, phrase, times) | {"word": _whole(words)}
 
 
@@ -64,6 +74,7 @@ def words(docs: DataFrame, text: str, group: str) -> DataFrame:
             number += 1
             size.pop(g)
             columns = {"group": pa.array([g]), "block": pa.array([number])} | _occurrences(waiting.pop(g))
+            pa.default_memory_pool().release_unused()  # workers are kept, what they once needed should not be
             return pa.RecordBatch.from_pydict(columns)
 
         for b in batches:
