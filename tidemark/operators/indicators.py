@@ -262,6 +262,14 @@ def candles(bars: DataFrame) -> DataFrame:
     )
 
 
+def run_lengths(bars: DataFrame) -> DataFrame:
+    """``up_run`` and ``down_run``: how many bars in a row, up to this one, closed above (below) the bar before, however many."""
+    w = upto()
+    d = bars.select("*", F.row_number().over(series()).alias("_i"), lag("close").alias("_p"))
+    length = lambda holds: (F.col("_i") - nz(F.max(F.when(~nz(holds, F.lit(False)), F.col("_i"))).over(w), 0)).cast("long")
+    return d.select(*bars.columns, length(F.col("close") > F.col("_p")).alias("up_run"), length(F.col("close") < F.col("_p")).alias("down_run"))
+
+
 def streaks(bars: DataFrame, depth: int = 10) -> DataFrame:
     """Signed run of rises/falls (capped by the lookback), new highs, same-sign days."""
     closes = [F.col("close") if k == 0 else F.col(f"_c{k}") for k in range(depth + 2)]
