@@ -49,7 +49,9 @@ def recovery_confidence(spark, base):
 cte("mgx", f"""SELECT *, count(*) FILTER (c1 < -0.5) OVER (PARTITION BY code ORDER BY dt ROWS 2 PRECEDING) >= 3 AS rn, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS k FROM (SELECT code, dt, round((rzye - lag(rzye) {W}) / nullif(abs(lag(rzye) {W}), 0) * 100, 9) AS c1, round((rzye - lag(rzye, 3) {W}) / nullif(abs(lag(rzye, 3) {W}), 0) * 100, 9) AS c3 FROM margin)""")
 
 
-@query(with_ctes(f"SELECT n.code, n.dt, {r('n.c3', 3)} AS chg_3d, {r('coalesce(s.p, 50)', 3)} AS percentile, coalesce(s.p <= 10, false) OR n.rn AS detected FROM (SELECT * FROM mgx WHERE k = 1) n LEFT JOIN (SELECT a.code, count(*) FILTER (a.c3 <= b.c3) * 100.0::DOUBLE / count(*) AS p FROM mgx a JOIN mgx b ON a.code = b.code AND b.k = 1 WHERE a.c3 IS NOT NULL GROUP BY a.code) s USING (code)"))
+@query(with_ctes(f"""SELECT code, dt, {r('c3', 3)} AS chg_3d, {r('coalesce(p, 50)', 3)} AS percentile, coalesce(p <= 10, false) OR rn AS detected FROM (
+  SELECT code, max(dt) AS dt, arg_max(rn, dt) AS rn, max(last_c3) AS c3, count(*) FILTER (c3 <= last_c3) * 100.0::DOUBLE / nullif(count(c3), 0) AS p FROM (
+  SELECT *, max(CASE WHEN k = 1 THEN c3 END) OVER (PARTITION BY code) AS last_c3 FROM mgx) GROUP BY code)"""))
 def margin_extreme(spark, base):
     d = pb.margin_extreme(src.margin(spark, base))
     return d.select("code", "dt", rd("chg_3d", 3).alias("chg_3d"), rd("percentile", 3).alias("percentile"), "detected")
@@ -130,29 +132,6 @@ def engine_walk_forward(spark, base):
     return md.evaluate_folds(p).select("fold", "n_rows", "n_dates", rd("rank_ic").alias("rank_ic"), rd("auc").alias("auc"))
 
 
-@query()
-def market_direction_model(spark, base):
-    idx = mkt.market_index(src.l1_bars(spark, base))
-    y = md.market_targets(idx).select("dt", "fwd_dir")
-    x = mkt.risk_features(idx, src.l2_bars(spark, base)).join(y, "dt")
-    cols = ["breadth_ratio", "ma20_ratio", "vol_expansion", "volume_shock", "index_deviation", "rsi_median"]
-    x = x.withColumns({c: nz(c) for c in cols})
-    model = md.fit_direction(x.where("dt < date'2000-01-01'"), cols, "fwd_dir", rounds=5)
-    return model.transform(x).select("dt", "fwd_dir", F.col("prediction").cast("int").alias("predicted"))
-
-
-@query()
-def sector_model(spark, base):
-    from ..operators.industry import industry_features
-    from .industry import FEATS, few_features
-
-    f = industry_features(few_features(spark, base), src.members(spark, base), "l2", FEATS, FEATS).withColumnRenamed("l2", "code")
-    cols = [c for c in f.columns if c not in ("code", "dt")]
-    d = f.join(md.sector_targets(src.l2_bars(spark, base)), ["code", "dt"]).withColumns({c: nz(c) for c in cols})
-    model = md.fit_direction(d.where("dt < date'2000-01-01'"), cols, "outperform", rounds=5)
-    return model.transform(d).select("code", "dt", "outperform", F.col("prediction").cast("int").alias("predicted"))
-
-
 @query()
 def size_group_rerank(spark, base):
     from ..operators.cross import size_groups

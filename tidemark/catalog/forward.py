@@ -156,24 +156,46 @@ def sector_folds(spark, base):
 METRICS = ["accuracy", "auc", "rule_accuracy", "beat"]
 
 
-@query()
-def market_walk_forward(spark, base):
-    """Out-of-sample metrics of the fitted market model beside the regime rule's."""
+def market_forecasts(spark, base):
+    """Out-of-sample probabilities of the fitted market model, with the regime rule's guess."""
     idx, d = market_data(spark, base)
     x = mkt.risk_features(idx, src.l2_bars(spark, base))
     cols = ["breadth_ratio", "ma20_ratio", "vol_expansion", "volume_shock", "index_deviation", "rsi_median"]
     plan = fd.FoldPlan(train0=MARKET_PLAN.train0, val=250, step=500)
-    p = fd.walk_forward_direction(d.join(x.select("dt", *cols), "dt"), idx, plan, cols, "fwd_dir", ["rule_up"], rounds=5)
-    return fd.direction_metrics(p, "fwd_dir", "prob", "rule_up").select("fold", "n_val", *[rd(c).alias(c) for c in METRICS])
+    return fd.walk_forward_direction(d.join(x.select("dt", *cols), "dt"), idx, plan, cols, "fwd_dir", ["rule_up"], rounds=5)
 
 
-@query()
-def sector_walk_forward(spark, base):
-    """Out-of-sample metrics of the fitted industry model beside the rule's thirds."""
+def sector_forecasts(spark, base):
+    """Out-of-sample probabilities of the fitted industry model, with the rule's guess."""
     bars, d = sector_data(spark, base)
     cols = ["rsi_14", "mom20", "atr_pct", "mom5", "vol_ratio", "pos20"]
-    p = fd.walk_forward_direction(d, bars, PANEL_PLAN, cols, "outperform", ["rule_outperform"], rounds=5)
-    return fd.direction_metrics(p, "outperform", "prob", "rule_outperform").select("fold", "n_val", *[rd(c).alias(c) for c in METRICS])
+    return fd.walk_forward_direction(d, bars, PANEL_PLAN, cols, "outperform", ["rule_outperform"], rounds=5)
+
+
+def guessed(p, *columns):
+    return p.select("fold", *columns, (F.col("prob") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def market_direction_model(spark, base):
+    return guessed(market_forecasts(spark, base), "dt", "fwd_dir", "rule_up")
+
+
+@query()
+def sector_model(spark, base):
+    return guessed(sector_forecasts(spark, base), "code", "dt", "outperform", "rule_outperform")
+
+
+@query()
+def market_walk_forward(spark, base):
+    """Metrics of the market model beside the regime rule's."""
+    return fd.direction_metrics(market_forecasts(spark, base), "fwd_dir", "prob", "rule_up").select("fold", "n_val", *[rd(c).alias(c) for c in METRICS])
+
+
+@query()
+def sector_walk_forward(spark, base):
+    """Metrics of the industry model beside the rule's thirds."""
+    return fd.direction_metrics(sector_forecasts(spark, base), "outperform", "prob", "rule_outperform").select("fold", "n_val", *[rd(c).alias(c) for c in METRICS])
 
 
 cte("clsv", f"""SELECT f.fold, s.code, s.dt, s.fwd_ret, p_momentum, p_reversion, p_breakout, CASE WHEN fwd_ret < {md.LOSS} THEN 0 WHEN fwd_ret > {md.GAIN} THEN 2 ELSE 1 END AS y

@@ -280,7 +280,7 @@ def days_before_events(spark, base):
     return joins.days_before_events(ev, ingest.trading_calendar(src.trade_ticks(spark, base)), 3)
 
 
-@query(with_ctes(f"""SELECT t.code, t.dt AS entry_dt, {r('p.close')} AS entry_close, CAST(b.i - p.i AS INTEGER) AS k, b.dt, {r('b.close')} AS close FROM trades t JOIN panel p ON p.code = t.code AND p.dt = t.dt JOIN panel b ON b.code = t.code AND b.i BETWEEN p.i + 1 AND p.i + 5"""))
+@query(with_ctes(f"""SELECT p.code, p.dt AS entry_dt, {r('p.close')} AS entry_close, CAST(p.k AS INTEGER) AS k, b.dt, {r('b.close')} AS close FROM (SELECT t.code, t.dt, q.close, q.i, unnest(range(1, 6)) AS k FROM trades t JOIN panel q ON q.code = t.code AND q.dt = t.dt) p JOIN panel b ON b.code = p.code AND b.i = p.i + p.k""").replace("panel AS (", "panel AS MATERIALIZED (").replace("trades AS (", "trades AS MATERIALIZED ("))
 def forward_bars(spark, base):
     d = joins.forward_bars(trades(spark, base), src.instrument_bars(spark, base), 5)
     return d.select("code", "entry_dt", rd("entry_close").alias("entry_close"), "k", "dt", rd("close").alias("close"))

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.asof import asof_merge
 from ..functions.ranks import with_pct_rank, with_pct_ranks
 from ..functions.scalar import clip, div0, flag, nz, safe_div
 from ..functions.windows import lag, mean_n, series, std_n
-from ..operators import cross, dependence as dep, flows, indicators as ind, industry as iops, market as mkt
+from ..operators import cross, dependence as dep, flows, fundamentals, indicators as ind, industry as iops, market as mkt
 from ..operators.predicates import board_type, wide_limit
 from ..session import materialised
 
@@ -207,12 +208,15 @@ def external_stage(d: DataFrame, x: Inputs) -> DataFrame:
             "code", "dt", *FLOW_COLS, nz(F.col("_sh") - lag("_sh")).alias("mf_buy_sell_rate_change"), nz(F.abs(F.col("_sh") * 2 - 1)).alias("mf_sustained_divergence_5d")
         )
         d = d.join(f, ["code", "dt"], "left")
+    known = {}  # what a date may know: the newest valuation and the newest published statement
     if x.valuation is not None:
-        d = d.join(valuation_features(x.valuation, x.members).select("code", "dt", *VALUE_COLS), ["code", "dt"], "left")
+        known["valuation"] = valuation_features(x.valuation, x.members), "dt", VALUE_COLS
     if x.statements is not None:
-        d = d.join(statement_ratios(x.statements), "code", "left")
+        known["statement"] = fundamentals.statement_ratios(x.statements), "known_dt", RATIO_COLS
+    if known:
+        d = d.join(asof_merge(d.select("code", "dt"), known).drop(*[f"{k}_dt" for k in known]), ["code", "dt"], "left")
     have = set(d.columns)
-    return d.withColumns({k: nz(k) for k in (*MARGIN_COLS, *FLOW_COLS, *VALUE_COLS, *RATIO_COLS) if k in have})
+    return d.withColumns({k: nz(k) for k in (*MARGIN_COLS, *FLOW_COLS) if k in have})
 
 
 COMPOSITE_RANKS = {
@@ -274,7 +278,7 @@ def derived(d: DataFrame) -> DataFrame:
         *[nz(F.col(a) * F.col(b)).alias(n) for n, (a, b) in PRODUCTS.items()],
     )
     if "roe" in d.columns:
-        d = d.withColumn("roa", nz("roe") * 0.6).withColumn("log1p_total_mv", F.log1p(F.abs(nz("total_mv"))))
+        d = d.withColumn("roa", F.col("roe") * 0.6).withColumn("log1p_total_mv", F.log1p(F.abs(F.col("total_mv"))))
     if "margin_buy_intensity" in d.columns:
         d = d.withColumn("margin_buy_intensity_ratio", F.col("margin_buy_intensity")).withColumn("margin_price_divergence", F.col("margin_balance_change"))
     return d
@@ -307,7 +311,7 @@ def build(x: Inputs, warm_up: int = WARM_UP, whole_history: bool = False) -> Dat
     if whole_history:  # looks ahead inside the sample; the default is the expanding form
         d = d.join(dep.history_statistics(x.bars).drop("n"), "code", "left").join(dep.hurst(x.bars), "code", "left")
     else:
-        d = d.join(dep.expanding_autocorr(x.bars), ["code", "dt"], "left")
+        d = d.join(dep.expanding_autocorr(x.bars), ["code", "dt"], "left").join(dep.expanding_statistics(x.bars), ["code", "dt"], "left")
     mapped = flag(F.col("l1").isNotNull())
     d = d.withColumn("has_sw_mapping", mapped).where(F.col("_bar") > warm_up)
     keep = [c for c in d.columns if c not in NOT_FEATURES and not c.startswith("_")]
