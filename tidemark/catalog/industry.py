@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.ewm import span_rate, with_ewm_adjusted
 from ..functions.scalar import rd
 from ..operators import indicators as ind, industry as ops, market as mkt
 from ..operators.snapshots import latest_rows
 from ..sources import bars as src
-from .ctes import W, cte, over, r, rolled, with_ctes
+from .ctes import BAR, W, cte, over, r, rolled, with_ctes
 from .registry import query
 from .windows import rsel, shown, walk
 
@@ -231,18 +232,73 @@ def price_levels(spark, base):
     return d.select("code", "dt", *[e.alias(n) for n, e in cols.items()])
 
 
-cte("zr", f"""SELECT code, dt, zone, dvg FROM (SELECT z.code, z.dt, z.dvg, z.vol / (CASE WHEN count(vol) {over(20)} >= 20 THEN avg(vol) {over(20)} END) AS vratio, rsi14, dif FROM zq3 z) q,
-  LATERAL (SELECT CASE WHEN rsi14 > 50 AND dif > 0 AND (vratio IS NULL OR vratio >= 0.8) THEN 'chase' WHEN rsi14 > 50 AND dif > 0 THEN 'watch' WHEN dif > 0 OR rsi14 > 45 THEN 'watch'
-  WHEN rsi14 > 55 THEN 'top_warn' WHEN rsi14 < 30 THEN 'top_warn' ELSE 'weak' END AS zone)""")
+walk("l2adj", "l2panel", ["ef", "es"], {"ef": "close", "es": "close"}, {"ef": "r.ef + (b.close - r.ef) * 2 / 13.0", "es": "r.es + (b.close - r.es) * 2 / 27.0"}, ["close"])
+
+
+def adjusted_sql(y, x0, i, span):
+    """The weighted average of all values so far from the smoothed value that the first one seeds."""
+    rest = f"pow(1 - 2 / {span + 1}.0::DOUBLE, {i})"
+    return f"(({y} - {rest} * {x0}) / (1 - {rest}))"
+
+
+cte("l2dif", f"""SELECT b.*, {adjusted_sql('m.ef', 'f', 'b.i', 12)} - {adjusted_sql('m.es', 'f', 'b.i', 26)} AS dif
+  FROM (SELECT *, first_value(close) OVER (PARTITION BY code ORDER BY dt) AS f FROM l2panel) b JOIN l2adj m ON m.code = b.code AND m.i = b.i""")
+_near = "OVER (PARTITION BY code ORDER BY dt ROWS BETWEEN"
+cte("l2pk", f"""SELECT *, CASE WHEN i > 5 AND count(close) {_near} 1 FOLLOWING AND 5 FOLLOWING) = 5 AND close > max(close) {_near} 5 PRECEDING AND 1 PRECEDING) AND close > max(close) {_near} 1 FOLLOWING AND 5 FOLLOWING) THEN i END AS pi FROM l2dif""")
+cte("l2dvg", f"""SELECT q.*, coalesce(len(l) >= 2 AND a.close > b.close AND a.dif <= b.dif, false) AS dvg FROM (SELECT *, list(pi) FILTER (pi IS NOT NULL) {_near} 54 PRECEDING AND 5 PRECEDING) AS l FROM l2pk) q
+  LEFT JOIN l2dif a ON a.code = q.code AND a.i = q.l[-1] LEFT JOIN l2dif b ON b.code = q.code AND b.i = q.l[-2]""")
+cte("zrsi", f"""SELECT code, dt, CASE WHEN al > 0 THEN 100 - 100 / (1 + ag / al) END AS rsi FROM (SELECT code, dt, {rolled('avg', 'l', 14, 14)} AS al, {rolled('avg', 'g', 14, 14)} AS ag FROM (SELECT *, CASE WHEN pre_close IS NOT NULL THEN greatest(close - pre_close, 0) END AS g,
+  CASE WHEN pre_close IS NOT NULL THEN greatest(pre_close - close, 0) END AS l FROM l2panel))""")
+cte("zr", f"""SELECT code, dt, dvg, CASE WHEN rsi > 50 AND dif > 0 AND (vratio IS NULL OR vratio >= 0.8) THEN 'chase' WHEN dif > 0 OR rsi > 45 THEN 'watch' WHEN rsi > 55 THEN 'top_warn' WHEN rsi < 30 THEN 'top_warn' ELSE 'weak' END AS zone FROM (
+  SELECT z.code, z.dt, z.i, z.dvg, z.dif, x.rsi, z.vol / nullif(CASE WHEN count(z.vol) OVER w >= 20 THEN avg(z.vol) OVER w END, 0) AS vratio FROM l2dvg z JOIN zrsi x ON x.code = z.code AND x.dt = z.dt WINDOW w AS (PARTITION BY z.code ORDER BY z.dt ROWS 19 PRECEDING)) WHERE i >= 60""")
 
 
 @query(with_ctes("""SELECT dt, count(*) FILTER (zone = 'chase') AS chase, count(*) FILTER (zone = 'watch') AS watch, count(*) FILTER (zone = 'top_warn') AS top_warn,
   count(*) FILTER (zone = 'weak') AS weak, count(*) FILTER (dvg) AS divergence, CASE WHEN count(*) FILTER (dvg) >= 4 THEN 'critical' WHEN count(*) FILTER (zone = 'top_warn') >= 16 THEN 'high' ELSE 'normal' END AS risk_level
   FROM zr GROUP BY dt""", recursive=True))
 def zone_rule_counts(spark, base):
-    d = ops.zone_inputs(src.l2_bars(spark, base)).where("n_bars >= 60")
-    d = d.withColumn("volume_ratio", ind.div0("vol", ind.mean_n("vol", 20, 20)))
-    return ops.zone_counts(ops.zone_rules(d))
+    return ops.zone_counts(ops.study_zones(src.l2_bars(spark, base)))
+
+
+@query(with_ctes(f"""SELECT b.code, b.dt, {rsel({'ema12': adjusted_sql('m.ef', 'b.f', 'b.i', 12), 'ema26': adjusted_sql('m.es', 'b.f', 'b.i', 26)})}
+  FROM (SELECT *, first_value(close) OVER (PARTITION BY code ORDER BY dt) AS f FROM panel) b JOIN macd1 m ON m.code = b.code AND m.i = b.i""", recursive=True))
+def ewm_adjusted(spark, base):
+    d = with_ewm_adjusted(src.instrument_bars(spark, base), {"ema12": ("close", span_rate(12)), "ema26": ("close", span_rate(26))})
+    return shown(d, ["ema12", "ema26"])
+
+
+@query(with_ctes(f"SELECT code, dt, dvg AS peak_divergence, {r('dif')} AS macd_dif FROM l2dvg WHERE i >= 60", recursive=True))
+def study_divergence(spark, base):
+    d = ops.study_zones(src.l2_bars(spark, base))
+    return d.select("code", "dt", F.col("divergence").alias("peak_divergence"), rd("macd_dif").alias("macd_dif"))
+
+
+cte("l3bars", f"""SELECT l2 * 10 + code % 3 AS l3, dt, {BAR} FROM ticks JOIN members USING (code) GROUP BY 1, 2""")
+cte("hlev", f"""SELECT code, dt, level, m - g AS excess, g - lag(g) OVER (PARTITION BY code, dt ORDER BY level) AS dv, sum(CASE WHEN sign(g) = sign(m) AND sign(m) <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY code, dt) AS agree FROM (
+  SELECT p.code, p.dt, v.level, p.m, coalesce(CASE v.level WHEN 1 THEN a.h WHEN 2 THEN b.h ELSE c.h END, 0) AS g FROM (SELECT code, dt, coalesce((close / lag(close, 20) {W} - 1) * 100, 0) AS m FROM panel) p JOIN members g ON g.code = p.code
+  JOIN (SELECT unnest([1, 2, 3]) AS level) v ON true LEFT JOIN (SELECT code, dt, (close / lag(close, 20) {W} - 1) * 100 AS h FROM l1panel) a ON a.code = g.l1 AND a.dt = p.dt
+  LEFT JOIN (SELECT code, dt, (close / lag(close, 20) {W} - 1) * 100 AS h FROM l2panel) b ON b.code = g.l2 AND b.dt = p.dt
+  LEFT JOIN (SELECT l3, dt, (close / lag(close, 20) OVER (PARTITION BY l3 ORDER BY dt) - 1) * 100 AS h FROM l3bars) c ON c.l3 = g.l2 * 10 + g.code % 3 AND c.dt = p.dt)""")
+
+
+def three_levels(spark, base):
+    """Members with a third level below the nations, and its bars."""
+    members = src.members(spark, base).withColumn("l3", F.col("l2") * 10 + F.col("code") % 3)
+    t = src.trade_ticks(spark, base).join(members.select("code", "l3"), "code").drop("code").withColumnRenamed("l3", "code")
+    return members, src.build_bars(t, ["code", "dt"], "px", "qty", "amt", src.tick_order())
+
+
+@query(with_ctes(f"SELECT code, dt, CAST(level AS INTEGER) AS level, {rsel({'excess_return': 'excess', 'divergence': 'dv'})}, CAST(agree AS BIGINT) AS agreeing FROM hlev"))
+def industry_hierarchy_levels(spark, base):
+    members, l3 = three_levels(spark, base)
+    name = lambda level, c: F.concat(F.lit(f"{level}:"), c)
+    edges = members.select(name("l3", "l3").alias("child"), name("l2", "l2").alias("parent")).unionByName(members.select(name("l2", "l2").alias("child"), name("l1", "l1").alias("parent"))).distinct()
+    tree = ops.closure(edges, members.select("code", name("l3", "l3").alias("parent")))
+    l1, l2 = src.l1_bars(spark, base), src.l2_bars(spark, base)
+    bars = [b.select(name(level, "code").alias("code"), "dt", "close") for level, b in (("l1", l1), ("l2", l2), ("l3", l3))]
+    f = ind.momenta(src.instrument_bars(spark, base), (20,)).select("code", "dt", "mom20")
+    d = ops.hierarchy_levels(f, tree, bars[0].unionByName(bars[1]).unionByName(bars[2]), mkt.market_index(l1))
+    return d.select("code", "dt", "level", rd("excess_return").alias("excess_return"), rd("divergence").alias("divergence"), "agreeing")
 
 
 cte("hier", f"""SELECT p.code, p.dt, p.m, coalesce(a.h, 0) AS h1, coalesce(b.h, 0) AS h2 FROM (SELECT code, dt, coalesce((close / lag(close, 20) {W} - 1) * 100, 0) AS m FROM panel) p

@@ -73,3 +73,20 @@ def with_ewm(
         raws.append(F.when(F.col(x).isNotNull(), F.col(f"_l_{out}") + carried).alias(f"_y_{out}"))
     d = d.select(*kept, *raws)
     return d.select(*kept, *[F.last(f"_y_{out}", ignorenulls=True).over(run).alias(out) for out in specs])
+
+
+def with_ewm_adjusted(
+    df: DataFrame, specs: Mapping[str, tuple[str, float]], key: str = "code", order: str = "dt"
+) -> DataFrame:
+    """Like ``with_ewm``, but weighted averages of the values so far (``adjust=True``): the weights (1-a)^age
+    are divided by their sum, so the first value counts no more than its age allows.
+
+    Numerator and denominator are both decayed sums. With y the smoothed value that is seeded by the first value x0, and
+    n values so far, the average is (y - (1-a)^n x0) / (1 - (1-a)^n)."""
+    raw = with_ewm(df, {f"_y_{out}": spec for out, spec in specs.items()}, key, order)
+    run = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = {}
+    for name, (x, a) in specs.items():
+        rest = F.pow(F.lit(1.0 - a), F.count(F.col(x)).over(run))
+        out[name] = (F.col(f"_y_{name}") - rest * F.first(F.col(x), ignorenulls=True).over(run)) / (F.lit(1.0) - rest)
+    return raw.select(*[k for k in df.columns if k not in specs], *[v.alias(k) for k, v in out.items()])

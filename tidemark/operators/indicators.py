@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ewm import span_rate, wilder_rate, with_ewm
+from ..functions.ewm import span_rate, wilder_rate, with_ewm, with_ewm_adjusted
 from ..functions.scalar import clip, div0, flag, nz, one_if, tiers
 from ..functions.windows import (
     before_n, kurt_n, lag, last_n, lead, max_n, mean_n, min_n, momentum, next_n, roll, series, skew_n, std_n, sum_n, upto,
@@ -361,10 +361,12 @@ def decayed_return(d: DataFrame, n: int = 20, rate: float = 0.2) -> DataFrame:
     return d.withColumn("exp_wgt_return_20d", F.when(F.row_number().over(series()) > n, value).otherwise(0.0))
 
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    d = with_ewm(bars, {"_ef": ("close", span_rate(fast)), "_es": ("close", span_rate(slow))})
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, adjusted: bool = False) -> DataFrame:
+    """DIF, its signal line and their difference; ``adjusted`` smooths by weighted averages of the values so far."""
+    smooth = with_ewm_adjusted if adjusted else with_ewm
+    d = smooth(bars, {"_ef": ("close", span_rate(fast)), "_es": ("close", span_rate(slow))})
     d = d.withColumn("macd_dif", F.col("_ef") - F.col("_es")).drop("_ef", "_es")
-    d = with_ewm(d, {"macd_signal": ("macd_dif", span_rate(signal))})
+    d = smooth(d, {"macd_signal": ("macd_dif", span_rate(signal))})
     return d.withColumn("macd_hist", F.col("macd_dif") - F.col("macd_signal"))
 
 

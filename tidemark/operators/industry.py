@@ -291,6 +291,20 @@ def zone_rules(d: DataFrame) -> DataFrame:
     return d.withColumn("zone", zone)
 
 
+def study_zones(bars: DataFrame, min_bars: int = 60) -> DataFrame:
+    """Zone and divergence of every bar as the threshold study takes them: MACD by adjusted smoothing, divergence of the last two
+    price peaks against DIF, and an RSI that is unknown without a loss (which meets no condition)."""
+    from .pullbacks import peak_divergence
+
+    d = ind.rsi_sma(peak_divergence(ind.macd(bars, adjusted=True)), (14,))
+    d = d.select("*", F.row_number().over(series()).alias("n_bars"), div0("vol", mean_n("vol", 20, 20)).alias("volume_ratio")).where(F.col("n_bars") >= min_bars)
+    rsi, dif, vr = F.col("rsi_14"), nz("macd_dif"), F.col("volume_ratio")
+    zone = tiers(
+        [((rsi > 50) & (dif > 0) & (vr.isNull() | (vr >= 0.8)), "chase"), ((dif > 0) | (rsi > 45), "watch"), (rsi > 55, "top_warn"), (rsi < 30, "top_warn")], "weak"
+    )
+    return d.withColumns({"zone": zone, "divergence": F.col("peak_divergence")}).drop("peak_divergence")
+
+
 def zone_counts(d: DataFrame) -> DataFrame:
     """Zones per date and the risk level they imply."""
     kinds = ("chase", "watch", "top_warn", "weak")
@@ -304,6 +318,43 @@ def hierarchy_momentum(bars: DataFrame, n: int = 20) -> DataFrame:
     return bars.select("code", "dt", momentum(n).alias("ind_mom"))
 
 
+def closure(parents: DataFrame, leaves: DataFrame, deepest: int = 16) -> DataFrame:
+    """(code, depth, group): every group above each leaf. ``parents`` has child and parent, ``leaves`` has code and parent; depth 1 is
+    the group of the leaf itself, growing upwards. A tree of more than ``deepest`` levels, or with a cycle, is an error."""
+    level = leaves.select("code", F.col("parent").alias("group")).where("group is not null").withColumn("depth", F.lit(1))
+    out = level
+    for depth in range(2, deepest + 2):
+        up = parents.where("parent is not null").select(F.col("child").alias("group"), F.col("parent").alias("_up"))
+        level = level.join(up, "group").select("code", F.col("_up").alias("group"), F.lit(depth).alias("depth"))
+        if level.isEmpty():
+            return out.select("code", "depth", "group")
+        if depth > deepest:
+            break
+        out = out.unionByName(level)
+    raise ValueError(f"more than {deepest} levels, or a group above itself")
+
+
+def hierarchy_levels(features: DataFrame, above: DataFrame, group_bars: DataFrame, market: DataFrame, n: int = 20) -> DataFrame:
+    """Momentum (``mom20`` of ``features``) against every level of a hierarchy of any depth, a row per (code, dt, level).
+
+    ``above`` is a ``closure``; levels are numbered from the top, 1 being the highest. ``group_bars`` has the bars of all groups
+    (``code`` is the group). ``excess_return`` is against the level's group, ``divergence`` the group's momentum less that of the level
+    above it (NULL at the top), ``agreeing`` how many levels move the instrument's way. A missing group day counts as 0; instruments
+    without any group have one row of level 0, against the market."""
+    moves = hierarchy_momentum(group_bars, n).select(F.col("code").alias("group"), "dt", nz("ind_mom").alias("_g"))
+    top = above.groupBy("code").agg(F.max("depth").alias("_top"))
+    levels = above.join(top, "code").select("code", "group", (F.col("_top") - F.col("depth") + 1).alias("level"))
+    d = features.join(levels, "code", "left").join(moves, ["group", "dt"], "left")
+    mk = hierarchy_momentum(market, n).select("dt", nz("ind_mom").alias("_mk"))
+    d = d.join(mk, "dt", "left").withColumn("level", nz("level", 0)).withColumn("_g", nz(F.when(F.col("level") == 0, F.col("_mk")).otherwise(F.col("_g"))))
+    m = nz("mom20")
+    one = Window.partitionBy("code", "dt")  # a row per level
+    agree = F.sum(one_if((F.signum("_g") == F.signum(m)) & (F.signum(m) != 0))).over(one)
+    return d.select(
+        "code", "dt", F.col("level").cast("int").alias("level"), "group", (m - F.col("_g")).alias("excess_return"), (F.col("_g") - F.lag("_g").over(one.orderBy("level"))).alias("divergence"), agree.alias("agreeing")
+    )
+
+
 def hierarchy_features(features: DataFrame, members: DataFrame, l1_bars: DataFrame, l2_bars: DataFrame, market: DataFrame) -> DataFrame:
     """Excess momentum against both industry levels and their agreement; an unmapped
     instrument is measured against the market, a missing industry day counts as 0."""

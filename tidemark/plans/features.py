@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..functions.ranks import with_pct_rank, with_pct_ranks
 from ..functions.scalar import clip, div0, flag, nz, safe_div
 from ..functions.windows import lag, mean_n, series, std_n
 from ..operators import cross, dependence as dep, flows, fundamentals, indicators as ind, industry as iops, market as mkt
+from ..operators.panel_scores import persistence_panel
 from ..operators.predicates import board_type, wide_limit
 from ..session import materialised
 
@@ -27,7 +29,7 @@ def mask(features: DataFrame, pool: Sequence[str], keys: Sequence[str] = ("code"
 
 @dataclass
 class Inputs:
-    """Panels the matrix is built from; ``members`` has code, l1, l2."""
+    """Panels the matrix is built from; ``members`` has code, l1, l2, and l3 if ``l3`` is given."""
 
     bars: DataFrame
     members: DataFrame
@@ -37,6 +39,7 @@ class Inputs:
     flow: DataFrame | None = None
     valuation: DataFrame | None = None
     statements: DataFrame | None = None
+    l3: DataFrame | None = None
 
 
 # ---- stage 1: windows over one instrument ---------------------------------------------------
@@ -146,6 +149,11 @@ def group_stage(d: DataFrame, panel: DataFrame, x: Inputs) -> DataFrame:
     narrow = d.select("code", "dt", "mom20")
     h = iops.hierarchy_features(narrow, x.members, x.l1, x.l2, index).drop("mom20")
     b = dep.beta(panel.select("code", "dt", "pct_chg"), market).drop("pct_chg")
+    if x.l3 is not None:  # a third level below the two
+        tree = iops.closure(_edges(x.members), x.members.select("code", F.concat(F.lit("l3:"), "l3").alias("parent")))
+        named = [bars.select(F.concat(F.lit(f"{level}:"), "code").alias("code"), "dt", "close") for level, bars in (("l1", x.l1), ("l2", x.l2), ("l3", x.l3))]
+        deep = iops.hierarchy_levels(narrow, tree, reduce(DataFrame.unionByName, named), index).where("level = 3")
+        h = h.join(deep.select("code", "dt", F.col("excess_return").alias("excess_return_l3"), F.col("divergence").alias("L3_L2_divergence")), ["code", "dt"], "left")
     d = d.join(h, ["code", "dt"], "left").join(b, ["code", "dt"], "left").join(x.members.select("code", "l1", "l2"), "code", "left")
     board = wide_limit("code")
     for level in ("l1", "l2"):
@@ -156,7 +164,15 @@ def group_stage(d: DataFrame, panel: DataFrame, x: Inputs) -> DataFrame:
         d = d.join(lim.join(day, ["dt", level]), ["dt", level], "left")
     d = d.withColumn("stock_vs_L1_alpha_daily", nz(F.col("pct_chg") - F.col("_chg_l1"))).drop("_chg_l1", "_chg_l2", "up_pct_l2")
     d = d.withColumns({f"rank_{v}_in_all": nz(f"rank_{v}_in_all", 50.0) for v in ("l1", "l2")})
-    return d.join(mkt.breadth_features(panel), "dt", "left")
+    persistence = persistence_panel(x.l1).select(F.col("code").alias("l1"), "dt", F.col("score").alias("sector_persistence"))
+    return d.join(persistence, ["l1", "dt"], "left").join(mkt.breadth_features(panel), "dt", "left")
+
+
+def _edges(members: DataFrame) -> DataFrame:
+    """child and parent of the industry levels of ``members``, named by level."""
+    name = lambda level: F.concat(F.lit(f"{level}:"), level)
+    pairs = [members.select(name(low).alias("child"), name(high).alias("parent")) for low, high in (("l3", "l2"), ("l2", "l1"))]
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
 RANKS = {
@@ -293,7 +309,7 @@ PRODUCTS = {
 # Columns that only carry intermediate values or inputs.
 NOT_FEATURES = {
     "open", "high", "low", "vol", "pre_close", "pct_chg", "ret", "tr", "atr", "ma5", "ma10", "ma20", "ma60", "ma120", "ma250", "vma5", "vma20", "ama5", "ama20", "ama10",
-    "bb_mid", "bb_std", "bb_upper", "bb_lower", "macd_label", "vol14", "vol20_annual", "l1", "l2", "amount",
+    "bb_mid", "bb_std", "bb_upper", "bb_lower", "macd_label", "vol14", "vol20_annual", "l1", "l2", "l3", "amount",
 }
 
 
