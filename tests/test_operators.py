@@ -193,3 +193,50 @@ def test_keyword_filter_takes_words_literally(spark):
 
     d = spark.createDataFrame([("a*b",), ("aab",), (None,), ("(x",)], "name string")
     assert {r.name for r in without_keywords(d, "name", ["*", "("]).collect()} == {"aab", None}
+
+
+def test_store_update_reaches_back_by_bars(spark, tmp_path):
+    """A code with a bar every ninth day needs years for its window; the update is exact all the same."""
+    rows = [(k, day(i), float((i * 7919) % 101)) for k, step in (("A", 1), ("B", 9)) for i in range(0, 1200, step)]
+    bars = spark.createDataFrame(rows, "code string, dt date, close double")
+    build = lambda b: b.select("code", "dt", F.round(ind.mean_n("close", 100, 100), 9).alias("m"))
+    path = str(tmp_path / "store")
+    store.write_store(build(bars.where(F.col("dt") <= F.lit(day(1000)))), path)
+    store.update_store(spark, path, bars, build, buffer_bars=100)
+    got = {(r.code, r.dt): r.m for r in spark.read.parquet(path).collect()}
+    assert got == {(r.code, r.dt): r.m for r in build(bars).collect()}
+
+
+def test_stream_by_year_takes_late_bars_and_reads_only_their_years(spark, make_bars, tmp_path):
+    from tidemark.streaming.incremental import append_stream_by_year, stored_keys
+
+    bars = make_bars({"A": [float(i) for i in range(1, 1101)]})  # 2020 to 2023
+    where = {k: str(tmp_path / k) for k in ("store", "landing", "state")}
+
+    def land(df):
+        df.write.mode("append").parquet(where["landing"])
+        append_stream_by_year(spark, where["landing"], bars.schema, where["store"], where["state"]).awaitTermination(120)
+
+    land(bars.where("year(dt) <> 2020 or month(dt) = 1"))
+    assert spark.read.parquet(where["store"]).count() == bars.where("year(dt) <> 2020 or month(dt) = 1").count()
+    land(bars.where("year(dt) = 2022"))  # replayed
+    land(bars.where("year(dt) = 2020").unionByName(bars.where("year(dt) = 2020")))  # late, each row twice
+    got = spark.read.parquet(where["store"])
+    assert got.count() == bars.count() == got.select("code", "dt").distinct().count()
+    keys = stored_keys(spark, where["store"], bars.schema, [2021])
+    scan = keys._jdf.queryExecution().executedPlan().toString()
+    assert keys.count() == 365 and "year" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_recoveries_are_censored_not_never(spark, make_bars):
+    from tidemark.operators import pullbacks as pb
+
+    # falls at bar 70, regains that price 320 bars after its low, falls again at bar 421 and stays below
+    closes = [100.0] * 70 + [96.0] + [80.0] * 20 + [85.0] * 300 + [97.0] * 30 + [90.0] + [80.0] * 20
+    bars = make_bars({"A": closes})
+    short = {r.event_dt: r for r in pb.pullback_events(bars).collect()}
+    whole = {r.event_dt: r for r in pb.pullback_events(bars, recovery_span=None).collect()}
+    assert set(short) == set(whole)
+    assert (short[day(70)].recovery_days, short[day(70)].censored) == (-1, False)
+    assert (whole[day(70)].recovery_days, whole[day(70)].censored) == (320, False)
+    assert [(d[day(421)].recovery_days, d[day(421)].censored) for d in (short, whole)] == [(-1, True)] * 2

@@ -27,6 +27,13 @@ def pullback_events(spark, base):
     return d.select("code", "event_dt", *[rd(c).alias(c) for c in ("entry", "nadir", "max_drawdown_pct")], "duration", "recovery_days")
 
 
+@query(with_ctes("""SELECT code, event_dt, CAST(coalesce(rec, -1) AS INTEGER) AS recovery_days, rec IS NULL AS censored FROM (SELECT l.code, l.event_dt, l.entry, l.ni, min(p.i) - l.ni AS rec FROM pbl l LEFT JOIN pbc p ON p.code = l.code AND p.i >= l.ni AND p.close >= l.entry
+  GROUP BY l.code, l.event_dt, l.entry, l.ni)""", recursive=True))
+def pullback_recovery(spark, base):
+    """Recoveries however late; those that have not come by the last bar are censored."""
+    return pb.pullback_events(src.l1_bars(spark, base), recovery_span=None).select("code", "event_dt", "recovery_days", "censored")
+
+
 @query(with_ctes(f"""SELECT code, count(*) AS n_events, count(*) FILTER (rec >= 0) AS recovered_count, {rsel({'recovery_rate': 'count(*) FILTER (rec >= 0) * 100.0 / count(*)', 'mean_recovery_days': 'avg(rec) FILTER (rec >= 0)'})}, CAST(min(rec) FILTER (rec >= 0) AS INTEGER) AS best_case_days, CAST(max(rec) FILTER (rec >= 0) AS INTEGER) AS worst_case_days FROM pbev GROUP BY code""", recursive=True))
 def pattern_statistics(spark, base):
     d = st.pattern_statistics(pb.pullback_events(src.l1_bars(spark, base)), ["code"])

@@ -238,7 +238,7 @@ def defensive_filter(spark, base):
 @query(with_ctes(f"""SELECT code, atr_pct FROM (SELECT code, {r('a / close * 100', 3)} AS atr_pct FROM (SELECT *, max(i) OVER (PARTITION BY code) AS n FROM (SELECT code, dt, i, close, count(*) {over(21)} AS c, avg(CASE WHEN pre_close IS NOT NULL THEN greatest(high - low, abs(high - pre_close), abs(low - pre_close)) END) {over(20)} AS a FROM panel))
   WHERE i = n AND n >= 11 AND code IN (SELECT code FROM (SELECT code, arg_max(pe_ttm, dt) AS pe, arg_max(pb, dt) AS pb FROM valuation WHERE pe_ttm IS NOT NULL AND pb IS NOT NULL GROUP BY code) WHERE pe BETWEEN 0 AND 60 AND pb < 8)) WHERE atr_pct < 70 ORDER BY atr_pct, code LIMIT 60"""))
 def defense_pool(spark, base):
-    return routing.defense_pool(src.valuation(spark, base), src.instrument_bars(spark, base), pe=(0.0, 60.0), pb_max=8.0, atr_max=70.0)
+    return routing.defense_pool(src.valuation(spark, base), src.instrument_bars(spark, base), pe=(0.0, 60.0), pb_max=8.0, atr_max=70.0, limit=60)
 
 
 @query(with_ctes(f"""SELECT dt, code, row_number() OVER (PARTITION BY dt ORDER BY mom5 DESC NULLS LAST, code) <= greatest(ceil(count(*) OVER (PARTITION BY dt) * 0.03), 1) AS momentum_boost,

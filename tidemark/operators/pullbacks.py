@@ -42,18 +42,25 @@ def spaced(hits: DataFrame, gap: int = MIN_GAP) -> DataFrame:
     return hits.groupBy("code").applyInPandas(keep, hits.schema)
 
 
-def pullback_events(bars: DataFrame, gap: int = MIN_GAP) -> DataFrame:
-    """Events with the low of the following bars and the bars it took to regain the entry price (-1: not within the span)."""
+def pullback_events(bars: DataFrame, gap: int = MIN_GAP, nadir_span: int = NADIR_SPAN, recovery_span: int | None = RECOVERY_SPAN) -> DataFrame:
+    """Events with the low of the ``nadir_span`` bars from the event on and the bars it took from there to regain the entry price.
+
+    ``recovery_days`` is -1 if that is not seen within ``recovery_span`` bars (None: up to the last bar); ``censored`` tells
+    whether the bars end before the span does, so that a recovery may still come."""
     c = candidates(bars).where("n >= 60")
     ev = spaced(c.where("hit").select("code", "dt", "close", "i"), gap).select("code", F.col("dt").alias("event_dt"), F.col("close").alias("entry"), F.col("i").alias("e"))
     px = c.select("code", "i", "close")
-    near = ev.select("*", F.explode(F.sequence(F.lit(0), F.lit(NADIR_SPAN - 1))).alias("_k")).withColumn("i", F.col("e") + F.col("_k")).join(px, ["code", "i"])
+    near = ev.select("*", F.explode(F.sequence(F.lit(0), F.lit(nadir_span - 1))).alias("_k")).withColumn("i", F.col("e") + F.col("_k")).join(px, ["code", "i"])
     low = near.groupBy("code", "event_dt", "entry", "e").agg(F.min(F.struct("close", "i")).alias("_m"))
     low = low.select("code", "event_dt", "entry", "e", F.col("_m.close").alias("nadir"), F.col("_m.i").alias("nadir_i"))
-    ahead = low.select("code", "event_dt", "entry", "nadir_i", F.explode(F.sequence(F.lit(0), F.lit(RECOVERY_SPAN - 1))).alias("_k")).withColumn("i", F.col("nadir_i") + F.col("_k"))
+    low = low.join(c.groupBy("code").agg((F.max("i")).alias("_end")), "code")
+    rest = F.col("_end") - F.col("nadir_i")  # bars after the low
+    span = rest if recovery_span is None else F.least(rest, F.lit(recovery_span - 1))
+    ahead = low.select("code", "event_dt", "entry", "nadir_i", F.explode(F.sequence(F.lit(0).cast("long"), span.cast("long"))).alias("_k")).withColumn("i", F.col("nadir_i") + F.col("_k"))
     back = ahead.join(px, ["code", "i"]).where(F.col("close") >= F.col("entry")).groupBy("code", "event_dt").agg(F.min("_k").alias("_rec"))
     return low.join(back, ["code", "event_dt"], "left").select(
         "code", "event_dt", "entry", "nadir", (F.col("nadir_i") - F.col("e")).cast("int").alias("duration"), ((F.col("nadir") / F.col("entry") - 1) * 100).alias("max_drawdown_pct"), nz("_rec", -1).cast("int").alias("recovery_days"),
+        (F.col("_rec").isNull() & (F.lit(True) if recovery_span is None else rest < recovery_span - 1)).alias("censored"),
     )
 
 

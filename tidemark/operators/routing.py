@@ -83,8 +83,9 @@ def defensive_filter(df: DataFrame, by: list[str], keep: float = 0.40, floor: in
     return d.join(counts, by).where(F.col("place") <= n_keep).drop("_n", "place")
 
 
-def defense_pool(valuation: DataFrame, bars: DataFrame, asof: Column | None = None, pe: tuple[float, float] = (0.0, 15.0), pb_max: float = 2.0, atr_max: float = 2.0, limit: int = 60) -> DataFrame:
-    """Cheap and calm instruments: newest PE/PB in range, mean true range of 20 bars below atr_max percent."""
+def defense_pool(valuation: DataFrame, bars: DataFrame, asof: Column | None = None, pe: tuple[float, float] = (0.0, 15.0), pb_max: float = 2.0, atr_max: float = 2.0, limit: int | None = None) -> DataFrame:
+    """Cheap and calm instruments: newest PE/PB in range, mean true range of 20 bars below atr_max percent; the ``limit`` calmest,
+    or all if None."""
     from .indicators import true_range
     from .snapshots import latest_rows
     from ..functions.windows import last_n
@@ -96,7 +97,8 @@ def defense_pool(valuation: DataFrame, bars: DataFrame, asof: Column | None = No
     d = d.select("code", "dt", "close", (F.col("high") - F.col("low")).alias("_hl"), true_range(False).alias("_tr"))
     d = d.select("*", F.count(F.lit(1)).over(last_n(21)).alias("_n"), F.avg("_tr").over(last_n(20)).alias("_a"), F.avg(F.coalesce("_tr", "_hl")).over(last_n(21)).alias("_b"))
     newest = latest_rows(d, min_rows=11).withColumn("atr_pct", rd(F.col("_a") / F.col("close") * 100, 3))
-    return newest.where(F.col("atr_pct") < atr_max).select("code", "atr_pct").orderBy("atr_pct", "code").limit(limit)
+    calm = newest.where(F.col("atr_pct") < atr_max).select("code", "atr_pct")
+    return calm if limit is None else calm.orderBy("atr_pct", "code").limit(limit)
 
 
 def composite_scores(df: DataFrame, gate: float = 0.55) -> DataFrame:

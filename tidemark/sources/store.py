@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The longest feature window is 250 bars; the refresh recomputes a longer history than that.
-BUFFER_DAYS = 400
+#: The longest feature window, in a code's own bars.
+BUFFER_BARS = 250
 
 
 def with_year(df: DataFrame) -> DataFrame:
@@ -24,17 +24,19 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def new_feature_rows(bars: DataFrame, build, last: Column, buffer_days: int = BUFFER_DAYS) -> DataFrame:
-    """Features of dates after ``last``, computed on the buffered slice of the bars."""
-    recent = bars.where(F.col("dt") >= F.date_sub(last, buffer_days))
-    return build(recent).where(F.col("dt") > last)
+def new_feature_rows(bars: DataFrame, build, last: Column, buffer_bars: int = BUFFER_BARS) -> DataFrame:
+    """Features of dates after ``last``, computed on those bars and the ``buffer_bars`` before them of each code,
+    however far back those lie. Exact for windows of up to so many bars; features that remember more
+    (smoothing, running sums, run lengths) belong into a store that is carried forward (``sources.carried``)."""
+    newest = Window.partitionBy("code").orderBy(F.desc("dt"))
+    before = bars.where(F.col("dt") <= last).withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= buffer_bars).drop("_k")
+    return build(before.unionByName(bars.where(F.col("dt") > last))).where(F.col("dt") > last)
 
 
-def update_store(spark: SparkSession, path: str, bars: DataFrame, build, buffer_days: int = BUFFER_DAYS) -> None:
-    """Append the dates the store lacks. The buffer is given in calendar days; the first
-    days of a code with thin trading need a wider one (see ``buffer_days``)."""
+def update_store(spark: SparkSession, path: str, bars: DataFrame, build, buffer_bars: int = BUFFER_BARS) -> None:
+    """Append the dates the store lacks."""
     last = read_store(spark, path).agg(F.max("dt").alias("d")).scalar()
-    with_year(new_feature_rows(bars, build, last, buffer_days)).write.mode("append").partitionBy("year").parquet(path)
+    with_year(new_feature_rows(bars, build, last, buffer_bars)).write.mode("append").partitionBy("year").parquet(path)
 
 
 def remove_date(spark: SparkSession, path: str, day: str, staging: str) -> None:
