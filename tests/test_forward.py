@@ -269,3 +269,21 @@ def test_expanding_statistics_use_only_the_past(spark, make_bars):
 def test_run_lengths(make_bars):
     got = [(r.up_run, r.down_run) for r in ind.run_lengths(make_bars({"a": [*range(1, 31), 29, 28, 28, 29]})).orderBy("dt").collect()]
     assert got == [*((i, 0) for i in range(30)), (0, 1), (0, 2), (0, 0), (1, 0)]
+
+
+def test_factor_quantiles(spark):
+    from tidemark.operators.studies import factor_quantiles
+
+    data = [(float(RNG.integers(0, 8)), None if RNG.random() < 0.2 else float(RNG.normal()), None if RNG.random() < 0.1 else float(RNG.normal())) for _ in range(300)]
+    got = {(r.factor, r.bucket): r for r in factor_quantiles(spark.createDataFrame(data, "a double, b double, y double"), ["a", "b"], "y").collect()}
+    for i, name in enumerate(("a", "b")):
+        rows_ = [(x[i], x[2]) for x in data if x[i] is not None and x[2] is not None]
+        edges = np.quantile([x for x, _ in rows_], [0.25, 0.5, 0.75])
+        by = {k: [y for x, y in rows_ if (x > edges).sum() == k] for k in range(4)}
+        for k, ys in by.items():
+            if not ys:
+                assert (name, k) not in got
+                continue
+            r = got[name, k]
+            assert r.n == len(ys) and r.avg_return == pytest.approx(np.mean(ys)) and r.win_rate == pytest.approx(np.mean(np.array(ys) > 0) * 100)
+            assert r.spread == pytest.approx(np.mean(by[3]) - np.mean(by[0]))

@@ -5,12 +5,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rd, tiers
-from ..operators import dependence as dep, fundamentals as fun, indicators as ind, market as mkt, panel_scores as ps
+from ..operators import dependence as dep, fundamentals as fun, indicators as ind, market as mkt, panel_scores as ps, picks as pk, studies as st
 from ..plans import folds as fd, grids, layers, models as md, weekly
 from ..session import discard, materialised, shared_folder
 from ..sources import bars as src, carried, ingest
 from .ctes import CTES, W, cte, over, r, rolled, with_ctes
-from . import extras  # noqa: F401  (its fragments are used here)
+from . import extras, portfolios  # noqa: F401  (their fragments are used here)
 from .market import D
 from .registry import query
 from .rules import feats
@@ -432,3 +432,32 @@ def portfolio_weight_grid(spark, base):
     panels = {k: ps.persistence_panel(bars, lookback=k).join(after, ["code", "dt"]) for k in LOOKBACKS}
     d = grids.portfolio_grid(panels, FOUR, GRID_WEIGHTS, TOPS)
     return d.select("lookback", "combo", "top", "n_days", rd("log_return", 3).alias("log_return"), rd("max_drawdown").alias("max_drawdown"), rd("sharpe").alias("sharpe"), "eligible")
+
+
+# ---- one study over the daily picks ------------------------------------------------------------
+
+PICK_FACTORS = {"momentum_5d": "m5", "momentum_20d": "m20", "volatility_20d": "v20", "volume_ratio": "vr", "ma20_deviation": "dev", "atr_ratio": "atr_ratio", "score": "score"}
+POINTS = (5, 25, 50, 75, 95)
+cte("pkst", " UNION ALL ".join(f"SELECT '{k}' AS factor, {c} AS x, fwd FROM dayp WHERE fwd IS NOT NULL AND {c} IS NOT NULL" for k, c in PICK_FACTORS.items()))
+cte("pkqb", """SELECT p.factor, CAST(CASE WHEN x > q1 THEN 1 ELSE 0 END + CASE WHEN x > q2 THEN 1 ELSE 0 END + CASE WHEN x > q3 THEN 1 ELSE 0 END AS INTEGER) AS bucket, fwd
+  FROM pkst p JOIN (SELECT factor, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM pkst GROUP BY factor) q ON q.factor = p.factor""")
+
+
+def picks(spark, base):
+    return materialised(pk.day_picks(pk.day_factors(src.instrument_bars(spark, base))))
+
+
+@query(with_ctes(f"""SELECT factor, bucket, n, {rsel({'avg_return': 'a', 'win_rate': 'w', 'spread': 'max(CASE WHEN bucket = 3 THEN a END) OVER (PARTITION BY factor) - max(CASE WHEN bucket = 0 THEN a END) OVER (PARTITION BY factor)'}, 3)}
+  FROM (SELECT factor, bucket, count(*) AS n, avg(fwd) AS a, count(*) FILTER (fwd > 0) * 100.0 / count(*) AS w FROM pkqb GROUP BY factor, bucket)"""))
+def pick_factor_quartiles(spark, base):
+    d = st.factor_quantiles(picks(spark, base), list(PICK_FACTORS), "forward_return")
+    return d.select("factor", "bucket", "n", *[rd(c, 3).alias(c) for c in ("avg_return", "win_rate", "spread")])
+
+
+@query(with_ctes(f"""SELECT CAST(rk AS INTEGER) AS rk, count(*) AS n, {rsel({'avg_return': 'avg(fwd)', 'median_return': 'median(fwd)', 'win_gt0': 'count(*) FILTER (fwd > 0) * 100.0 / count(*)', 'win_gt5': 'count(*) FILTER (fwd > 5) * 100.0 / count(*)',
+  'win_gt10': 'count(*) FILTER (fwd > 10) * 100.0 / count(*)', **{f'p{p}': f'quantile_cont(fwd, {p / 100})' for p in POINTS}}, 3)} FROM dayp WHERE fwd IS NOT NULL GROUP BY rk"""))
+def pick_rank_study(spark, base):
+    """Outcomes by the place of a pick on its day, with percentiles."""
+    d = picks(spark, base).where("forward_return is not null")
+    stats = st.outcome_stats(d, ["rk"], "forward_return").join(st.percentile_panel(d, "forward_return", ["rk"], POINTS), "rk")
+    return stats.select("rk", "n", *[rd(c, 3).alias(c) for c in ("avg_return", "median_return", "win_gt0", "win_gt5", "win_gt10", *[f"p{p}" for p in POINTS])])

@@ -54,6 +54,21 @@ def with_width_bucket(df: DataFrame, x: str, n: int, out: str = "bucket") -> Dat
     return d.withColumn(out, F.greatest(F.least(nz(pos, 0), F.lit(n - 1)), F.lit(0)).cast("int")).drop("_e")
 
 
+def factor_quantiles(df: DataFrame, factors: Sequence[str], outcome: str, n: int = 4) -> DataFrame:
+    """Outcome per n-quantile of every factor (bucket 0 lowest, edges interpolated, right-closed): rows, mean, share of gains,
+    and ``spread``, the mean of the highest bucket less that of the lowest. All factors share one stacked pass; rows without the outcome
+    or the factor are left out of that factor."""
+    names = {f"_q{i}": i / n for i in range(1, n)}
+    pairs = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors])
+    d = df.where(F.col(outcome).isNotNull()).select(F.col(outcome).alias("_o"), F.explode(pairs).alias("_p")).select("_o", "_p.factor", "_p.x").where("x is not null and not isnan(x)")
+    d = d.join(exact_percentiles(d, ["factor"], "x", names), "factor")  # a row of edges per factor
+    bucket = sum((one_if(F.col("x") > F.col(q)) for q in names), F.lit(0))
+    out = d.groupBy("factor", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg("_o").alias("avg_return"), share(F.col("_o") > 0).alias("win_rate"))
+    every = Window.partitionBy("factor")  # n rows
+    ends = [F.max(F.when(F.col("bucket") == k, F.col("avg_return"))).over(every) for k in (n - 1, 0)]
+    return out.withColumn("spread", ends[0] - ends[1])
+
+
 def factor_study(df: DataFrame, factor: str, label: str, n: int = 10) -> DataFrame:
     """Risk rate per quantile bucket with lift of the last over the first and monotonicity."""
     d = with_quantile_bucket(df, factor, n).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), share(F.col(label) == 1).alias("risk_rate"))
