@@ -225,7 +225,15 @@ def test_weekly_windows_rows_and_fits(spark):
         f = fits[r.week]
         assert r.pred == pytest.approx(f.intercept + f.weights[0] * r.x + f.weights[1] * r.z)
     ic = {r.week: r for r in weekly.weekly_ic(val, "pred", "y", min_rows=5).collect()}
-    assert ic and all(-1 <= r.ic_plain <= 1 and r.ic_boosted >= r.ic_plain - 1e-9 for r in ic.values())
+    known = val.where("y is not null").toPandas()
+    for week, r in ic.items():
+        mine = known[known["week"] == week]
+        boosted = mine["pred"].where(mine["y"] <= 2, mine["pred"] * 2)
+        assert r.n == len(mine) and r.ic_plain == pytest.approx(mine["pred"].rank().corr(mine["y"].rank()))
+        assert r.ic_boosted == pytest.approx(boosted.rank().corr(mine["y"].rank()))
+        above = mine[mine["pred"] > mine["pred"].mean()]
+        assert r.win_rate == pytest.approx((above["y"] > 0).mean())
+    assert set(ic) == {w for w in known["week"] if (known["week"] == w).sum() >= 5}
 
 
 # ---- data as of its date -----------------------------------------------------------------------
