@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -320,6 +320,8 @@ def build(x: Inputs, warm_up: int = WARM_UP, whole_history: bool = False) -> Dat
     stage reads a few columns of the matrix several times.
     """
     panel = materialised(x.bars.withColumn("pre_close", lag("close")).withColumn("pct_chg", (F.col("close") / F.col("pre_close") - 1) * 100))
+    # every stage reads these again, and each may be built from ticks
+    x = replace(x, bars=panel.drop("pre_close", "pct_chg"), **{k: materialised(v) for k in ("l1", "l2", "l3") if (v := getattr(x, k)) is not None})
     d = window_stage(panel)
     d = group_stage(d, panel, x).withColumns(calendar_columns(F.col("dt"))).withColumn("board_type", board_type("code"))
     d = materialised(external_stage(d, x))
