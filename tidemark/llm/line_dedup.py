@@ -1,17 +1,20 @@
 """Line deduplication by a log-template tree.
 
 A line's way through the tree is its token count and its first tokens; tokens with a digit are
-a wildcard. Lines in one leaf are generalised position by position: a token that enough
-lines of the leaf share there is constant, any other is a field that varies. A line's template
+a wildcard. Lines in one leaf are generalised position by position: a token shared there by
+about as many texts as the rest of the line is constant, any other is a field that varies. A line's template
 is its constants and wildcards, and templates that recur across documents are dropped.
 """
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialised
+from ..session import discard, materialised
 from . import near_duplicates
 from .common import fresh, small, text_key
 
@@ -22,92 +25,144 @@ BROADCAST_LEAVES = 500_000
 BROADCAST_TEXTS = 500_000
 
 
-def tokens_of(line: Column) -> Column:
-    """Tokens of a line: lower-cased, cut at white space, those with a digit as wildcards."""
-    words = F.array_remove(F.split(F.lower(line), r"\s+"), "")
-    masked = F.transform(words, lambda w: F.when(w.rlike(r"\d"), WILD).otherwise(w))
-    return F.when(line.rlike(r"\d"), masked).otherwise(words)
+def masked(line: Column) -> Column:
+    """The line lower-cased, tokens with a digit as wildcards."""
+    low = F.lower(line)
+    return F.when(low.rlike("[0-9]"), F.regexp_replace(low, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", WILD)).otherwise(low)
+
+
+def cut(line: Column) -> Column:
+    """Tokens of a line, cut at white space."""
+    return F.array_remove(F.split(line, r"\s+"), "")
 
 
 def lines_of(docs: DataFrame, depth: int) -> DataFrame:
-    """k1, k2, pos, toks, leaf, line, exact for every line of every text that has a token. exact
-    stands for the tokens with their digits, for lines that are too much of numbers for a template."""
+    """k1, k2, pos, n (tokens), leaf, line, exact, body (the masked line) for every line of every row
+    that has a token. exact stands for the tokens with their digits, for lines that are too much of
+    numbers for a template."""
     each = docs.where("text is not null").select(*text_key(F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    toks = each.select("k1", "k2", "pos", tokens_of(F.col("raw")).alias("toks"), "raw").where(F.size("toks") > 0)
-    numbers = F.size(F.filter("toks", lambda t: t == WILD))
-    words = F.array_remove(F.split(F.lower("raw"), r"\s+"), "")
-    toks = toks.select("k1", "k2", "pos", "toks", F.when(F.col("raw").rlike(r"\d") & (2 * numbers > F.size("toks")), F.xxhash64(words)).alias("exact"))
+    toks = each.select("k1", "k2", "pos", "raw", masked(F.col("raw")).alias("body")).withColumn("toks", cut(F.col("body"))).where(F.size("toks") > 0)
+    wild = F.col("body").contains(WILD)
+    numbers = F.when(wild, F.size(F.filter("toks", lambda t: t == WILD))).otherwise(0)
+    exact = F.when(wild & F.col("raw").rlike("[0-9]") & (2 * numbers > F.size("toks")), F.xxhash64(cut(F.lower("raw"))))
     path = F.xxhash64(F.size("toks"), F.slice("toks", 1, depth))
-    return toks.select("*", path.alias("leaf"), F.xxhash64("toks").alias("line"))
+    return toks.select("k1", "k2", "pos", F.size("toks").alias("n"), path.alias("leaf"), F.xxhash64("toks").alias("line"), exact.alias("exact"), "body")
+
+
+def templates(lines: DataFrame, min_docs: int, constant: float, share: float) -> DataFrame:
+    """(leaf, line, template) of ``lines`` (leaf, line, body, texts: distinct texts that have the line).
+
+    The support of a token is the number of texts of the leaf with it at that position. The level
+    of a line is what ``constant`` of its tokens without a digit reach: about how many texts
+    have its template, whatever else the leaf holds. A token with less than ``share`` of the
+    level, or than ``min_docs``, is a field. So a value that recurs in a field stays a value
+    however large the corpus gets. Lines that are not constant enough have no template.
+    """
+    word = F.posexplode(cut(F.col("body"))).alias("p", "word")
+    at = lines.select("leaf", "line", "texts", word).select("leaf", "line", "texts", "p", F.xxhash64("word").alias("tok"), (F.col("word") == WILD).alias("number"))
+    support = at.where("not number").groupBy("leaf", "p", "tok").agg(F.sum("texts").alias("support")).where(F.col("support") >= min_docs)
+    marked = at.join(support, ["leaf", "p", "tok"], "left")
+    held = F.when(F.col("number"), F.lit(-1)).otherwise(F.coalesce("support", F.lit(1)))
+    found = marked.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("p", "tok", held.alias("s")))).alias("at"))
+    words = F.filter("at", lambda x: x["s"] >= 0)
+    found = found.withColumn("levels", F.sort_array(F.transform(words, lambda x: x["s"]), asc=False)).where(F.size("levels") > 0)
+    level = F.try_element_at("levels", F.greatest(F.lit(1), F.ceil(F.lit(constant) * F.size("levels")).cast("int")))
+    found = found.withColumn("floor", F.greatest(F.lit(float(min_docs)), F.lit(share) * level))
+    fixed = F.size(F.filter("at", lambda x: x["s"] >= F.col("floor")))
+    shape = F.xxhash64(F.transform("at", lambda x: F.when(x["s"] >= F.col("floor"), x["tok"])), F.transform("at", lambda x: x["s"] >= F.col("floor")))
+    # Tokens with a digit are fields by their form; of the others enough must be constant.
+    return found.where((fixed >= F.lit(constant) * F.size("levels")) & (2 * fixed >= F.size("at"))).select("leaf", "line", shape.alias("template"))
 
 
-def recurring_lines(docs: DataFrame, seen: DataFrame, depth: int, min_docs: int, constant: float) -> DataFrame:
-    """(leaf, line) of the lines whose template occurs in ``min_docs`` different texts or more.
+def recurring_lines(seen: DataFrame, min_docs: int, constant: float, share: float) -> DataFrame:
+    """(leaf, line, template) of the lines of ``seen`` (see lines_of) whose template occurs in
+    ``min_docs`` different texts or more.
 
     Leaves with fewer texts are cut off first, and equal lines are one row from then on, with the
     number of texts they are in; a line that a third of the corpus has is as cheap as any.
     """
     leaves = seen.select("leaf", "k1", "k2").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    leaves = small(materialised(leaves), BROADCAST_LEAVES)
-    busy = lines_of(docs, depth).join(leaves, "leaf", "left_semi").select("leaf", "line", "toks", "k1", "k2").distinct()
-    lines = materialised(busy.groupBy("leaf", "line").agg(F.first("toks").alias("toks"), F.count("*").alias("texts")))
-    at = lines.select("leaf", "line", "texts", F.posexplode("toks").alias("p", "tok"))
-    support = at.groupBy("leaf", "p", "tok").agg(F.sum("texts").alias("n"))
-    marked = at.join(support.where(F.col("n") >= min_docs), ["leaf", "p", "tok"], "left")
-    number = F.col("tok") == WILD
-    general = marked.select("leaf", "line", "p", number.alias("number"), F.when(F.col("n").isNull(), WILD).otherwise(F.col("tok")).alias("tok"))
-    formed = general.groupBy("leaf", "line").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("p", "tok"))), lambda x: x["tok"]).alias("template"), F.count_if("number").alias("numbers")
-    )
-    # Tokens with a digit are fields by their form; of the others enough must be constant.
-    size, fixed = F.size("template"), F.size(F.filter("template", lambda t: t != WILD))
-    formed = formed.where((fixed >= F.lit(constant) * (size - F.col("numbers"))) & (2 * fixed >= size))
-    formed = formed.select("leaf", "line", F.xxhash64("template").alias("template"))
+    leaves = materialised(leaves)
+    busy = seen.join(small(leaves, BROADCAST_LEAVES), "leaf", "left_semi").select("leaf", "line", "body", "k1", "k2").distinct()
+    lines = materialised(busy.groupBy("leaf", "line", "body").agg(F.count("*").alias("texts")))
+    formed = materialised(templates(lines, min_docs, constant, share))
     # A text counts once for a template, whichever of its lines have it.
     pairs = seen.select("leaf", "line", "k1", "k2").join(formed, ["leaf", "line"]).select("leaf", "template", "k1", "k2").distinct()
     often = pairs.groupBy("leaf", "template").count().where(F.col("count") >= min_docs)
-    return formed.join(often, ["leaf", "template"], "left_semi").select("leaf", "line")
+    out = materialised(formed.join(often, ["leaf", "template"], "left_semi").select("leaf", "line", "template"))
+    discard(leaves, lines, formed)
+    return out
 
 
-def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 2, constant: float = 0.75, most: float = 0.5) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 2, constant: float = 0.75, most: float = 0.5, share: float = 0.5) -> DataFrame:
     """k1, k2, drop (positions of dropped lines), whole (recurring lines found, none dropped), for
     texts with a recurring line.
 
     A template needs constants in half of its tokens and in ``constant`` of those without a digit;
-    lines with fewer recur if they are equal, digits included.
+    lines with fewer recur if they are equal, digits included. ``share``: see templates.
 
-    A text with more than ``most`` of its words in recurring lines may be a copy of another. If one of
-    those texts has the similarity at which near-duplicate removal connects, both are left whole for
-    it, so that one copy survives; the others lose their recurring lines like any text.
+    A text with more than ``most`` of its words in recurring lines may be a copy of another. If it
+    shares more than ``most`` of them with one other such text, and the two have the similarity at
+    which near-duplicate removal connects, both are left whole for it, so that one copy
+    survives; the others lose their recurring lines like any text. See copies.
     """
-    made = lines_of(docs, depth).select("k1", "k2", "pos", "leaf", "line", "exact", F.size("toks").alias("n")).distinct()
-    seen = materialised(made)
-    hit = recurring_lines(docs, seen, depth, min_docs, constant).withColumn("hit", F.lit(True))
-    found = seen.join(hit, ["leaf", "line"], "left").select("k1", "k2", "pos", "n", F.col("n").alias("words"), "hit")
+    seen = materialised(lines_of(docs, depth))
+    hit = recurring_lines(seen, min_docs, constant, share)
+    narrow = seen.select("k1", "k2", "pos", "n", "leaf", "line", "exact")
+    marked = narrow.join(hit, ["leaf", "line"], "left")
     # Lines with an exact hash have no template, so no line is counted twice.
-    equal = seen.where("exact is not null")
+    equal = narrow.where("exact is not null")
     often = equal.select("exact", "k1", "k2").distinct().groupBy("exact").count().where(F.col("count") >= min_docs)
-    found = found.union(equal.join(often, "exact", "left_semi").select("k1", "k2", "pos", "n", F.lit(0), F.lit(True)))
-    per = found.groupBy("k1", "k2").agg(
-        F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("pos")))).alias("found"),
-        F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("in_hit"),
-        F.sum("words").alias("words"),
-    )
-    most_of = F.col("in_hit") > F.lit(most) * F.col("words")
-    per = materialised(per.where(F.size("found") > 0).select("k1", "k2", "found", most_of.alias("mostly")))
-    copies = _copies(docs, per.where("mostly").select("k1", "k2")).withColumn("copy", F.lit(True))
+    numbers = equal.join(often, "exact", "left_semi").select("k1", "k2", "pos", "n", F.lit(0).alias("words"), F.col("exact").alias("template"))
+    marked = marked.select("k1", "k2", "pos", "n", F.col("n").alias("words"), "template").union(numbers)
+    # Equal texts are one: their rows differ in nothing.
+    lines = F.array_sort(F.collect_set(F.struct("pos", "n", "words", "template")))
+    per = marked.groupBy("k1", "k2").agg(lines.alias("lines"))
+    found = F.filter("lines", lambda x: x["template"].isNotNull())
+    total = lambda of, name: F.aggregate(of, F.lit(0), lambda a, x: a + x[name])
+    per = per.select("k1", "k2", found.alias("found"), total(F.col("lines"), "words").alias("words")).where(F.size("found") > 0)
+    per = materialised(per.withColumn("mostly", total(F.col("found"), "n") > F.lit(most) * F.col("words")))
+    of = copies(docs, per.where("mostly"), most).withColumn("copy", F.lit(True))
     whole, none = F.coalesce("copy", F.lit(False)), F.array().cast("array<int>")
-    return per.join(copies, ["k1", "k2"], "left").select("k1", "k2", F.when(whole, none).otherwise(F.col("found")).alias("drop"), whole.alias("whole"))
+    dropped = per.select("k1", "k2", F.transform("found", lambda x: x["pos"]).alias("found")).join(of, ["k1", "k2"], "left")
+    out = materialised(dropped.select("k1", "k2", F.when(whole, none).otherwise(F.col("found")).alias("drop"), whole.alias("whole")))
+    discard(seen, hit, per, of)
+    return out
 
 
-def _copies(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(k1, k2) of those of ``texts`` that near-duplicate removal connects with another of them."""
-    one, two = text_key(F.col("text"))
-    asked = small(texts.toDF("x1", "x2"), BROADCAST_TEXTS)
-    few = materialised(docs.select("doc_id", "text").join(asked, (one == F.col("x1")) & (two == F.col("x2")), "left_semi"))
-    of = near_duplicates.similar(few).select("k1", "k2", "root").distinct()
-    many = of.groupBy("root").count().where(F.col("count") > 1).select("root")
-    return of.join(many, "root", "left_semi").select("k1", "k2")
+def copies(docs: DataFrame, texts: DataFrame, most: float, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(k1, k2) of those of ``texts`` (k1, k2, found, words) that are near copies of another of them.
+
+    Every template has one owner among the texts of about one size, the one of the least key. Sizes
+    are classed twice, half a class apart, so two texts of sizes within ``similarity`` share a class.
+    An owner of more than ``most`` of a text's words is compared with it, shingle by shingle. A
+    text meets at most one owner a classing, so work grows with the lines and not with the
+    pairs of a group.
+    """
+    step = math.log(similarity) * -2
+    size = F.log(F.greatest(F.col("words"), F.lit(1))) / step
+    held = texts.select("k1", "k2", "words", F.explode(F.array(F.floor(size) * 2, F.floor(size + 0.5) * 2 + 1)).alias("class"), "found")
+    held = held.select("k1", "k2", "words", "class", F.explode("found").alias("x")).select("k1", "k2", "words", "class", F.col("x.n").alias("n"), F.col("x.template").alias("t"))
+    owner = held.groupBy("t", "class").agg(F.min(F.struct("k1", "k2")).alias("o"))
+    owned = held.join(owner, ["t", "class"]).where("k1 <> o.k1 or k2 <> o.k2")
+    shared = owned.groupBy("k1", "k2", "words", "class", "o").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(most) * F.col("words"))
+    pairs = materialised(shared.select("k1", "k2", F.col("o.k1").alias("o1"), F.col("o.k2").alias("o2")).distinct())
+    ends = pairs.select("k1", "k2").union(pairs.select("o1", "o2")).distinct()
+
+    def run(batches):
+        for b in batches:
+            sets = [near_duplicates.shingle_set(t, shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(sets, pa.list_(pa.int64()))], names=["k1", "k2", "h"])
+
+    keyed = docs.where("text is not null").select(*text_key(F.col("text")), F.col("text").cast("string").alias("text"))
+    asked = keyed.join(small(materialised(ends), BROADCAST_TEXTS), ["k1", "k2"], "left_semi")
+    sets = materialised(asked.mapInArrow(run, "k1 long, k2 long, h array<long>").dropDuplicates(["k1", "k2"]))
+    both = pairs.join(sets, ["k1", "k2"]).join(sets.toDF("o1", "o2", "g"), ["o1", "o2"])
+    common = F.size(F.array_intersect("h", "g"))
+    alike = both.where(common >= F.lit(similarity) * (F.size("h") + F.size("g") - common) - 1e-9)
+    out = materialised(alike.select(F.explode(F.array(F.struct("k1", "k2"), F.struct(F.col("o1").alias("k1"), F.col("o2").alias("k2")))).alias("x")).select("x.*").distinct())
+    discard(pairs, sets)
+    return out
 
 
 def _joined(docs: DataFrame, names: list[str], **how) -> DataFrame:
