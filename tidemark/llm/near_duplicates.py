@@ -19,6 +19,8 @@ SEED = 42
 PIECE = 1 << 16
 #: One text in so many is looked at for frequent shingles; one in as many of these texts, at most so many.
 SAMPLE, OFTEN, FREQUENT = 8, 8, 200_000
+#: Longs in the sketch of a set (1,024 bits).
+SKETCH = 16
 #: Lists of nodes are broadcast up to this many rows (16 MB), beyond it joins shuffle.
 BROADCAST_NODES = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -138,6 +140,24 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold
     return np.concatenate([hashes[~often], hashes[often][np.argsort(rank[at[often]])]])[:n]
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH longs: bit i is the parity of the number of hashes that fall on it."""
+    at, many = np.unique(hashes & (64 * SKETCH - 1), return_counts=True)
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[at] = many & 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def possible(na: Column, nb: Column, bits_a: Column, bits_b: Column, threshold: float) -> Column:
+    """False only for pairs of sets that have less than that Jaccard similarity: sketches differ in no
+    more bits than the sets do in elements."""
+    differ = F.bit_count(F.get(bits_a, F.lit(0)).bitwiseXOR(F.get(bits_b, F.lit(0))))
+    for i in range(1, SKETCH):
+        differ = differ + F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i))))
+    sizes = F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb) - 1e-6
+    return sizes & (differ <= F.lit((1 - threshold) / (1 + threshold)) * (na + nb) + 1e-6)
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(node, hashes) of every row: its shingles, and 128 bits that stand for them."""
 
@@ -187,9 +207,11 @@ def similar(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
     Texts with the same shingles are one node. SimHash balls propose nodes up to two bits apart.
     That is few of the pairs near the threshold, so prefixes make it whole: two nodes of a pair
     share a shingle of their prefixes, and these are buckets. Neighbours by size in a bucket are
-    compared with what the balls propose; then all its pairs that are not yet connected,
-    unless their sizes or the shingle's places rule them out. What the first step connects
-    costs no pairs in the second; members of a bucket that it does not connect do.
+    proposed with what the balls propose, and every node is compared with the one that is
+    proposed most often; then all pairs of buckets that are not yet connected. What the first
+    step connects costs no pairs in the second; members of a bucket that it does not connect
+    do. Sizes, the shingle's places and the sketches of both sets rule pairs out before
+    any set moves.
     """
     frequent, rank = _frequent(docs, shingle)
 
@@ -199,36 +221,48 @@ def similar(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
             nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             first = pa.array([prefix(x, frequent, rank, threshold) for x in sets], pa.list_(pa.int64()))
             fps = [np.packbits(2 * _bits(x) > len(x), bitorder="little").view("<i8")[0] for x in sets]
-            columns = [*(b.column(c) for c in ("doc_id", "k1", "k2")), nodes, pa.array([len(x) for x in sets], pa.int32()), pa.array(fps, pa.int64()), first]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "node", "n", "fp", "first"])
+            bits = pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))
+            columns = [*(b.column(c) for c in ("doc_id", "k1", "k2")), nodes, pa.array([len(x) for x in sets], pa.int32()), pa.array(fps, pa.int64()), first, bits]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "node", "n", "fp", "first", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
-    made = docs.select("doc_id", *text_key(text), text.alias("text")).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, node binary, n int, fp long, first array<long>")
+    made = docs.select("doc_id", *text_key(text), text.alias("text")).mapInArrow(
+        run, f"doc_id {kind}, k1 long, k2 long, node binary, n int, fp long, first array<long>, bits array<long>"
+    )
     made = materialised(made)
-    nodes = materialised(made.dropDuplicates(["node"]).select("node", "n", "fp", "first"))
-    each = nodes.select("node", "n", F.posexplode("first").alias("p", "h"))
+    rows = materialised(made.select("doc_id", "k1", "k2", "node"))
+    nodes = materialised(made.dropDuplicates(["node"]).select("node", "n", "fp", "bits"))
+    each = made.dropDuplicates(["node"]).select("node", "n", F.posexplode("first").alias("p", "h"))
     order = Window.partitionBy("h").orderBy("n", "node")
-    seen = each.withColumn("size", F.count("*").over(Window.partitionBy("h"))).withColumn("before", F.lag("node").over(order))
+    seen = each.withColumn("size", F.count("*").over(Window.partitionBy("h"))).withColumn("before", F.lag(F.struct("node", "n", "p")).over(order))
     buckets = materialised(seen.where(F.col("size") > 1))
-    near = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    chains = buckets.where("before is not null").select(near(F.col("before"), F.col("node")).alias("e"))
-    tried = materialised(chains.union(_balls(nodes).select(near(F.col("a"), F.col("b")))).select("e.a", "e.b").distinct())
+    discard(made)
+    least = lambda na, nb: F.lit(threshold) / (1 + F.lit(threshold)) * (na + nb) - 1e-6  # noqa: E731  words in common
+    room = lambda na, pa_, nb, pb: F.least(na - pa_, nb - pb) + F.least(pa_, pb)
+    chains = buckets.where("before is not null").select(F.col("before.node").alias("a"), F.col("before.n").alias("na"), F.col("before.p").alias("pa"), F.col("node").alias("b"), "n", "p")
+    fits = (F.least("na", "n") >= least(F.col("na"), F.col("n"))) & (room(F.col("na"), F.col("pa"), F.col("n"), F.col("p")) >= least(F.col("na"), F.col("n")))
+    proposed = chains.where(fits).select("a", "b").union(_balls(nodes)).groupBy("a", "b").count()
+    one, two = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    able = possible(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb"), threshold)
+    proposed = proposed.join(one, "a").join(two, "b").where(able)
+    tried = materialised(proposed.groupBy("b").agg(F.max(F.struct("count", "a")).alias("x")).select("x.a", "b"))
     links = _similar(docs, tried, shingle, threshold)
     of = components(links)
-    # What the chains leave: pairs of buckets of three or more that are in different components.
-    placed = buckets.where(F.col("size") > 2).join(of, "node", "left").select("h", "node", "n", "p", F.coalesce("root", "node").alias("root"))
+    # What these leave: pairs of buckets that are in different components.
+    placed = buckets.join(of, "node", "left").select("h", "node", "n", "p", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    placed = materialised(placed.join(mixed, "h", "left_semi"))
-    x, y = placed.toDF("h", "a", "na", "pa", "ra"), placed.toDF("h", "b", "nb", "pb", "rb")
-    least = F.lit(threshold) / (1 + F.lit(threshold)) * (F.col("na") + F.col("nb")) - 1e-6  # words in common
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= least) & (room >= least)
-    rest = materialised(x.join(y, "h").where(fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    placed = materialised(placed.join(mixed, "h", "left_semi").join(nodes.select("node", "bits"), "node").select("h", "node", "n", "p", "root", "bits"))
+    x, y = placed.toDF("h", "a", "na", "pa", "ra", "ba"), placed.toDF("h", "b", "nb", "pb", "rb", "bb")
+    need = least(F.col("na"), F.col("nb"))
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= need) & (room(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")) >= need)
+    met = x.join(y, (x["h"] == y["h"]) & fits & able).select("a", "b").distinct()
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = materialised(met.join(done, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         of = components(links.unionByName(_similar(docs, rest, shingle, threshold)))
     discard(nodes, buckets, tried, placed, rest)
-    return made.select("doc_id", "k1", "k2", "node").join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def deduplicate_similar(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
