@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import discard, materialised
 from .components import components
@@ -128,8 +129,9 @@ def seeds(points: DataFrame, width: int, count: int, first: int, k: int, thresho
 def best(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest of each vector: a, b, sim, new (not in an earlier list)."""
     one = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    top = one.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "b", "new")), asc=False), 1, k).alias("l"))
-    return top.select("a", F.explode("l").alias("e")).select("a", "e.b", "e.sim", "e.new")
+    # Ranks up to k are kept on the map side too, so no list is longer anywhere.
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), F.desc("b")))
+    return one.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "sim", "new")
 
 
 def descend(points: DataFrame, graph: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -140,8 +142,8 @@ def descend(points: DataFrame, graph: DataFrame, k: int, threshold: float) -> Da
     A vector takes part with its own list and at most k of the vectors that list it (chosen by
     hash), pairs of two old neighbours are skipped."""
     back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "new")
-    some = back.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("a", "b").alias("h"), "b", "new"))), 1, k).alias("l"))
-    some = some.select("a", F.explode("l").alias("e")).select("a", "e.b", "e.new")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))
+    some = back.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "new")
     hood = graph.select("a", "b", "new").union(some).groupBy("a", "b").agg(F.max("new").alias("new"))
     least = graph.groupBy("a").agg(F.when(F.count("*") < k, F.lit(-2.0)).otherwise(F.min("sim")).alias("least"))
     # Float precision will do for ordering; links are verified in double precision afterwards.
@@ -215,7 +217,8 @@ def group_links(points: DataFrame, of: DataFrame, threshold: float) -> DataFrame
 
 def audit(points: DataFrame, of: DataFrame, threshold: float) -> float:
     """Estimated mean over the distinct vectors that have a link of the share of their links that is
-    inside their group; copies count for nothing, a large group for no more than its vectors.
+    inside their group; copies count for nothing. The lower of two means: over the vectors of large
+    groups, and over all others, so that large groups make up for no missed pair.
 
     Asked are, by least hash of the id, ALONE vectors without a group and AUDIT each of small
     and large groups; each kind weighs what it has. They are bounded and compared with all rows."""
@@ -244,8 +247,11 @@ def audit(points: DataFrame, of: DataFrame, threshold: float) -> float:
     sums = rooted.mapInArrow(run, "id long, true long, found long").groupBy("id").agg(F.sum("true").alias("t"), F.sum("found").alias("f")).collect()
     discard(rooted)
     kind_of, drawn = {r.id: r.kind for r in asked}, {k: sum(r.kind == k for r in asked) for k in many}
-    weight = [many[kind_of[r.id]] / drawn[kind_of[r.id]] for r in sums]
-    return sum(w * r.f / r.t for w, r in zip(weight, sums, strict=True)) / sum(weight) if weight else 1.0
+    means = []
+    for kinds in ({0, 1}, {2}):
+        seen = [(many[kind_of[r.id]] / drawn[kind_of[r.id]], r.f / r.t) for r in sums if kind_of[r.id] in kinds]
+        means += [sum(w * x for w, x in seen) / sum(w for w, _ in seen)] if seen else []
+    return min(means, default=1.0)
 
 
 def ties_of(points: DataFrame, width: int, count: int, first: int, k: int, threshold: float) -> DataFrame:
@@ -267,22 +273,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBO
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Links are pairs of cosine >= ``threshold`` in double precision. Vectors that are null, empty,
-    zero, or hold a null or non-finite component link with nothing, nor do rows without an id
-    or of another length than most. n_links counts the other rows a row links with, its exact
-    copies included; component_id is the smallest vec_id reachable. An empty table gives an
-    empty result. If the audit still finds less than ``recall`` after ``rounds`` seedings, all
-    blocks of vectors are compared, and the result is exact.
+    zero, or hold a null or non-finite component link with nothing, nor do rows without an id;
+    vectors of different lengths do not link with each other, and every length is compared on its
+    own. A repeated vec_id is a row each, with the links of its own vector. n_links counts the
+    other rows a row links with, its exact copies included; component_id is the smallest
+    vec_id reachable. An empty table gives an empty result. If the audit still finds less than
+    ``recall`` after ``rounds`` seedings, all blocks of vectors are compared, and the result is exact.
 
     Equal vectors are one point, so a group of exact copies costs no more than one vector.
     """
     rows = materialised(unit_rows(vectors))
-    lengths = rows.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    width = lengths[0].n if lengths else 1
-    points = rows.where(F.size("v") == width).groupBy("v").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("copies"))
-    points = materialised(points)
-    count = points.count()
+    fine = rows.where("v is not null")
+    points = fine.groupBy("v").agg(F.min("vec_id").cast("long").alias("least"), F.count("*").alias("copies"))
+    # The number of a point is fixed once the table is written.
+    points = materialised(points.withColumn("id", F.monotonically_increasing_id()).withColumn("width", F.size("v")))
+    of = None
+    for r in sorted(points.groupBy("width").count().collect()):
+        one = points.where(F.col("width") == r.width).drop("width")
+        part = linked_points(one, r.width, r["count"], threshold, k, recall, rounds)
+        of = part if of is None else of.unionByName(part)
+    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    placed = alone if of is None else fine.join(of, "v").select("vec_id", "n_links", "component_id").unionByName(alone)
+    return placed.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def linked_points(points: DataFrame, width: int, count: int, threshold: float, k: int, recall: float, rounds: int) -> DataFrame:
+    """v, n_links, component_id of ``points`` (id, v, least: smallest vec_id, copies) of one length."""
     of, pairs = points.sparkSession.createDataFrame([], "node long, root long"), None
-    for r in range(rounds + 1 if count else 0):
+    for r in range(rounds + 1 if count > 1 else 0):
         if r < rounds:
             rooted = points.join(of.withColumnRenamed("node", "id"), "id", "left").select("id", "v", F.coalesce("root", "id").alias("root"))
             found = ties_of(materialised(rooted), width, count, r * TREES, k, threshold)
@@ -295,10 +313,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBO
             break
     inside = group_links(points, of, threshold).withColumnRenamed("links", "n")
     links = points.join(inside, "id", "left").select("id", F.coalesce("n", F.col("copies") - 1).alias("links"))
-    each = points.join(of.withColumnRenamed("node", "id"), "id", "left").join(links, "id").select("id", "v", "links", F.coalesce("root", "id").alias("root"))
-    first = each.groupBy("root").agg(F.min("id").alias("first"))
-    per = each.join(first, "root").select("v", "links", "first")
-    component = F.coalesce("first", F.col("vec_id").cast("long"))
-    return rows.join(per, "v", "left").select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")
-    )
+    each = points.join(of.withColumnRenamed("node", "id"), "id", "left").join(links, "id")
+    each = each.select("v", "least", F.col("links").cast("long").alias("n_links"), F.coalesce("root", "id").alias("root"))
+    first = each.groupBy("root").agg(F.min("least").alias("component_id"))
+    return each.join(first, "root").select("v", "n_links", "component_id")
