@@ -67,11 +67,17 @@ def templates(lines: DataFrame, min_docs: int, constant: float, share: float) ->
     words = F.filter("at", lambda x: x["s"] >= 0)
     found = found.withColumn("levels", F.sort_array(F.transform(words, lambda x: x["s"]), asc=False)).where(F.size("levels") > 0)
     level = F.try_element_at("levels", F.greatest(F.lit(1), F.ceil(F.lit(constant) * F.size("levels")).cast("int")))
-    found = found.withColumn("floor", F.greatest(F.lit(float(min_docs)), F.lit(share) * level))
-    fixed = F.size(F.filter("at", lambda x: x["s"] >= F.col("floor")))
-    shape = F.xxhash64(F.transform("at", lambda x: F.when(x["s"] >= F.col("floor"), x["tok"])), F.transform("at", lambda x: x["s"] >= F.col("floor")))
+    floor = F.greatest(F.lit(float(min_docs)), F.lit(share) * level)
+
+    def formed(least):
+        fixed = F.transform("at", lambda x: F.when(x["s"] >= least, x["tok"]))
+        return F.struct(F.size(F.array_compact(fixed)).alias("fixed"), F.xxhash64(fixed, F.transform(fixed, lambda t: t.isNull())).alias("template"))
+
+    # As a variable of a lambda the floor is computed once a line, not once a token.
+    found = found.select("leaf", "line", F.transform(F.array(floor), formed)[0].alias("f"), F.size("levels").alias("words"), F.size("at").alias("n"))
     # Tokens with a digit are fields by their form; of the others enough must be constant.
-    return found.where((fixed >= F.lit(constant) * F.size("levels")) & (2 * fixed >= F.size("at"))).select("leaf", "line", shape.alias("template"))
+    found = found.where((F.col("f.fixed") >= F.lit(constant) * F.col("words")) & (2 * F.col("f.fixed") >= F.col("n")))
+    return found.select("leaf", "line", F.col("f.template").alias("template"))
 
 
 def recurring_lines(seen: DataFrame, min_docs: int, constant: float, share: float) -> DataFrame:
