@@ -64,11 +64,14 @@ def encode(
 
 
 def planes(x: np.ndarray) -> bytes:
-    """32-bit integers, first all lowest bytes, then all second ones: compresses well if small."""
-    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """32-bit integers, first all lowest bytes, then all second ones, after their length compressed: such
+    arrays are exchanged whole, and a shuffle's own codec makes less of them."""
+    raw = x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def from_planes(raw: bytes) -> np.ndarray:
+def from_planes(packed: bytes) -> np.ndarray:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
@@ -125,7 +128,7 @@ def _block(parts: list[pa.RecordBatch], name: int, tokenise) -> pa.RecordBatch:
     indptr = np.concatenate([[0], np.cumsum(size)]).astype("<i8")
     sink = pa.BufferOutputStream()
     kept = pa.table({"doc_id": rows.column("doc_id"), "weight": weight, "n_bytes": pc.cast(pc.binary_length(text), pa.int64())})
-    with pa.ipc.new_stream(sink, kept.schema) as out:
+    with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(kept)
     # Terms are numbered in order of appearance, so the steps from one to the next are small.
     raw = [pa.array([x], pa.binary()) for x in (indptr.tobytes(), planes(np.diff(at, prepend=0)), planes(freq))]

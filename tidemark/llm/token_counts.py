@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -60,8 +61,8 @@ def lowered(text: str) -> str:
 
 
 def piece_counts(terms: DataFrame, path: str) -> DataFrame:
-    """(block, pos, pieces) of (block, pos, term) rows. All rows of a term meet in one task,
-    which counts its pieces once."""
+    """(block, packed) of (block, pos, term) rows: positions and pieces of neighbouring rows of a block,
+    packed. All rows of a term meet in one task, which counts its pieces once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, known = Tokenizer.from_file(path), {}
@@ -70,10 +71,11 @@ def piece_counts(terms: DataFrame, path: str) -> DataFrame:
             new = list({w for w in words if w not in known})
             for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[w] = len(e.ids)
-            pieces = pa.array([known[w] for w in words], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("pos"), pieces], names=["block", "pos", "pieces"])
+            pieces = np.array([known[w] for w in words], np.int32)
+            block, packed = blocks.pack(b.column("block").to_numpy(), b.column("pos").to_numpy(), pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(block), packed], names=["block", "packed"])
 
-    return terms.select("block", "pos", "term").repartition("term").mapInArrow(run, "block long, pos int, pieces int")
+    return terms.select("block", "pos", "term").repartition("term").mapInArrow(run, "block long, packed binary")
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -92,7 +94,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         n = take("pieces").astype("int64")
         return {"n_bytes": n_bytes, "n_tokens": n, "over_limit": n > limit}
 
+    def decode(rows: pa.Table) -> dict[str, np.ndarray]:
+        return dict(zip(("pos", "pieces"), blocks.unpack(rows.column("packed"), 2)))
+
     made = blocks.encode(docs, tokenise)
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = piece_counts(blocks.terms(made), path)
-    return blocks.per_document(made, counted, finish, kind, "n_bytes long, n_tokens long, over_limit boolean")
+    return blocks.per_document(made, counted, finish, kind, "n_bytes long, n_tokens long, over_limit boolean", decode)
