@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, materialised
+from .blocks import from_planes, planes
 from .common import LOWER, UPPER, small
 
 #: Bytes of text in a block, and of all unfinished blocks of a task (one a language).
@@ -27,7 +28,8 @@ SLICE_BYTES = 2 << 20
 BROADCAST_ROWS = 500_000
 #: A-Z in lower case, ends of pieces as line feeds, tabs as spaces.
 FOLDED = bytes.maketrans(UPPER.encode() + b".,;:!?\x0b\x0c\r\t", LOWER.encode() + b"\n" * 9 + b" ")
-RELATION = "group string, block long, step array<int>, phrase array<int>, times array<int>"
+#: ``step`` and ``phrase`` are `blocks.planes`; they are read only as wholes.
+RELATION = "group string, block long, occurrences long, step binary, phrase binary, times array<int>"
 
 
 def _occurrences(texts: list[bytes]) -> dict[str, pa.Array]:
@@ -57,8 +59,8 @@ def _whole(values: pa.Array) -> pa.Array:
 
 
 def _relation(at: np.ndarray, phrase: np.ndarray, times: np.ndarray) -> dict[str, pa.Array]:
-    columns = {"step": np.diff(at, prepend=0), "phrase": phrase, "times": times}
-    return {c: _whole(pa.array(x.astype(np.int32))) for c, x in columns.items()}
+    packed = {c: pa.array([planes(x)], pa.binary()) for c, x in {"step": np.diff(at, prepend=0), "phrase": phrase}.items()}
+    return {"occurrences": pa.array([len(at)])} | packed | {"times": _whole(pa.array(times.astype(np.int32)))}
 
 
 def words(docs: DataFrame, text: str, group: str) -> DataFrame:
@@ -111,7 +113,7 @@ def extended(relation: DataFrame, keys: list[str], known: DataFrame) -> DataFram
     one, named by the ids of both."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        step, phrase = (left.column(c).combine_chunks().flatten().to_numpy() for c in ("step", "phrase"))
+        step, phrase = (from_planes(left.column(c)[0].as_py()) for c in ("step", "phrase"))
         no, ids = right.column("no").to_numpy(), right.column("id").to_numpy()
         rank = np.full(int(phrase.max(initial=0)) + 1, -1, np.int64)
         rank[no] = np.arange(len(no))
@@ -133,7 +135,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text:
     """(group, words, f) of all phrases of 1 to ``longest`` words with at least ``least`` occurrences in their
     group, and (group, n), the words of each group. The frequent ones are tables."""
     relation = words(docs, text, group)
-    totals = materialised(relation.groupBy("group").agg(F.sum(F.size("phrase").cast("long")).alias("n")))
+    totals = materialised(relation.groupBy("group").agg(F.sum("occurrences").alias("n")))
     keys, levels = ["group", "word"], []
     for length in range(1, longest + 1):
         known = frequent(relation, keys, least)
