@@ -129,3 +129,30 @@ def test_ranks_ignore_nan(spark):
 
     got = {r.x: (r.n_below, r.n_group) for r in tie_table(d, ["g"], "v").collect()}
     assert got == {1.0: (0, 3), 2.0: (1, 3), 5.0: (2, 3)}
+
+
+def test_ranks_between_splitters(spark):
+    """Values in a narrow range, tiny ones, one value with a third of the rows, NULLs; many buckets and one."""
+    from tidemark.functions.ranks import tie_table, with_bucket, with_place
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.uniform(0.50, 0.52, 500), rng.uniform(-1e-9, 1e-9, 400), np.zeros(450), rng.normal(0, 1e6, 50)])
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, len(x)), "id": rng.permutation(len(x)), "x": x, "_n": 1})
+    pdf.loc[::40, "x"] = None
+    d = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x"))).select("g", "id", "x")
+    filled = pdf.dropna(subset="x")
+    below = {(g, v): int((h["x"] < v).sum()) for g, h in filled.groupby("g") for v in set(h["x"])}
+    for per in (1, 7, 1 << 16):
+        t = tie_table(d, ["g"], "x", per).collect()
+        assert {(r.g, r.x): r.n_below for r in t} == below and len(t) == len(below)
+        whole = tie_table(d, [], "x", per).collect()
+        assert {r.x: r.n_below for r in whole} == {v: int((filled["x"] < v).sum()) for v in set(filled["x"])}
+        got = with_place(d, ["g"], [F.col("x"), F.col("id")], "p", "n", per).toPandas()
+        for g, h in got.groupby("g"):
+            want = h.sort_values(["x", "id"], na_position="first")["id"].tolist()
+            assert h.sort_values("p")["id"].tolist() == want and set(h["n"]) == {len(h)} and sorted(h["p"]) == list(range(1, len(h) + 1))
+        pos = with_position(d, "x", "id", per_bucket=per).toPandas()
+        assert pos.sort_values("pos")["id"].tolist() == pos.sort_values(["x", "id"], na_position="first")["id"].tolist()
+    sizes = with_bucket(d, ["g"], [F.col("x"), F.col("id")], 10).groupBy("g", "_b").count().toPandas()
+    assert sizes["count"].max() < 120  # the value with a third of the rows is parted too
+    assert tie_table(d.where("false"), ["g"], "x").collect() == [] and with_position(d.where("false"), "x", "id").collect() == []

@@ -2,9 +2,14 @@
 
 A date, an industry or the whole table may hold a third of all rows, so a plain
 ``rank() over (partition by dt order by x)`` would sort that third in a single task.
-Here equal values are first counted together (map-side combine), each group is cut into
-value buckets by a fixed monotone function of x, ranks are taken inside a bucket, and a
-small table of bucket totals supplies the offset. The result is the exact rank.
+Here equal values are first counted together (map-side combine), each group is cut at
+splitters of its own values, ranks are taken between two splitters, and a small table of
+bucket totals supplies the offset. The result is the exact rank, wherever the values lie.
+
+Splitters are the values whose hash is a multiple of ``per_bucket``. Which these are depends on
+the values alone, so a scan that is repeated, or a task that is, cuts at the same places. Buckets
+have ``per_bucket`` values on average, and groups well below that are one bucket. The splitters
+of a group are one array, about 8 bytes for every ``per_bucket`` values.
 """
 
 from __future__ import annotations
@@ -16,12 +21,26 @@ from pyspark.sql import functions as F
 
 from .scalar import c
 
-# log1p is semi-monotone by the Java specification, so order is kept across bucket edges.
-BUCKETS_PER_E = 128
+PER_BUCKET = 1 << 16
 
 
-def value_bucket(x: Column) -> Column:
-    return F.floor(F.signum(x) * F.log1p(F.abs(x) * 1e4) * BUCKETS_PER_E).cast("int")
+def with_bucket(df: DataFrame, by: Sequence[str], order: Sequence[Column], per_bucket: int | None = None) -> DataFrame:
+    """``_b``: how many splitters of the row's group are not above the row's place in ``order`` (ascending,
+    NULLs first). Further columns in ``order`` part rows that are equal in the first."""
+    by, key = list(by), order[0] if len(order) == 1 else F.struct(*[o.alias(f"_{i}") for i, o in enumerate(order)])
+    chosen = F.when(F.pmod(F.xxhash64(key), F.lit(per_bucket or PER_BUCKET)) == 0, key)
+    sample = df.groupBy(*by).agg(F.sort_array(F.collect_set(chosen)).alias("_all"))
+    n = F.size("_all")
+    step = F.ceil(F.sqrt(F.greatest(n, F.lit(1)))).cast("int")
+    # every step-th splitter is looked at first, then the step splitters after the last one not above
+    sample = sample.select(*by, F.struct(
+        "_all", step.alias("step"), F.filter("_all", lambda _, i: i % step == 0).alias("coarse")
+    ).alias("_s"))
+    joined = df.join(sample, by) if by else df.withColumn("_s", sample.scalar())
+    joined = joined.withColumn("_c", F.size(F.filter("_s.coarse", lambda v: v <= key)))
+    start = (F.col("_c") - 1) * F.col("_s.step")
+    inside = F.filter(F.slice("_s._all", start + 1, F.col("_s.step")), lambda v: v <= key)
+    return joined.withColumn("_b", F.when(F.col("_c") == 0, 0).otherwise(start + F.size(inside))).drop("_s", "_c")
 
 
 def _offsets(counted: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -36,7 +55,7 @@ def _offsets(counted: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def tie_table(df: DataFrame, by: Sequence[str], x) -> DataFrame:
+def tie_table(df: DataFrame, by: Sequence[str], x, per_bucket: int | None = None) -> DataFrame:
     """One row per (group, distinct value): ``x, n_tie, n_below, n_group``; NULLs and NaNs ignored."""
     by = list(by)
     freq = (
@@ -44,8 +63,8 @@ def tie_table(df: DataFrame, by: Sequence[str], x) -> DataFrame:
         .where("x is not null and not isnan(x)")
         .groupBy(*by, "x")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", value_bucket(F.col("x")))
     )
+    freq = with_bucket(freq, by, [F.col("x")], per_bucket)
     w = Window.partitionBy(*by, "_b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     local = freq.withColumn("_below", F.sum("_n").over(w) - F.col("_n"))
     return local.join(_offsets(freq, by), [*by, "_b"]).select(
@@ -128,17 +147,24 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], x, quantiles: Mapping[st
     return t.groupBy(*by).agg(*aggs).select(*by, *outs) if by else t.agg(*aggs).select(*outs)
 
 
-def with_position(df: DataFrame, x: str, tie: str, out: str = "pos") -> DataFrame:
+def with_place(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, total: str | None = None, per_bucket: int | None = None
+) -> DataFrame:
+    """Unique 1-based place of every row in its group, in ascending ``order`` (NULLs first), and the rows of the
+    group as ``total``. Rows that tie in the first column are parted by the next ones, so no value is one task."""
+    by = list(by)
+    bucketed = with_bucket(df, by, order, per_bucket)
+    counted = bucketed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by, "_b").orderBy(*[o.asc_nulls_first() for o in order])
+    placed = bucketed.withColumn("_rn", F.row_number().over(w)).join(_offsets(counted, by), [*by, "_b"])
+    placed = placed.withColumn(out, F.col("_rn") + F.col("_off"))
+    placed = placed.withColumn(total, F.col("n_group")) if total else placed
+    return placed.select(*[k for k in df.columns if k not in (out, total)], out, *([total] if total else []))
+
+
+def with_position(df: DataFrame, x: str, tie: str, out: str = "pos", per_bucket: int | None = None) -> DataFrame:
     """Unique 1-based position of every row in the order (x, tie), over the whole table."""
-    bucketed = df.withColumn("_b", value_bucket(F.col(x).cast("double")))
-    counted = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_b").orderBy(x, tie)
-    return (
-        bucketed.withColumn("_rn", F.row_number().over(w))
-        .join(_offsets(counted, []), "_b")
-        .withColumn(out, F.col("_rn") + F.col("_off"))
-        .drop("_b", "_rn", "_off", "n_group")
-    )
+    return with_place(df, [], [F.col(x), F.col(tie)], out, per_bucket=per_bucket)
 
 
 def with_group_stats(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:

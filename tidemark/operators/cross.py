@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import exact_percentiles, with_group_stats
-from ..functions.scalar import div0, nz, tiers
+from ..functions.ranks import exact_percentiles, with_group_stats, with_place
+from ..functions.scalar import div0, tiers
 
 
 def zscores(df: DataFrame, by: Sequence[str], columns: Mapping[str, str], fill: float = 0.0) -> DataFrame:
@@ -54,13 +54,8 @@ def size_groups(bars: DataFrame) -> DataFrame:
 
 def top_share_boost(df: DataFrame, by: Sequence[str], x: str, share: float = 0.03, factor: float = 1.1, score: str = "composite_score") -> DataFrame:
     """Flag the top ceil(share * n) rows of x per group (at least one) and scale their score."""
-    from ..functions.ranks import value_bucket
-
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    bucketed = df.withColumn("_b", value_bucket(nz(F.col(x), -1e12).cast("double")))
-    per = bucketed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    above = per.withColumn("_above", F.sum("_bn").over(Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bn"))
-    d = bucketed.join(above, [*by, "_b"]).join(counts, list(by))
-    rk = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(F.desc_nulls_last(x), "code")) + F.col("_above")
-    d = d.withColumn("momentum_boost", rk <= F.greatest(F.ceil(F.col("_n") * share), F.lit(1)))
-    return d.withColumn(score, F.when(F.col("momentum_boost"), F.col(score) * factor).otherwise(F.col(score))).drop("_b", "_bn", "_above", "_n")
+    v = F.col(x).cast("double")
+    missing = v.isNull() | F.isnan(v)
+    d = with_place(df, by, [missing, F.when(~missing, -v), F.col("code")], "_rk", "_n")
+    d = d.withColumn("momentum_boost", F.col("_rk") <= F.greatest(F.ceil(F.col("_n") * share), F.lit(1)))
+    return d.withColumn(score, F.when(F.col("momentum_boost"), F.col(score) * factor).otherwise(F.col(score))).drop("_rk", "_n")

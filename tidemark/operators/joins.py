@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.asof import asof_join
-from ..functions.ranks import with_position
+from ..functions.ranks import with_bucket, with_position
 from ..functions.scalar import nz, one_if
 from ..functions.windows import momentum
 from .snapshots import latest_rows
@@ -106,9 +106,7 @@ def nearest_by_score(candidates: DataFrame, history: DataFrame, n: int = 80, min
         history.where("score is not null").select(F.lit(None).cast("long").alias("cand_id"), "score", F.lit(1).alias("_h"))
     )
     per_score = merged.groupBy("score").agg(F.sum("_h").alias("_n"))
-    from ..functions.ranks import value_bucket
-
-    per_score = per_score.withColumn("_b", value_bucket(F.col("score")))
+    per_score = with_bucket(per_score, [], [F.col("score")])
     tot = per_score.groupBy("_b").agg(F.sum("_n").alias("_t"))
     run = F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")
     below = F.sum("_n").over(Window.partitionBy("_b").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")

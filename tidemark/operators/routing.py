@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import with_pct_rank, with_rank_columns
+from ..functions.ranks import with_pct_rank, with_place
 from ..functions.scalar import clip, div0, nz, one_if, rd
 from ..functions.windows import lead
 from .predicates import combined
@@ -68,19 +68,20 @@ def defensive_scores(df: DataFrame, by: list[str], vol: str = "atr_pct", value:
     return d.withColumn("defensive_score", total).drop("_r0", *[f"_v{i}" for i in range(len(value))])
 
 
-def rows_above(df: DataFrame, by: list[str], score: str, tie: str = "code", out: str = "place") -> DataFrame:
-    """Unique descending place of every row inside its group, ties by code, without one task per group."""
-    d = with_rank_columns(df, by, score, _above=F.col("n_group") - F.col("n_below") - F.col("n_tie"))
-    inside = F.row_number().over(Window.partitionBy(*by, score).orderBy(tie))
-    return d.withColumn(out, F.col("_above") + inside).drop("_above")
+def rows_above(df: DataFrame, by: list[str], score: str, tie: str = "code", out: str = "place", total: str | None = None) -> DataFrame:
+    """Unique descending place of every row inside its group, ties by code, without one task per group or score;
+    rows without a score have none. ``total``: the rows of the group."""
+    x = F.col(score).cast("double")
+    missing = x.isNull() | F.isnan(x)
+    d = with_place(df, by, [missing, F.when(~missing, -x), F.col(tie)], out, total)
+    return d.withColumn(out, F.when(~missing, F.col(out)))
 
 
 def defensive_filter(df: DataFrame, by: list[str], keep: float = 0.40, floor: int = 10, **kw) -> DataFrame:
     """Best ``keep`` share by defensive score, at least ``floor`` rows per group."""
-    d = rows_above(defensive_scores(df, by, **kw), by, "defensive_score")
-    counts = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    d = rows_above(defensive_scores(df, by, **kw), by, "defensive_score", total="_n")
     n_keep = F.greatest(F.floor(F.col("_n") * keep), F.least(F.lit(floor), F.col("_n")))
-    return d.join(counts, by).where(F.col("place") <= n_keep).drop("_n", "place")
+    return d.where(F.col("place") <= n_keep).drop("_n", "place")
 
 
 def defense_pool(valuation: DataFrame, bars: DataFrame, asof: Column | None = None, pe: tuple[float, float] = (0.0, 15.0), pb_max: float = 2.0, atr_max: float = 2.0, limit: int | None = None) -> DataFrame:
