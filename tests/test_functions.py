@@ -156,3 +156,21 @@ def test_ranks_between_splitters(spark):
     sizes = with_bucket(d, ["g"], [F.col("x"), F.col("id")], 10).groupBy("g", "_b").count().toPandas()
     assert sizes["count"].max() < 120  # the value with a third of the rows is parted too
     assert tie_table(d.where("false"), ["g"], "x").collect() == [] and with_position(d.where("false"), "x", "id").collect() == []
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    from tidemark.functions.scalar import corr
+
+    d = spark.createDataFrame([(1.0, 2.0, 0.1), (2.0, 1.0, 0.1), (4.0, 0.5, 0.1), (9.0, None, 0.1)], "a double, b double, k double")
+    r = d.agg(corr("a", "b").alias("ab"), corr("a", "k").alias("ak")).first()
+    assert abs(r.ab - d.where("b is not null").stat.corr("a", "b")) < 1e-12 and r.ak is None
+
+
+def test_fold_correlations_of_constant_shares(spark, monkeypatch):
+    from tidemark.catalog import studies
+
+    rows = [(0.1, 0.2, 0.3, 0.0), (0.2, 0.5, 0.1, 0.0), (0.4, 0.1, 0.2, 0.0)]
+    folds = spark.createDataFrame(rows, "hhi double, t1_wr double, d5_wr double, gate_blocked double")
+    monkeypatch.setattr(studies, "fold_frame", lambda spark, base: folds)
+    r = studies.fold_correlations(spark, "").first()
+    assert r.gate_t1 != r.gate_t1 and r.gate_d5 != r.gate_d5 and r.hhi_t1 == round(folds.stat.corr("hhi", "t1_wr"), 6)

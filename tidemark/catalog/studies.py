@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import rd
+from ..functions.scalar import corr, nz, rd
 from ..operators import cross, indicators as ind, industry as iops, market as mkt, studies as st
 from ..operators.snapshots import latest_rows
 from ..sources import bars as src
@@ -226,7 +226,7 @@ def position_rules(spark, base):
 @query(with_ctes(f"SELECT {rsel({'hhi_t1': 'corr(hhi, t1_wr)', 'hhi_d5': 'corr(hhi, d5_wr)', 'gate_t1': 'corr(gate_blocked, t1_wr)', 'gate_d5': 'corr(gate_blocked, d5_wr)'}, 6)} FROM foldt"))
 def fold_correlations(spark, base):
     pairs = {"hhi_t1": ("hhi", "t1_wr"), "hhi_d5": ("hhi", "d5_wr"), "gate_t1": ("gate_blocked", "t1_wr"), "gate_d5": ("gate_blocked", "d5_wr")}
-    return fold_frame(spark, base).agg(*[rd(F.corr(a, b), 6).alias(n) for n, (a, b) in pairs.items()])
+    return fold_frame(spark, base).agg(*[rd(F.when(F.count(a) > 0, nz(corr(a, b), float("nan"))), 6).alias(n) for n, (a, b) in pairs.items()])
 
 
 @query(with_ctes(f"""SELECT coalesce(regime, 'ALL') AS regime, coalesce(CAST(rk AS VARCHAR), 'ALL') AS rk, count(*) AS n, {rsel({'avg_return': 'avg(d5_ret)', 'win_rate': 'count(*) FILTER (d5_ret > 0) * 100.0 / count(*)'})} FROM (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import average_rank, exact_percentiles, tie_table, with_pct_rank, with_rank_columns
-from ..functions.scalar import div0, nz, one_if, tiers
+from ..functions.scalar import corr, div0, nz, one_if, tiers
 from ..functions.windows import lag
 from .cross import top_n
 
@@ -121,7 +121,7 @@ def rank_ic(df: DataFrame, pred: str, actual: str, by: str = "dt", min_rows: int
     pairs = stacked.join(ranks, [by, "f", "x"]).groupBy(by, "code").agg(
         F.max(F.when(F.col("f") == "p", F.col("r"))).alias("rp"), F.max(F.when(F.col("f") == "a", F.col("r"))).alias("ra")
     )
-    out = pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.corr("rp", "ra").alias("ic")).where(F.col("n") >= min_rows)
+    out = pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), corr("rp", "ra").alias("ic")).where(F.col("n") >= min_rows)
     return out.where(F.col("ic").isNotNull() & ~F.isnan("ic"))
 
 
