@@ -368,8 +368,8 @@ def warning_precision(spark, base):
     return d.select("phase", "event", "n_triggers", "hits", rd("precision").alias("precision"), rd("mean_lead").alias("mean_lead"))
 
 
-@query(with_ctes(f"""SELECT dt, {r('down_pct')} AS down_pct, {r('z')} AS z, CASE WHEN abs(z) > 3 THEN 'severe' WHEN abs(z) > 2 THEN 'warning' ELSE 'normal' END AS level FROM (SELECT dt, down_pct, CASE WHEN n >= 20 THEN (down_pct - m) / nullif(s, 0) END AS z FROM (
-  SELECT dt, down_pct, avg(down_pct) OVER w AS m, stddev_pop(down_pct) OVER w AS s, count(*) OVER w AS n FROM l2breadth WINDOW w AS (ORDER BY dt ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)))"""))
+@query(with_ctes(f"""SELECT dt, {r('down_pct')} AS down_pct, {r('z')} AS z, CASE WHEN abs(z) > 3 THEN 'severe' WHEN abs(z) > 2 THEN 'warning' ELSE 'normal' END AS level FROM (SELECT dt, down_pct, CASE WHEN n >= 20 THEN round((down_pct - m) / nullif(s, 0), 9) END AS z FROM (
+  SELECT dt, down_pct, avg(down_pct) OVER w AS m, CASE WHEN max(down_pct) OVER w > min(down_pct) OVER w THEN stddev_pop(down_pct) OVER w END AS s, count(*) OVER w AS n FROM l2breadth WINDOW w AS (ORDER BY dt ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)))"""))
 def anomaly_scores(spark, base):
     d = st.anomaly_scores(mkt.breadth(src.with_change(src.l2_bars(spark, base))), "down_pct")
     return d.select("dt", rd("down_pct").alias("down_pct"), rd("z").alias("z"), "level")

@@ -386,10 +386,12 @@ def importance_stability(importance: DataFrame) -> DataFrame:
 
 
 def anomaly_scores(history: DataFrame, x: str, n: int = 20) -> DataFrame:
-    """z of each date against the n dates before (population deviation), level at 2 and 3."""
+    """z of each date against the n dates before (population deviation), level at 2 and 3. Equal values have no
+    deviation, and z is taken to nine digits, so that neither rests on the order of a sum."""
     w = Window.orderBy("dt").rowsBetween(-n, -1)
-    d = history.select("dt", x, F.avg(x).over(w).alias("_m"), F.stddev_pop(x).over(w).alias("_s"), F.count(x).over(w).alias("_n"))
-    z = F.when(F.col("_n") >= n, div0(F.col(x) - F.col("_m"), "_s"))
+    spread = F.when(F.max(x).over(w) > F.min(x).over(w), F.stddev_pop(x).over(w))
+    d = history.select("dt", x, F.avg(x).over(w).alias("_m"), spread.alias("_s"), F.count(x).over(w).alias("_n"))
+    z = F.when(F.col("_n") >= n, F.round(div0(F.col(x) - F.col("_m"), "_s"), 9))
     level = tiers([(F.abs(F.col("z")) > 3, "severe"), (F.abs(F.col("z")) > 2, "warning")], "normal")
     return d.withColumn("z", z).select("dt", x, "z", level.alias("level"))
 
