@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import exact_percentiles, with_pct_rank
-from ..functions.scalar import clip, div0, flag, nz, one_if, present, rd, tiers
+from ..functions.scalar import clip, div0, exact_avg, flag, nz, one_if, present, rd, tiers
 from ..functions.windows import before_n, lag, last_n, max_n, mean_n, momentum, series
 from . import indicators as ind
 from .snapshots import latest_rows
@@ -77,7 +77,7 @@ def limit_moves(panel: DataFrame, members: DataFrame, level: str, board: Column
 
 def industry_day(panel: DataFrame, members: DataFrame, level: str) -> DataFrame:
     """Mean change per (date, industry) and its percent rank among industries of the date."""
-    d = panel.join(members.select("code", level), "code").groupBy("dt", level).agg(F.avg("pct_chg").alias("ind_chg"))
+    d = panel.join(members.select("code", level), "code").groupBy("dt", level).agg(exact_avg("pct_chg").alias("ind_chg"))
     return with_pct_rank(d, ["dt"], "ind_chg", "ind_rank")
 
 
