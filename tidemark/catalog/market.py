@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rd
 from ..operators import cross, market as mkt
 from ..sources import bars as src
-from .ctes import cte, r, with_ctes
+from .ctes import EXACT, cte, mean, r, whole, with_ctes
 from .registry import query
 from .windows import rsel, shown, walk
 
@@ -88,6 +88,11 @@ def history_percentile(spark, base):
     return d.select("dt", rd("rzye_chg_3d", 3).alias("rzye_chg_3d"), rd("pct").alias("pct"))
 
 
+EXACT_MARKET = {
+    "tovd": f"SELECT dt, {mean('turnover')} AS avg_turnover FROM tov GROUP BY dt",
+    "mgd": f"""SELECT dt, (rzye - lag(rzye, 3) OVER (ORDER BY dt)) / nullif(abs(lag(rzye, 3) OVER (ORDER BY dt)), 0) * 100 AS chg3
+  FROM (SELECT dt, {whole('rzye')} AS rzye FROM margin GROUP BY dt)""",
+}
 cte("moodq", """SELECT dt, chg3, avg_turnover, round(coalesce(lp, 50)) AS lp, round(coalesce(tp, 50)) AS tp FROM
   (SELECT dt, chg3, CASE WHEN chg3 IS NOT NULL THEN cume_dist() OVER (PARTITION BY chg3 IS NULL ORDER BY chg3) * 100 END AS lp FROM mgd)
   FULL JOIN (SELECT dt, avg_turnover, cume_dist() OVER (ORDER BY avg_turnover) * 100 AS tp FROM tovd) USING (dt)""")
@@ -97,7 +102,7 @@ cte("moodq", """SELECT dt, chg3, avg_turnover, round(coalesce(lp, 50)) AS lp, ro
   CASE WHEN chg3 < -1 THEN 'deleveraging' WHEN chg3 > 1 THEN 'leveraging' WHEN chg3 IS NOT NULL THEN 'steady' ELSE 'unknown' END AS leverage_signal,
   CASE WHEN tp >= 80 THEN 'high' WHEN tp <= 20 THEN 'low' ELSE 'normal' END AS turnover_signal,
   CASE WHEN lp >= 90 AND tp >= 90 THEN 'extreme' WHEN lp >= 90 OR tp >= 90 THEN 'elevated' WHEN lp <= 20 AND tp <= 20 THEN 'cold' ELSE 'normal' END AS mood
-  FROM moodq"""))
+  FROM moodq""", EXACT | EXACT_MARKET))
 def market_sentiment(spark, base):
     d = mkt.sentiment(mkt.margin_totals(src.margin(spark, base)), mkt.turnover(src.instrument_bars(spark, base), src.valuation(spark, base)))
     return d.select("dt", "leverage_pct", "turnover_pct", "leverage_signal", "turnover_signal", "mood")

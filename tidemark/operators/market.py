@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ewm import span_rate, with_ewm
 from ..functions.ranks import exact_percentiles, with_rank_columns
-from ..functions.scalar import div0, flag, nz, one_if, safe_div, tiers
+from ..functions.scalar import div0, exact_avg, exact_sum, flag, nz, one_if, safe_div, tiers
 from ..functions.windows import lag, mean_n, momentum, series, std_n, sum_n
 from .indicators import adx
 
@@ -76,7 +76,7 @@ def turnover(panel: DataFrame, valuation: DataFrame) -> DataFrame:
         (panel.code == valuation.code) & (F.trunc(panel.dt, "month").cast("date") == F.col("_m")),
     ).select("dt", (F.col("amount") / F.col("total_mv") * 100).alias("turnover"), "total_mv", "amount", "pe_ttm")
     sums = d.groupBy("dt").agg(
-        F.avg("turnover").alias("avg_turnover"), F.sum("total_mv").alias("total_mv"),
+        exact_avg("turnover").alias("avg_turnover"), F.sum("total_mv").alias("total_mv"),
         F.sum("amount").alias("total_amount"), F.count(F.lit(1)).alias("n_codes"),
     )
     med = exact_percentiles(d, ["dt"], "turnover", {"median_turnover": 0.5})
@@ -86,7 +86,7 @@ def turnover(panel: DataFrame, valuation: DataFrame) -> DataFrame:
 
 def margin_totals(margin: DataFrame) -> DataFrame:
     """Market balance, purchases and repayments per date with 1- and 3-date changes."""
-    daily = margin.groupBy("dt").agg(F.sum("rzye").alias("rzye"), F.sum("rzmre").alias("rzmre"), F.sum("rzche").alias("rzche"))
+    daily = margin.groupBy("dt").agg(*[exact_sum(k).alias(k) for k in ("rzye", "rzmre", "rzche")])
     w = Window.orderBy("dt")
     return daily.select(
         "*",
