@@ -8,7 +8,7 @@ from ..operators.snapshots import latest_rows
 from ..sources import bars as src
 from ..sources import ingest
 from ..sources.tables import table
-from .ctes import W, cte, over, r, rolled, with_ctes
+from .ctes import EXACT, W, cte, over, r, rolled, with_ctes
 from .registry import query
 from .windows import _pos, rsel, shown
 
@@ -315,7 +315,7 @@ def nearest_by_score(spark, base):
 # ---- flow and margin derivatives ---------------------------------------------------------
 
 
-@query(with_ctes(f"""SELECT code, dt, {rsel({'margin_balance_change': 'coalesce(rzye / nullif(lag(rzye) ' + W + ', 0) - 1, 0)', 'margin_buy_intensity': 'rzmre / nullif(rzye + 1e-10, 0) * 100', 'margin_net_buy': 'coalesce(rzye - lag(rzye) ' + W + ', 0)'}, 2)} FROM margin"""))
+@query(with_ctes(f"""SELECT code, dt, {rsel({'margin_balance_change': 'coalesce(rzye / nullif(lag(rzye) ' + W + ', 0) - 1, 0)', 'margin_buy_intensity': 'rzmre / nullif(rzye + 1e-10, 0) * 100', 'margin_net_buy': 'coalesce(rzye - lag(rzye) ' + W + ', 0)'}, 2)} FROM margin""", EXACT))
 def margin_features(spark, base):
     return shown(flows.margin_features(src.margin(spark, base)), ["margin_balance_change", "margin_buy_intensity", "margin_net_buy"], 2)
 
@@ -323,7 +323,7 @@ def margin_features(spark, base):
 cte("flowq", """SELECT *, net_mf_amount / (buy_elg_amount + sell_elg_amount + 1e-10) AS ratio FROM moneyflow""")
 
 
-@query(with_ctes(f"""SELECT code, dt, {r('ratio')} AS net_mf_ratio, {r('(rank() OVER (PARTITION BY dt ORDER BY ratio) + (count(*) OVER (PARTITION BY dt, ratio) - 1) / 2.0) / count(*) OVER (PARTITION BY dt) * 100')} AS mf_intensity_rank FROM flowq"""))
+@query(with_ctes(f"""SELECT code, dt, {r('ratio')} AS net_mf_ratio, {r('(rank() OVER (PARTITION BY dt ORDER BY ratio) + (count(*) OVER (PARTITION BY dt, ratio) - 1) / 2.0) / count(*) OVER (PARTITION BY dt) * 100')} AS mf_intensity_rank FROM flowq""", EXACT))
 def flow_features(spark, base):
     return shown(flows.flow_features(src.moneyflow(spark, base)), ["net_mf_ratio", "mf_intensity_rank"])
 
