@@ -18,8 +18,8 @@ cte("feat", f"""SELECT *, round(vol / avg(vol) {over(20)}, 4) AS spike, coalesce
   CASE WHEN pre_close IS NOT NULL THEN greatest(high - low, abs(high - pre_close), abs(low - pre_close)) END AS tr FROM panel)""")
 
 
-def feats(spark, base):
-    d = ind.moving_averages(ind.momenta(src.instrument_bars(spark, base), (5, 20)), (20,))
+def feats(spark, base, bars=None):
+    d = ind.moving_averages(ind.momenta(src.instrument_bars(spark, base) if bars is None else bars, (5, 20)), (20,))
     d = ind.atr_sma(ind.volume_spike(d))
     return d.select("code", "dt", "close", "high", "low", "vol", "amount", "mom5", "mom20", "ma20_dev", F.col("vol_spike").alias("spike"), "atr_pct",
                     ind.price_position(20).alias("pos20"), ind.nz(div0("vol", ind.mean_n("vol", 20))).alias("vol_ratio"))
