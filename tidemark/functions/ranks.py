@@ -28,19 +28,21 @@ def with_bucket(df: DataFrame, by: Sequence[str], order: Sequence[Column], per_b
     """``_b``: how many splitters of the row's group are not above the row's place in ``order`` (ascending,
     NULLs first). Further columns in ``order`` part rows that are equal in the first."""
     by, key = list(by), order[0] if len(order) == 1 else F.struct(*[o.alias(f"_{i}") for i, o in enumerate(order)])
-    chosen = F.when(F.pmod(F.xxhash64(key), F.lit(per_bucket or PER_BUCKET)) == 0, key)
-    sample = df.groupBy(*by).agg(F.sort_array(F.collect_set(chosen)).alias("_all"))
-    n = F.size("_all")
-    step = F.ceil(F.sqrt(F.greatest(n, F.lit(1)))).cast("int")
+    chosen = df.select(*by, key.alias("_v")).where(F.col("_v").isNotNull() & (F.pmod(F.xxhash64("_v"), F.lit(per_bucket or PER_BUCKET)) == 0))
+    sample = chosen.groupBy(*by).agg(F.sort_array(F.collect_set("_v")).alias("_all"))
+    step = F.ceil(F.sqrt(F.greatest(F.size("_all"), F.lit(1)))).cast("int")
     # every step-th splitter is looked at first, then the step splitters after the last one not above
     sample = sample.select(*by, F.struct(
         "_all", step.alias("step"), F.filter("_all", lambda _, i: i % step == 0).alias("coarse")
     ).alias("_s"))
-    joined = df.join(sample, by) if by else df.withColumn("_s", sample.scalar())
+    # groups without a splitter have no row in the sample
+    joined = df.join(F.broadcast(sample), by, "left") if by else df.withColumn("_s", sample.scalar())
     joined = joined.withColumn("_c", F.size(F.filter("_s.coarse", lambda v: v <= key)))
     start = (F.col("_c") - 1) * F.col("_s.step")
     inside = F.filter(F.slice("_s._all", start + 1, F.col("_s.step")), lambda v: v <= key)
-    return joined.withColumn("_b", F.when(F.col("_c") == 0, 0).otherwise(start + F.size(inside))).drop("_s", "_c")
+    # never NULL, or joins on it filter the rows below, once a reader, and the readers' exchanges differ
+    bucket = F.coalesce(F.when(F.col("_c") > 0, start + F.size(inside)), F.lit(0))
+    return joined.withColumn("_b", bucket).drop("_s", "_c")
 
 
 def _offsets(counted: DataFrame, by: Sequence[str]) -> DataFrame:
