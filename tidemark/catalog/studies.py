@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import corr, nz, rd
 from ..operators import cross, indicators as ind, industry as iops, market as mkt, studies as st
 from ..operators.snapshots import latest_rows
+from ..session import materialised
 from ..sources import bars as src
 from .ctes import W, cte, over, r, with_ctes
 from .industry import pct_rank_sql
@@ -32,7 +33,8 @@ PTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 @query(with_ctes(f"SELECT {rsel({f'p{p}': f'quantile_cont(fwd_ret, {p / 100})' for p in PTS})} FROM scores"))
 def percentile_panel(spark, base):
-    return st.percentile_panel(src.engine_scores(spark, base), "fwd_ret").select(*[rd(f"p{p}").alias(f"p{p}") for p in PTS])
+    d = materialised(src.engine_scores(spark, base).select("fwd_ret"))  # ranks read their input several times
+    return st.percentile_panel(d, "fwd_ret").select(*[rd(f"p{p}").alias(f"p{p}") for p in PTS])
 
 
 cte("qb", "SELECT f.mom20, s.d5_ret FROM feat f JOIN scores s USING (code, dt) WHERE f.mom20 IS NOT NULL")
@@ -40,13 +42,13 @@ cte("qb_e", "SELECT [quantile_cont(mom20, 0.1), quantile_cont(mom20, 0.2), quant
 
 
 def scored_feats(spark, base):
-    s = src.engine_scores(spark, base).select("code", "dt", "p_momentum", "p_reversion", "p_breakout", "t1_ret", "d5_ret", "fwd_ret")
-    return feats(spark, base).join(s, ["code", "dt"])
+    return src.with_engine_scores(feats(spark, base))
 
 
 @query(with_ctes(f"SELECT bucket, {stats_sql('d5_ret')} FROM (SELECT CAST(len([v FOR v IN e IF v < mom20]) AS INTEGER) AS bucket, d5_ret FROM qb JOIN qb_e ON true) WHERE d5_ret IS NOT NULL GROUP BY bucket"))
 def quantile_buckets(spark, base):
-    d = st.outcome_stats(st.with_quantile_bucket(scored_feats(spark, base), "mom20", 10), ["bucket"], "d5_ret")
+    d = materialised(scored_feats(spark, base).select("mom20", "d5_ret"))
+    d = st.outcome_stats(st.with_quantile_bucket(d, "mom20", 10), ["bucket"], "d5_ret")
     return d.select("bucket", "n", *[rd(c).alias(c) for c in STAT])
 
 
@@ -97,14 +99,18 @@ def _ic_sql(pred):
       SELECT dt, fwd_ret, {pred} AS p FROM scores WHERE fwd_ret IS NOT NULL)) GROUP BY dt) WHERE n >= 10 AND ic IS NOT NULL AND NOT isnan(ic)"""
 
 
+def ranked_scores(spark, base):
+    return materialised(src.engine_scores(spark, base).select("code", "dt", "p_momentum", "fwd_ret"))
+
+
 @query(with_ctes(_ic_sql("CASE WHEN fwd_ret > 2 THEN p_momentum * 2 ELSE p_momentum END")))
 def rank_ic(spark, base):
-    return st.rank_ic(src.engine_scores(spark, base), "p_momentum", "fwd_ret", boost=2.0).withColumn("ic", rd("ic", 6))
+    return st.rank_ic(ranked_scores(spark, base), "p_momentum", "fwd_ret", boost=2.0).withColumn("ic", rd("ic", 6))
 
 
 @query(with_ctes(_ic_sql("p_momentum")))
 def rank_ic_plain(spark, base):
-    return st.rank_ic(src.engine_scores(spark, base), "p_momentum", "fwd_ret").withColumn("ic", rd("ic", 6))
+    return st.rank_ic(ranked_scores(spark, base), "p_momentum", "fwd_ret").withColumn("ic", rd("ic", 6))
 
 
 @query(with_ctes(f"""SELECT count(*) AS n_dates, {r('sum(w) / nullif(sum(t), 0)')} AS actual_win_rate, {r('avg(v)')} AS avg_volatility FROM (SELECT dt, avg(atr_pct) AS v, count(*) FILTER (fwd_ret > 0) AS w, count(fwd_ret) AS t FROM (
@@ -386,7 +392,7 @@ def persistence_trend(spark, base):
 def cross_section_ranks(spark, base):
     from ..functions.ranks import with_pct_ranks
 
-    f = feats(spark, base).where("mom20 is not null").select("dt", "code", "mom20", "vol_ratio")
+    f = materialised(feats(spark, base).where("mom20 is not null").select("dt", "code", "mom20", "vol_ratio"))
     d = with_pct_ranks(f, ["dt"], ["dt", "code"], {"rank_mom20": "mom20", "rank_vol_ratio": "vol_ratio"})
     d = cross.zscores(d, ["dt"], {"z_mom20": "mom20"})
     return shown(d, ["rank_mom20", "rank_vol_ratio", "z_mom20"], keys=("dt", "code"))
