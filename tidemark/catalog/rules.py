@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import div0, rd, safe_div
 from ..operators import cross, flows, indicators as ind, joins, market as mkt, predicates as rule, text
 from ..operators.snapshots import latest_rows
+from ..session import materialised
 from ..sources import bars as src
 from ..sources import ingest
 from ..sources.tables import table
@@ -18,11 +19,12 @@ cte("feat", f"""SELECT *, round(vol / avg(vol) {over(20)}, 4) AS spike, coalesce
   CASE WHEN pre_close IS NOT NULL THEN greatest(high - low, abs(high - pre_close), abs(low - pre_close)) END AS tr FROM panel)""")
 
 
-def feats(spark, base, bars=None):
+def feats(spark, base, bars=None, kept=()):
+    """Features of every bar, with the columns ``kept`` of the bars."""
     d = ind.moving_averages(ind.momenta(src.instrument_bars(spark, base) if bars is None else bars, (5, 20)), (20,))
     d = ind.atr_sma(ind.volume_spike(d))
     return d.select("code", "dt", "close", "high", "low", "vol", "amount", "mom5", "mom20", "ma20_dev", F.col("vol_spike").alias("spike"), "atr_pct",
-                    ind.price_position(20).alias("pos20"), ind.nz(div0("vol", ind.mean_n("vol", 20))).alias("vol_ratio"))
+                    ind.price_position(20).alias("pos20"), ind.nz(div0("vol", ind.mean_n("vol", 20))).alias("vol_ratio"), *kept)
 
 
 @query(with_ctes(f"SELECT code, dt, {r('CASE WHEN abs(low_mf) > 1e-10 THEN buy / low_mf ELSE 0 END')} AS ratio FROM (SELECT code, dt, buy_elg_amount AS buy, sell_elg_amount AS low_mf FROM moneyflow)"))
@@ -135,8 +137,7 @@ cte("scorefeat", "SELECT s.*, f.spike, f.pos20, f.ma20_dev, f.mom5, f.atr_pct FR
 
 
 def score_feats(spark, base):
-    s = src.engine_scores(spark, base)
-    return s.join(feats(spark, base).select("code", "dt", "spike", "pos20", "ma20_dev", "mom5", "atr_pct"), ["code", "dt"])
+    return src.with_engine_scores(feats(spark, base)).drop("mom20", "vol_ratio", "high", "low")
 
 
 @query(with_ctes(f"""SELECT code, dt, {rsel({
@@ -304,9 +305,9 @@ cte("cand", "SELECT code AS cand_id, arg_max(mom20, dt) AS score FROM feat GROUP
   SELECT c.cand_id, h.outcome, abs(h.score - c.score) AS d, row_number() OVER (PARTITION BY c.cand_id ORDER BY abs(h.score - c.score), abs(h.pos - c.place - 0.5), h.pos) AS k
   FROM (SELECT *, (SELECT count(*) FROM hist WHERE hist.score < cand.score) AS place FROM cand) c JOIN (SELECT score, outcome, row_number() OVER (ORDER BY score, hist_id) AS pos FROM hist) h ON true) WHERE k <= 80 GROUP BY cand_id HAVING count(*) >= 10"""))
 def nearest_by_score(spark, base):
-    f = feats(spark, base)
+    f = materialised(feats(spark, base).select("code", "dt", "mom20", ((F.lead("close", 5).over(ind.series()) / F.col("close") - 1) * 100).alias("outcome")))
     hid = F.col("code") * 100000 + F.datediff("dt", F.lit("1995-01-01").cast("date"))
-    hist = f.select(F.col("mom20").alias("score"), ((F.lead("close", 5).over(ind.series()) / F.col("close") - 1) * 100).alias("outcome"), hid.alias("hist_id")).where("score is not null and outcome is not null")
+    hist = f.select(F.col("mom20").alias("score"), "outcome", hid.alias("hist_id")).where("score is not null and outcome is not null")
     cand = latest_rows(f.select("code", "dt", "mom20")).select(F.col("code").alias("cand_id"), F.col("mom20").alias("score"))
     d = joins.nearest_by_score(cand, hist)
     return d.select("cand_id", "n_near", rd("mean_outcome").alias("mean_outcome"), rd("win_rate").alias("win_rate"), rd("max_distance").alias("max_distance"))
