@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +40,16 @@ def gap_risk(panel: DataFrame, n: int = 60, big_up: float = 5.0, gap_down: float
     )
 
 
-def gap_risk_panel(panel: DataFrame, n: int = 60, big_up: float = 5.0, gap_down: float = -1.0, min_rows: int = 20) -> DataFrame:
-    """The same risk as of every bar: the follow-up of the newest bar is not known yet."""
+def gap_risk_panel(panel: DataFrame, n: int = 60, big_up: float = 5.0, gap_down: float = -1.0, min_rows: int = 20, kept: Sequence[str] = ()) -> DataFrame:
+    """The same risk as of every bar: the follow-up of the newest bar is not known yet. ``kept`` columns of the panel go along."""
     from ..functions.windows import lag, last_n
 
     big = F.col("pct_chg") >= big_up
-    d = panel.select("code", "dt", one_if(big).alias("_b"), one_if(lag(one_if(big)).eqNullSafe(1) & ((F.col("open") / F.col("pre_close") - 1) * 100 <= gap_down)).alias("_h"))
+    d = panel.select("code", "dt", *kept, one_if(big).alias("_b"), one_if(lag(one_if(big)).eqNullSafe(1) & ((F.col("open") / F.col("pre_close") - 1) * 100 <= gap_down)).alias("_h"))
     w, inner = last_n(n), last_n(n - 1)
     ok = F.count(F.lit(1)).over(w) >= min_rows
     hits = F.sum("_h").over(inner)
-    return d.select("code", "dt", F.when(ok, nz(rd(div0(hits, F.sum("_b").over(w))))).otherwise(0.0).alias("t1_lock_risk"))
+    return d.select("code", "dt", *kept, F.when(ok, nz(rd(div0(hits, F.sum("_b").over(w))))).otherwise(0.0).alias("t1_lock_risk"))
 
 
 def with_gap_penalty(scored: DataFrame, risk: DataFrame, score: str, limit: float = GAP_LIMIT, penalty: float = GAP_PENALTY, eliminate: bool = False) -> DataFrame:
