@@ -32,3 +32,36 @@ def test_derived_features_are_a_narrow_table(spark):
     out = fm.derived(d)
     assert "unread" not in out.columns and not reads & set(out.columns)
     assert out.orderBy("dt").collect()[2]["rsi_x_mom20"] == 4.0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["percentile_panel", "quantile_buckets", "rank_ic", "rank_ic_plain", "cross_section_ranks", "nearest_by_score", "weekly_rank_ic", "weekly_refit"])
+def test_ranks_read_stored_rows(spark, name):
+    assert "l_suppkey" not in _plan(load().queries[name](spark, SMALL))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
+def test_candidates_build_the_bars_once(spark):
+    from tidemark.catalog import portfolios, rules, studies
+
+    load()
+    # the bars of the instruments and, for the state of the market, those of the regions
+    assert _plan(portfolios.candidates(spark, SMALL)).count("Relation [l_orderkey") == 2
+    for build in (rules.score_feats, studies.scored_feats):
+        plan = _plan(build(spark, SMALL))
+        assert plan.count("Relation [l_orderkey") == 1 and "Join" not in plan
+
+
+def test_splitters_are_chosen_before_they_are_grouped(spark):
+    from tidemark.functions.ranks import tie_table, with_bucket
+
+    d = spark.range(50).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    assert not with_bucket(d, ["g"], [F.col("x")]).schema["_b"].nullable
+    plan = with_bucket(d, ["g"], [F.col("x")])._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("collect_set"):]
+    assert "Filter" in below and "xxhash64" in below
+    assert {r.n_group for r in tie_table(d.where("g < 2"), ["g"], "x").collect()} == {17}

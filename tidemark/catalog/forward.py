@@ -291,8 +291,8 @@ cte("wkt", "SELECT w.week, count(*) AS n FROM wkw w JOIN wkr x ON x.dt >= w.trai
 
 
 def weekly_rows(spark, base):
-    d = weekly.with_outcome_date(src.engine_scores(spark, base), 5)
-    return d, weekly.weekly_windows(d)
+    d = materialised(weekly.with_outcome_date(src.engine_scores(spark, base), 5).select("code", "dt", "end_dt", "p_momentum", "d5_ret"))
+    return d, materialised(weekly.weekly_windows(d))  # a row per week, which the planner then knows
 
 
 @query(with_ctes("""SELECT CAST(week AS DATE) AS week, CAST(train_start AS DATE) AS train_start, CAST(train_end AS DATE) AS train_end, val_start, val_end, coalesce(t.n, 0) AS n_train, coalesce(v.n, 0) AS n_val FROM wkw
