@@ -174,3 +174,27 @@ def test_fold_correlations_of_constant_shares(spark, monkeypatch):
     monkeypatch.setattr(studies, "fold_frame", lambda spark, base: folds)
     r = studies.fold_correlations(spark, "").first()
     assert r.gate_t1 != r.gate_t1 and r.gate_d5 != r.gate_d5 and r.hhi_t1 == round(folds.stat.corr("hhi", "t1_wr"), 6)
+
+
+def test_ewm_stages_share_sorts_and_match_recursion(spark, make_bars):
+    from tidemark.functions.ewm import with_ewm_stages
+
+    rng = np.random.default_rng(11)
+    d = make_bars({"A": list(rng.lognormal(3, 0.3, 6100)), "B": [1.0, 2.0, 3.0]})
+    d = d.withColumn("x", F.when(F.pmod(F.dayofyear("dt"), F.lit(7)) > 1, F.col("close"))).withColumn("y", F.col("x") * F.col("x"))
+    stages = [{"ex": ("x", span_rate(12)), "ey": ("y", span_rate(26))}, {"s": (F.col("ex") - F.sqrt("ey"), span_rate(9))}]
+    plain = with_ewm(with_ewm(d, stages[0]).withColumn("z", F.col("ex") - F.sqrt("ey")), {"s": ("z", span_rate(9))})
+    staged = with_ewm_stages(d, stages, together=True)
+    a, b = (t.orderBy("code", "dt").toPandas() for t in (plain, staged))
+    assert staged.columns == [*d.columns, "ex", "ey", "s"]
+    for _, g in b.groupby("code"):
+        for out, x, n in (("ex", g["x"], 12), ("ey", g["y"], 26), ("s", g["ex"] - np.sqrt(g["ey"]), 9)):
+            np.testing.assert_allclose(g[out], x.ewm(span=n, adjust=False, ignore_na=True).mean(), rtol=1e-8, atol=1e-10)
+    np.testing.assert_allclose(a["s"], b["s"], rtol=1e-8, atol=1e-10)
+
+
+def test_smoothed_indicators_sort_once_a_stage(spark, make_bars):
+    d = make_bars({"A": [float(i % 7 + 1) for i in range(40)]})
+    for f, most in ((lambda x: ind.macd(x), 3), (lambda x: ind.rsi_wilder(x), 2), (lambda x: ind.rsi_ewm14(ind.daily_return(x)), 2)):
+        plan = f(d)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(" Sort [") <= most, plan
