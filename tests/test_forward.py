@@ -295,3 +295,18 @@ def test_factor_quantiles(spark):
             r = got[name, k]
             assert r.n == len(ys) and r.avg_return == pytest.approx(np.mean(ys)) and r.win_rate == pytest.approx(np.mean(np.array(ys) > 0) * 100)
             assert r.spread == pytest.approx(np.mean(by[3]) - np.mean(by[0]))
+
+
+def test_refresh_shuffles_its_rows_once(spark, sparse_bars, tmp_path):
+    recipe = carried.trend_recipe()
+    first, tail, carry = carried.advance(recipe, sparse_bars.where(F.col("dt") <= F.lit(day(600))), None, None)
+    assert {r.code: r["dt"] for r in tail.where("_state is not null").collect()} == {r.code: r["dt"] for r in carry.collect()}
+    stored = spark.read.parquet(first._source._table_path)
+    assert stored.where("_state is not null").count() == 3  # the state is kept once a code
+    # a tail without the state, as stores had it, gives the same
+    new = sparse_bars.where(F.col("dt") > F.lit(day(600)))
+    got = [rows(carried.advance(recipe, new, t, carry)[0]) for t in (tail, tail.drop("_state"))]
+    close_to(*got)
+    assert len(got[0]) == new.count()
+    plan = carried.advance(recipe, new, tail, carry)[1]
+    assert plan.where("code = 'd'").count() == 100 and plan.where("code = 'd' and _state is not null").count() == 1

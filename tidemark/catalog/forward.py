@@ -31,7 +31,7 @@ cte("fsu", f"""SELECT p.*, count(ret) {RUN} AS n, count(*) FILTER (ret > 0) {RUN
 @query(with_ctes(f"SELECT code, dt, {rsel(STORE)}, up_run, down_run, i AS n_bars FROM fsu", recursive=True))
 def feature_store_update(spark, base):
     """A store built on the first half of the dates and refreshed twice, with codes of few bars."""
-    bars = materialised(src.instrument_bars(spark, base))
+    bars = materialised(src.instrument_bars(spark, base).select("code", "dt", "close", "vol"))  # what the recipe reads
     cal = ingest.trading_calendar(bars)
     n = cal.agg(F.max("date_idx")).scalar()
     upto = lambda share: cal.where(F.col("date_idx") <= n * share).agg(F.max("dt")).scalar()
@@ -39,7 +39,7 @@ def feature_store_update(spark, base):
     for share in (0.5, 0.9, 1.0):
         carried.refresh(spark, path, recipe, bars.where(F.col("dt") <= upto(share)))
     discard(bars)
-    return shown(carried.stored_features(spark, path), list(STORE)).join(carried.stored_features(spark, path).select("code", "dt", "up_run", "down_run", "n_bars"), ["code", "dt"])
+    return carried.stored_features(spark, path).select("code", "dt", *[rd(c).alias(c) for c in STORE], "up_run", "down_run", "n_bars")
 
 
 @query(with_ctes(f"""SELECT code, dt, i - coalesce(max(CASE WHEN pct_chg > 0 THEN NULL ELSE i END) {RUN}, 0) AS up_run,
