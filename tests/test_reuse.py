@@ -51,7 +51,7 @@ def test_candidates_build_the_bars_once(spark):
     load()
     # the bars of the instruments and, for the state of the market, those of the regions
     assert _plan(portfolios.candidates(spark, SMALL)).count("Relation [l_orderkey") == 2
-    for build in (rules.score_feats, studies.scored_feats):
+    for build in (rules.score_feats, studies.scored_feats, extras.labelled):
         plan = _plan(build(spark, SMALL))
         assert plan.count("Relation [l_orderkey") == 1 and "Join" not in plan
 
