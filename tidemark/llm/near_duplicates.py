@@ -23,6 +23,9 @@ SAMPLE, OFTEN, FREQUENT = 8, 8, 200_000
 SKETCH = 16
 #: Lists of nodes are broadcast up to this many rows (16 MB), beyond it joins shuffle.
 BROADCAST_NODES = 500_000
+#: Buckets of over LARGE nodes take turns of random neighbours while one of their rows is expected to meet
+#: over PAIRS similar ones and a turn at least halves that; at most TURNS.
+LARGE, PAIRS, TURNS = 32, 4, 6
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -210,7 +213,7 @@ def similar(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
     proposed with what the balls propose, and every node is compared with the one that is
     proposed most often; then all pairs of buckets that are not yet connected. What the first
     step connects costs no pairs in the second; members of a bucket that it does not connect
-    do. Sizes, the shingle's places and the sketches of both sets rule pairs out before
+    do. So while many are expected, neighbours of random orders are compared in between. Sizes, the shingle's places and the sketches of both sets rule pairs out before
     any set moves.
     """
     frequent, rank = _frequent(docs, shingle)
@@ -249,22 +252,55 @@ def similar(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
     tried = materialised(proposed.groupBy("b").agg(F.max(F.struct("count", "a")).alias("x")).select("x.a", "b"))
     links = _similar(docs, tried, shingle, threshold)
     of = components(links)
-    # What these leave: pairs of buckets that are in different components.
-    placed = buckets.join(of, "node", "left").select("h", "node", "n", "p", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    placed = materialised(placed.join(mixed, "h", "left_semi").join(nodes.select("node", "bits"), "node").select("h", "node", "n", "p", "root", "bits"))
-    x, y = placed.toDF("h", "a", "na", "pa", "ra", "ba"), placed.toDF("h", "b", "nb", "pb", "rb", "bb")
+    # What these leave: pairs of buckets that are in different components. Groups of many different texts
+    # are connected by neighbours in random orders first, or nearly all their pairs would be left.
     need = least(F.col("na"), F.col("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= need) & (room(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")) >= need)
-    met = x.join(y, (x["h"] == y["h"]) & fits & able).select("a", "b").distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fits = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= need) & (room(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")) >= need)
+    done, tables, last = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), [tried], None
+    large = materialised(buckets.where(F.col("size") > LARGE))
+    for turn in range(TURNS):
+        placed = _mixed(large, of, nodes)
+        near = materialised(_neighbours(placed, turn).where(fits & able).select("a", "b", "ra", "rb", "size"))
+        expected, total = (near.agg(F.sum("size")).first()[0] or 0) / 2, placed.count()
+        discard(placed)
+        if expected <= PAIRS * total or last is not None and 2 * expected > last:
+            discard(near)
+            break
+        last = expected
+        ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        each = near.select(*ends, F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).join(done, ["a", "b"], "left_anti")
+        asked = materialised(each.groupBy("ra", "rb").agg(F.min(F.struct("a", "b")).alias("x")).select("x.*"))
+        discard(near)
+        links = materialised(links.unionByName(_similar(docs, asked, shingle, threshold)))
+        of, done = components(links), done.unionByName(asked)
+        tables.append(asked)
+    placed = _mixed(buckets, of, nodes)
+    x, y = placed.toDF("h", "a", "na", "pa", "ra", "ba"), placed.toDF("h", "b", "nb", "pb", "rb", "bb")
+    met = x.join(y, (x["h"] == y["h"]) & (F.col("a") < F.col("b")) & fits & able).select("a", "b").distinct()
     rest = materialised(met.join(done, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         of = components(links.unionByName(_similar(docs, rest, shingle, threshold)))
-    discard(nodes, buckets, tried, placed, rest)
+    discard(nodes, buckets, large, *tables, placed, rest)
     return rows.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _mixed(buckets: DataFrame, of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(h, node, n, p, root, bits) of the buckets with nodes of more than one component, as a table."""
+    placed = buckets.join(of, "node", "left").select("h", "node", "n", "p", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    return materialised(placed.join(mixed, "h", "left_semi").join(nodes.select("node", "bits"), "node").select("h", "node", "n", "p", "root", "bits"))
+
+
+def _neighbours(placed: DataFrame, turn: int) -> DataFrame:
+    """Neighbours in an order of each bucket that is another one for every bucket and turn, with its size:
+    one of them stands for half that many pairs."""
+    by_h = Window.partitionBy("h")
+    before = F.lag(F.struct("node", "n", "p", "root", "bits")).over(by_h.orderBy(F.xxhash64("h", "node", F.lit(turn)), "node"))
+    d = placed.withColumn("x", before).withColumn("size", F.count("*").over(by_h)).where("x is not null")
+    one = [F.col(f"x.{c}").alias(to) for c, to in zip(("node", "n", "p", "root", "bits"), ("a", "na", "pa", "ra", "ba"), strict=True)]
+    return d.select(*one, F.col("node").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("root").alias("rb"), F.col("bits").alias("bb"), "size")
+
+
 def deduplicate_similar(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs``, all columns, with one document of each component of ``similar``: the one of the
     smallest doc_id. Of repeated rows with that id and text one stays. Documents without an id are kept."""
