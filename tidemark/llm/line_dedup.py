@@ -32,16 +32,20 @@ def masked(line: Column) -> Column:
 
 
 def cut(line: Column) -> Column:
-    """Tokens of a line, cut at white space."""
-    return F.array_remove(F.split(line, r"\s+"), "")
+    """Tokens of a line, cut at white space; a cut at one character is the cheaper one."""
+    parts = F.when(line.rlike(r"[\t-\r]"), F.split(line, r"\s+")).otherwise(F.split(line, " "))
+    return F.array_remove(parts, "")
 
 
 def lines_of(docs: DataFrame, depth: int) -> DataFrame:
     """k1, k2, pos, n (tokens), leaf, line, exact, body (the masked line) for every line of every row
     that has a token. exact stands for the tokens with their digits, for lines that are too much of
     numbers for a template."""
-    each = docs.where("text is not null").select(*text_key(F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    toks = each.select("k1", "k2", "pos", "raw", masked(F.col("raw")).alias("body")).withColumn("toks", cut(F.col("body"))).where(F.size("toks") > 0)
+    # Keys are taken once a text, before its lines part, and blank lines go by their own look: a filter on the
+    # tokens would make them twice. No split is empty, so the outer form only spares a filter on its size.
+    keyed = docs.where("text is not null").select(*text_key(F.col("text")), F.split("text", "\n").alias("raws"))
+    each = keyed.select("k1", "k2", F.posexplode_outer("raws").alias("pos", "raw")).where(F.col("raw").rlike(r"\S"))
+    toks = each.select("k1", "k2", "pos", "raw", masked(F.col("raw")).alias("body")).withColumn("toks", cut(F.col("body")))
     wild = F.col("body").contains(WILD)
     numbers = F.when(wild, F.size(F.filter("toks", lambda t: t == WILD))).otherwise(0)
     exact = F.when(wild & F.col("raw").rlike("[0-9]") & (2 * numbers > F.size("toks")), F.xxhash64(cut(F.lower("raw"))))
