@@ -23,6 +23,8 @@ BLOCK_BYTES = 12 << 20
 #: A block also ends at so many documents, for tables of very short texts.
 BLOCK_DOCS = 16_384
 SLICE = 512
+#: At this level zstd makes 5 to 15 % less of positions and numbers than at its lowest, for a second more a GB of text.
+CODEC = pa.Codec("zstd", compression_level=6)
 NAMES = ["block", "docs", "terms", "weights", "indptr", "at", "freq"]
 
 
@@ -67,7 +69,7 @@ def planes(x: np.ndarray) -> bytes:
     """32-bit integers, first all lowest bytes, then all second ones, after their length compressed: such
     arrays are exchanged whole, and a shuffle's own codec makes less of them."""
     raw = x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + CODEC.compress(raw, asbytes=True)
 
 
 def from_planes(packed: bytes) -> np.ndarray:

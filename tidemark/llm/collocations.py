@@ -49,11 +49,21 @@ def _occurrences(texts: list[bytes]) -> dict[str, pa.Array]:
     code = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in tokens.chunks])
     code = code[code != (values.index(b"") if b"" in values else -1)]
     at = np.flatnonzero(code != (values.index(b"\n") if b"\n" in values else -1))
-    distinct, phrase, times = np.unique(code[at], return_inverse=True, return_counts=True)
+    distinct, phrase, times = _by_frequency(code[at])
     words = dictionary.take(pa.array(distinct)).cast(pa.string())
     return _relation(at, phrase, times) | {"word": _whole(words)}
 
 
+def _by_frequency(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, the most frequent first, each value's number among them, and how often each occurs:
+    small numbers for most occurrences leave the higher byte planes nearly empty."""
+    distinct, number, times = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[number], times[order]
+
+
 def _whole(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
@@ -120,7 +130,7 @@ def extended(relation: DataFrame, keys: list[str], known: DataFrame) -> DataFram
         at, kept = np.cumsum(step, dtype=np.int64), rank[phrase]
         at, kept = at[kept >= 0], kept[kept >= 0]
         i = np.flatnonzero(np.diff(at) == 1)
-        pair, longer, times = np.unique(kept[i] * max(len(no), 1) + kept[i + 1], return_inverse=True, return_counts=True)
+        pair, longer, times = _by_frequency(kept[i] * max(len(no), 1) + kept[i + 1])
         a, b = np.divmod(pair, max(len(no), 1))
         made = _relation(at[i], longer, times) | {"first": _whole(pa.array(ids[a], pa.int64())), "last": _whole(pa.array(ids[b], pa.int64()))}
         return pa.table({"group": left.column("group"), "block": left.column("block")} | made)
