@@ -444,7 +444,8 @@ cte("pkqb", """SELECT p.factor, CAST(CASE WHEN x > q1 THEN 1 ELSE 0 END + CASE W
 
 
 def picks(spark, base):
-    return materialised(pk.day_picks(pk.day_factors(src.instrument_bars(spark, base))))
+    bars = materialised(src.instrument_bars(spark, base).select("code", "dt", "high", "low", "close", "vol"))  # picks read them twice
+    return materialised(pk.day_picks(pk.day_factors(bars)))
 
 
 @query(with_ctes(f"""SELECT factor, bucket, n, {rsel({'avg_return': 'a', 'win_rate': 'w', 'spread': 'max(CASE WHEN bucket = 3 THEN a END) OVER (PARTITION BY factor) - max(CASE WHEN bucket = 0 THEN a END) OVER (PARTITION BY factor)'}, 3)}

@@ -7,9 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import with_group_stats
 from ..functions.scalar import clip, div0, nz, one_if, rd, tiers
 from ..functions.windows import lag, lead, mean_n, momentum, std_n
+from ..session import materialised
 from .cross import minmax, top_n
 from .indicators import true_range
 from .predicates import MIN_PRICE, dso
@@ -41,7 +41,9 @@ def day_factors(bars: DataFrame, horizon: int = 5) -> DataFrame:
 def day_scores(factors: DataFrame, weights: Mapping[str, float] = DAY_WEIGHTS) -> DataFrame:
     """Weighted raw factors of tradable rows; a missing factor adds nothing."""
     ok = factors.where((F.col("close") >= MIN_PRICE) & (F.col("vol") > 0) & F.col("momentum_5d").isNotNull())
-    d = with_group_stats(ok, ["dt"], F.avg("momentum_20d").alias("_m")).withColumn("rel_strength", F.col("momentum_20d") - F.col("_m")).drop("_m")
+    # A row a date: stored, it is known to be small, and the factors need not be shuffled by date to meet it.
+    means = materialised(ok.groupBy("dt").agg(F.avg("momentum_20d").alias("_m")))
+    d = ok.join(means, "dt", "left").withColumn("rel_strength", F.col("momentum_20d") - F.col("_m")).drop("_m")
     return d.withColumn("score", sum((nz(k) * w for k, w in weights.items()), F.lit(0.0)))
 
 

@@ -13,6 +13,7 @@ from ..functions.windows import mean_n, momentum
 from ..operators.cross import top_n
 from ..operators.joins import forward_bars
 from ..operators.studies import RISK_FREE, YEAR_DAYS, share
+from ..session import materialised
 from ..sources.ingest import trading_calendar
 
 
@@ -75,10 +76,12 @@ def stop_exits(picks: DataFrame, bars: DataFrame, horizon: int = 5, fixed: Seque
 
     picks: (code, dt, atr_ratio). Picks without a full horizon are left out.
     """
-    path = forward_bars(picks, bars, horizon).groupBy("code", "entry_dt").agg(
-        F.first("entry_close").alias("entry_close"), F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct("k", "close"))).alias("_p")
-    ).where(F.col("_n") == horizon)  # the collected path has ``horizon`` elements
-    d = path.join(picks.select("code", F.col("dt").alias("entry_dt"), "atr_ratio"), ["code", "entry_dt"])
+    w = Window.partitionBy("code").orderBy("dt")
+    path = F.array(*[F.struct(F.lit(k).alias("k"), F.lead("close", k).over(w).alias("close")) for k in range(1, horizon + 1)])
+    path = bars.select("code", F.col("dt").alias("entry_dt"), F.col("close").alias("entry_close"), path.alias("_p"), F.lead("dt", horizon).over(w).alias("_end"))
+    # The picks are stored, so the planner knows how few they are and need not shuffle the bars' paths.
+    few = materialised(picks.select("code", F.col("dt").alias("entry_dt"), "atr_ratio"))
+    d = path.where("_end is not null").join(few, ["code", "entry_dt"])
     stops = [F.struct(F.lit("none").alias("stop"), F.lit(None).cast("double").alias("pct"))]
     stops += [F.struct(F.lit(f"{s}%").alias("stop"), F.lit(float(s)).alias("pct")) for s in fixed]
     stops += [F.struct(F.lit(f"{m}xATR").alias("stop"), (F.col("atr_ratio") * float(m)).alias("pct")) for m in atr]
