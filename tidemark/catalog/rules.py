@@ -211,7 +211,7 @@ def external_panels(spark, base):
 
 @query(with_ctes("SELECT code, dt, p_momentum, p_reversion, p_breakout FROM scores WHERE p_momentum >= 0.2 AND p_reversion >= 0.1 AND p_breakout >= 0.3"))
 def engine_probabilities(spark, base):
-    s = src.engine_scores(spark, base)
+    s = materialised(src.engine_scores(spark, base).select("dt", "code", *[f"p_{e}" for e in src.ENGINE_SEEDS]))  # bars are built once, not in the tasks that join
     panels = [s.where(f"p_{e} >= {x}").select("dt", "code", f"p_{e}") for e, x in (("momentum", 0.2), ("reversion", 0.1), ("breakout", 0.3))]
     return joins.inner_all(panels)
 
