@@ -25,7 +25,7 @@ BLOCK_DOCS = 16_384
 SLICE = 512
 #: At this level zstd makes 5 to 15 % less of positions and numbers than at its lowest, for a second more a GB of text.
 CODEC = pa.Codec("zstd", compression_level=6)
-NAMES = ["block", "docs", "terms", "weights", "indptr", "at", "freq"]
+NAMES = ["block", "n_terms", "docs", "terms", "weights", "indptr", "at", "freq"]
 
 
 def encode(
@@ -61,7 +61,7 @@ def encode(
     weight = F.lit(1) if weight is None else weight
     text = F.col("text") if docs.schema["text"].dataType.typeName() == "binary" else F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), weight.cast("long").alias("weight"))
-    schema = f"block long, docs binary, terms array<{term_type}>, weights array<long>, indptr binary, at binary, freq binary"
+    schema = f"block long, n_terms long, docs binary, terms array<{term_type}>, weights array<long>, indptr binary, at binary, freq binary"
     return materialised(rows.mapInArrow(run, schema))
 
 
@@ -134,7 +134,7 @@ def _block(parts: list[pa.RecordBatch], name: int, tokenise) -> pa.RecordBatch:
         out.write_table(kept)
     # Terms are numbered in order of appearance, so the steps from one to the next are small.
     raw = [pa.array([x], pa.binary()) for x in (indptr.tobytes(), planes(np.diff(at, prepend=0)), planes(freq))]
-    columns = [pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), whole(terms), whole(pa.array(weights)), *raw]
+    columns = [pa.array([name], pa.int64()), pa.array([len(terms)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), whole(terms), whole(pa.array(weights)), *raw]
     pa.default_memory_pool().release_unused()  # workers are kept, what they once needed should not be
     return pa.RecordBatch.from_arrays(columns, names=NAMES)
 

@@ -14,6 +14,7 @@ before (a "head"), the others on the word alone. Either is computed once however
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialised
+from ..session import discard, materialised
 from . import blocks
 from .common import remainder
 
@@ -35,6 +36,8 @@ CUT = 3  # a task works its subtrees in pieces that are whole for contexts of so
 PIECE = 100_000
 #: Terms are scored in blocks of about so many (term, block of documents) pairs.
 TERM_REFS = 250_000
+#: They are dealt to parts of at most about so many, and small corpora to so many parts for the sake of parallel work.
+PART_REFS, LEAST_PARTS = 2_000_000, 16
 
 
 def tokens(texts: pa.Array) -> pa.ListArray:
@@ -195,52 +198,97 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return dealt.mapInArrow(scores, "gram long, lp float")
 
 
-def term_blocks(each: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Distinct terms in blocks, from (block, pos, term, weight) rows, as a table.
+def dealt_terms(made: DataFrame, parts: int) -> DataFrame:
+    """(part, block, pos, size, weight, text): the distinct terms of each block of documents, dealt by their crc32.
 
-    All rows of a term meet in one task and in one block: their weights are summed, and the block
-    keeps where each came from. Its distinct grams are listed once with their counts."""
+    A row has all terms of one block and part, as compressed arrays: what is exchanged are a few bytes
+    a term, and no row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, number, waiting, size = TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
-            waiting.append(b)
-            size += b.num_rows
-            if size >= TERM_REFS:
-                rows = pa.Table.from_batches(waiting).combine_chunks()
-                term = rows.column("term").combine_chunks()
-                other = pc.not_equal(term, term[-1]).to_numpy(zero_copy_only=False)
-                cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0  # the last term may go on
-                if cut:
-                    yield _term_block(rows.slice(0, cut), (task << 24) + number, depth)
-                    rest = rows.slice(cut).combine_chunks()
-                    waiting, size, number = rest.to_batches(), rest.num_rows, number + 1
-        if size:
-            yield _term_block(pa.Table.from_batches(waiting).combine_chunks(), (task << 24) + number, depth)
+            for i, block in enumerate(b.column("block").to_pylist()):
+                terms, weight = (b.column(c).slice(i, 1).flatten() for c in ("terms", "weights"))
+                hashes = np.fromiter(map(crc32, terms.to_pylist()), np.int64, len(terms)) % parts
+                order = np.argsort(hashes.astype(np.min_scalar_type(parts)), kind="stable")
+                found = np.flatnonzero(np.bincount(hashes, minlength=parts))
+                ends = np.searchsorted(hashes[order], found, "right")
+                out = []
+                for at in np.split(order, ends[:-1]):
+                    some = terms.take(pa.array(at))
+                    size = pc.binary_length(some).to_numpy(zero_copy_only=False)
+                    text = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), b"")[0].as_py() if len(some) else b""
+                    text = len(text).to_bytes(8, "little") + blocks.CODEC.compress(text, asbytes=True)
+                    out.append((blocks.planes(np.diff(at, prepend=0)), blocks.planes(size), blocks.planes(weight.take(pa.array(at)).to_numpy()), text))
+                if len(order):
+                    columns = [pa.array(found, pa.int64()), pa.array([block] * len(found), pa.int64())]
+                    columns += [pa.array(x, pa.binary()) for x in zip(*out, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "pos", "size", "weight", "text"])
+
+    return made.select("block", "terms", "weights").mapInArrow(run, "part long, block long, pos binary, size binary, weight binary, text binary")
+
+
+def _texts(rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all rows of ``dealt_terms``, one after another, and how many each row has."""
+    packed = rows.column("text").to_pylist()
+    data = b"".join(pa.decompress(t[8:], int.from_bytes(t[:8], "little"), "zstd", asbytes=True) for t in packed)
+    sizes = [blocks.from_planes(x) for x in rows.column("size").to_pylist()]
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]), np.array([len(x) for x in sizes])
+
+
+def term_blocks(made: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Distinct terms in blocks, from the terms of ``blocks.encode``, as a table.
+
+    All rows of a term meet in one part and in one block: their weights are summed, and the block
+    keeps where each came from. Its distinct grams are listed once with their counts. A part is
+    a fixed number of references, so it does not grow with the corpus; its blocks are cut in the order of
+    the terms, as neighbours have grams in common."""
+    refs = made.agg(F.coalesce(F.sum("n_terms"), F.lit(0))).first()[0]
+    parts = max(-(-refs // PART_REFS), min(-(-refs // TERM_REFS), LEAST_PARTS), 1)
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        values, count = _texts(rows)
+        coded = values.dictionary_encode()
+        by_term = pc.array_sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(by_term), np.int64)
+        rank[by_term] = np.arange(len(by_term))
+        term = rank[coded.indices.to_numpy()]
+        distinct = coded.dictionary.take(pa.array(by_term))
+        del values, coded
+        block = np.repeat(rows.column("block").to_numpy(), count)
+        pos = np.concatenate([np.cumsum(blocks.from_planes(x)) for x in rows.column("pos").to_pylist()])
+        weight = np.concatenate([blocks.from_planes(x) for x in rows.column("weight").to_pylist()])
+        order = np.argsort(term, kind="stable")
+        upto = np.cumsum(np.bincount(term, minlength=len(distinct)))
+        last = np.flatnonzero(np.diff((upto - 1) // TERM_REFS, append=-1))  # terms after which a block ends
+        out, first = [], 0
+        for number, t in enumerate(last):
+            at = order[(upto[first - 1] if first else 0) : upto[t]]
+            name = (key[0].as_py() << 24) + number
+            out.append(_term_block(distinct.slice(first, t + 1 - first), term[at] - first, block[at], pos[at], weight[at], name, depth))
+            first = t + 1
+            pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(out)
 
     schema = "tb long, terms array<long>, weights array<long>, at binary, owner binary, count binary, term binary, blocks binary, block binary, pos binary, n long, v long"
-    return materialised(each.repartition("term").sortWithinPartitions("term").mapInArrow(run, schema))
+    return materialised(dealt_terms(made, parts).groupBy("part").applyInArrow(run, schema))
 
 
-def _term_block(rows: pa.Table, name: int, depth: int) -> pa.RecordBatch:
-    coded = rows.column("term").combine_chunks().dictionary_encode()
-    term, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+def _term_block(distinct: pa.Array, term: np.ndarray, block: np.ndarray, pos: np.ndarray, weight: np.ndarray, name: int, depth: int) -> pa.RecordBatch:
     count = np.zeros(len(distinct), np.int64)
-    np.add.at(count, term, rows.column("weight").to_numpy())
+    np.add.at(count, term, weight)
     lists = grams(distinct, depth)
     sizes = np.diff(lists.offsets.to_numpy())
     gram, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     owner = np.repeat(np.arange(len(distinct)), sizes)
     weights = np.zeros(len(gram), np.int64)
     np.add.at(weights, at, count[owner])
-    word = pc.not_equal(pc.binary_slice(distinct, 0, 1), b" ").to_numpy(zero_copy_only=False)
+    word = pc.not_equal(pc.binary_slice(distinct, 0, 1), pa.scalar(b" ", distinct.type)).to_numpy(zero_copy_only=False)
     known = word & (count > 0)
-    source, of = np.unique(rows.column("block").to_numpy(), return_inverse=True)
+    source, of = np.unique(block, return_inverse=True)
     raw = [
         blocks.planes(at), blocks.planes(np.diff(owner, prepend=0)), np.where(word, count, -1).astype("<i8").tobytes(),
-        blocks.planes(np.diff(term, prepend=0)), source.astype("<i8").tobytes(), blocks.planes(of), blocks.planes(rows.column("pos").to_numpy()),
+        blocks.planes(np.diff(term, prepend=0)), source.astype("<i8").tobytes(), blocks.planes(of), blocks.planes(pos),
     ]
     columns = [pa.array([name]), blocks.whole(pa.array(gram)), blocks.whole(pa.array(weights))]
     columns += [pa.array([x], pa.binary()) for x in raw] + [pa.array([int(count[known].sum())]), pa.array([int(known.sum())])]
@@ -249,7 +297,7 @@ def _term_block(rows: pa.Table, name: int, depth: int) -> pa.RecordBatch:
 
 
 def term_scores(made: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(block, packed): for each place (pos) a term came from its training count (-1: a head; as
+    """(block, packed), as a table: for each place (pos) a term came from its training count (-1: a head; as
     two halves) and the log10 probability (lp) of the bytes it stands for, those of one block of
     documents packed. Terms of count 0 were not learned from."""
     each = blocks.terms(made.withColumnRenamed("block", "b").withColumnRenamed("tb", "block").select("block", "terms", "weights"))
@@ -273,7 +321,9 @@ def term_scores(made: DataFrame, depth: int = DEPTH) -> DataFrame:
         return pa.table({"block": block, "packed": packed})
 
     kept = made.select("tb", "at", "owner", "count", "term", "blocks", "block", "pos")
-    return kept.groupBy("tb").cogroup(values.groupBy("tb")).applyInArrow(run, "block long, packed binary")
+    out = materialised(kept.groupBy("tb").cogroup(values.groupBy("tb")).applyInArrow(run, "block long, packed binary"))
+    discard(counts)
+    return out
 
 
 def _unpacked(values: pa.Table) -> dict[str, np.ndarray]:
@@ -295,7 +345,10 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH)
     docs = docs.select("doc_id", "text")
     learn = remainder(F.col("doc_id"), modulus) != held
     made = blocks.encode(docs, tokens, learn, "binary")
-    distinct = term_blocks(blocks.terms(made), depth)
+    distinct = term_blocks(made, depth)
+    # From here on the terms are in blocks of their own; what is read no more is deleted, as all of it takes several times the input.
+    kept = materialised(made.select("block", "docs", "indptr", "at", "freq"))
+    discard(made)
     zero = F.lit(0)
     n, v = distinct.agg(F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("v"), zero)).first()
     ends = docs.agg(F.coalesce(F.sum(learn.cast("long")), zero)).first()[0]
@@ -315,5 +368,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH)
         }
 
     schema = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    out = blocks.per_document(made, term_scores(distinct, depth), finish, docs.schema["doc_id"].dataType.simpleString(), schema, _unpacked)
+    scores = term_scores(distinct, depth)
+    discard(distinct)
+    out = blocks.per_document(kept, scores, finish, docs.schema["doc_id"].dataType.simpleString(), schema, _unpacked)
     return out.withColumn("bits_per_byte", F.nanvl("bits_per_byte", F.lit(None).cast("double")))
