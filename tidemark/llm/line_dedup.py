@@ -38,19 +38,29 @@ def cut(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, depth: int) -> DataFrame:
-    """k1, k2, pos, n (tokens), leaf, line, exact, body (the masked line) for every line of every row
-    that has a token. exact stands for the tokens with their digits, for lines that are too much of
+    """k1, k2, filled (lines of the text that have a token), pos, n (tokens), leaf, line, exact, body (the masked line)
+    for every line of every row that has a token. exact stands for the tokens with their digits, for lines that are too much of
     numbers for a template."""
     # Keys are taken once a text, before its lines part, and blank lines go by their own look: a filter on the
     # tokens would make them twice. No split is empty, so the outer form only spares a filter on its size.
     keyed = docs.where("text is not null").select(*text_key(F.col("text")), F.split("text", "\n").alias("raws"))
-    each = keyed.select("k1", "k2", F.posexplode_outer("raws").alias("pos", "raw")).where(F.col("raw").rlike(r"\S"))
-    toks = each.select("k1", "k2", "pos", "raw", masked(F.col("raw")).alias("body")).withColumn("toks", cut(F.col("body")))
+    keyed = keyed.select("k1", "k2", F.size(F.filter("raws", lambda x: x.rlike(r"\S"))).alias("filled"), "raws")
+    each = keyed.select("k1", "k2", "filled", F.posexplode_outer("raws").alias("pos", "raw")).where(F.col("raw").rlike(r"\S"))
+    toks = each.select("k1", "k2", "filled", "pos", "raw", masked(F.col("raw")).alias("body")).withColumn("toks", cut(F.col("body")))
     wild = F.col("body").contains(WILD)
     numbers = F.when(wild, F.size(F.filter("toks", lambda t: t == WILD))).otherwise(0)
     exact = F.when(wild & F.col("raw").rlike("[0-9]") & (2 * numbers > F.size("toks")), F.xxhash64(cut(F.lower("raw"))))
     path = F.xxhash64(F.size("toks"), F.slice("toks", 1, depth))
-    return toks.select("k1", "k2", "pos", F.size("toks").alias("n"), path.alias("leaf"), F.xxhash64("toks").alias("line"), exact.alias("exact"), "body")
+    return toks.select("k1", "k2", "filled", "pos", F.size("toks").alias("n"), path.alias("leaf"), F.xxhash64("toks").alias("line"), exact.alias("exact"), "body")
+
+
+def shared(lines: DataFrame, by: list[str], min_docs: int) -> DataFrame:
+    """The values of ``by`` in at least ``min_docs`` different texts (k1, k2). Whether there are two is seen from
+    the extremes of the keys, in one exchange of partial results; more are counted."""
+    if min_docs == 2:
+        ends = [f(k).alias(f"{k}_{i}") for k in ("k1", "k2") for i, f in enumerate((F.min, F.max))]
+        return lines.groupBy(*by).agg(*ends).where("k1_0 <> k1_1 or k2_0 <> k2_1").select(*by)
+    return lines.select(*by, "k1", "k2").distinct().groupBy(*by).count().where(F.col("count") >= min_docs).select(*by)
 
 
 def templates(lines: DataFrame, min_docs: int, constant: float, share: float) -> DataFrame:
@@ -67,7 +77,7 @@ def templates(lines: DataFrame, min_docs: int, constant: float, share: float) ->
     support = at.where("not number").groupBy("leaf", "p", "tok").agg(F.sum("texts").alias("support")).where(F.col("support") >= min_docs)
     marked = at.join(support, ["leaf", "p", "tok"], "left")
     held = F.when(F.col("number"), F.lit(-1)).otherwise(F.coalesce("support", F.lit(1)))
-    found = marked.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("p", "tok", held.alias("s")))).alias("at"))
+    found = marked.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("p", "tok", held.alias("s")))).alias("at"))
     words = F.filter("at", lambda x: x["s"] >= 0)
     found = found.withColumn("levels", F.sort_array(F.transform(words, lambda x: x["s"]), asc=False)).where(F.size("levels") > 0)
     level = F.try_element_at("levels", F.greatest(F.lit(1), F.ceil(F.lit(constant) * F.size("levels")).cast("int")))
@@ -91,14 +101,13 @@ def recurring_lines(seen: DataFrame, min_docs: int, constant: float, share: floa
     Leaves with fewer texts are cut off first, and equal lines are one row from then on, with the
     number of texts they are in; a line that a third of the corpus has is as cheap as any.
     """
-    leaves = seen.select("leaf", "k1", "k2").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    leaves = materialised(leaves)
+    leaves = materialised(shared(seen, ["leaf"], min_docs))
     busy = seen.join(small(leaves, BROADCAST_LEAVES), "leaf", "left_semi").select("leaf", "line", "body", "k1", "k2").distinct()
     lines = materialised(busy.groupBy("leaf", "line", "body").agg(F.count("*").alias("texts")))
     formed = materialised(templates(lines, min_docs, constant, share))
     # A text counts once for a template, whichever of its lines have it.
-    pairs = seen.select("leaf", "line", "k1", "k2").join(formed, ["leaf", "line"]).select("leaf", "template", "k1", "k2").distinct()
-    often = pairs.groupBy("leaf", "template").count().where(F.col("count") >= min_docs)
+    pairs = seen.select("leaf", "line", "k1", "k2").join(formed, ["leaf", "line"]).select("leaf", "template", "k1", "k2")
+    often = shared(pairs, ["leaf", "template"], min_docs)
     out = materialised(formed.join(often, ["leaf", "template"], "left_semi").select("leaf", "line", "template"))
     discard(leaves, lines, formed)
     return out
@@ -118,20 +127,21 @@ def dropped_lines(docs: DataFrame, depth: int = 3, min_docs: int = 2, constant:
     """
     seen = materialised(lines_of(docs, depth))
     hit = recurring_lines(seen, min_docs, constant, share)
-    narrow = seen.select("k1", "k2", "pos", "n", "leaf", "line", "exact")
+    narrow = seen.select("k1", "k2", "filled", "pos", "n", "leaf", "line", "exact")
     marked = narrow.join(hit, ["leaf", "line"], "left")
     # Lines with an exact hash have no template, so no line is counted twice.
     equal = narrow.where("exact is not null")
-    often = equal.select("exact", "k1", "k2").distinct().groupBy("exact").count().where(F.col("count") >= min_docs)
-    numbers = equal.join(often, "exact", "left_semi").select("k1", "k2", "pos", "n", F.lit(0).alias("words"), F.col("exact").alias("template"))
-    marked = marked.select("k1", "k2", "pos", "n", F.col("n").alias("words"), "template").union(numbers)
-    # Equal texts are one: their rows differ in nothing.
-    lines = F.array_sort(F.collect_set(F.struct("pos", "n", "words", "template")))
-    per = marked.groupBy("k1", "k2").agg(lines.alias("lines"))
-    found = F.filter("lines", lambda x: x["template"].isNotNull())
-    total = lambda of, name: F.aggregate(of, F.lit(0), lambda a, x: a + x[name])
-    per = per.select("k1", "k2", found.alias("found"), total(F.col("lines"), "words").alias("words")).where(F.size("found") > 0)
-    per = materialised(per.withColumn("mostly", total(F.col("found"), "n") > F.lit(most) * F.col("words")))
+    often = shared(equal, ["exact"], min_docs)
+    numbers = equal.join(often, "exact", "left_semi").select("k1", "k2", "filled", "pos", "n", F.lit(0).alias("own"), F.col("exact").alias("template"))
+    marked = marked.select("k1", "k2", "filled", "pos", "n", F.lit(1).alias("own"), "template").union(numbers)
+    # Equal texts are one: their rows differ in nothing. Only found lines are gathered; the words of all lines are a
+    # sum, as many times those of the text as it has copies, and so are its lines.
+    lines = F.sort_array(F.collect_set(F.when(F.col("template").isNotNull(), F.struct("pos", "n", "template"))))
+    words, filled = F.sum(F.col("own") * F.col("n")), F.sum("own")
+    per = marked.groupBy("k1", "k2").agg(lines.alias("found"), words.alias("all"), filled.alias("rows"), F.max("filled").alias("filled"))
+    per = per.where(F.size("found") > 0).select("k1", "k2", "found", F.expr("`all` div (`rows` div filled)").cast("int").alias("words"))
+    total = F.aggregate("found", F.lit(0), lambda a, x: a + x["n"])
+    per = materialised(per.withColumn("mostly", total > F.lit(most) * F.col("words")))
     of = copies(docs, per.where("mostly"), most).withColumn("copy", F.lit(True))
     whole, none = F.coalesce("copy", F.lit(False)), F.array().cast("array<int>")
     dropped = per.select("k1", "k2", F.transform("found", lambda x: x["pos"]).alias("found")).join(of, ["k1", "k2"], "left")
