@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.ewm import span_rate, wilder_rate, with_ewm, with_ewm_adjusted, with_ewm_stages
 from ..functions.scalar import clip, corr, div0, flag, nz, one_if, tiers
 from ..functions.windows import (
-    before_n, kurt_n, lag, last_n, lead, max_n, mean_n, min_n, momentum, next_n, roll, series, skew_n, std_n, sum_n, upto,
+    before_n, kurtosis, lag, last_n, lead, max_n, mean_n, min_n, momentum, next_n, power_means, roll, series, skewness, std_n, sum_n, upto,
 )
 
 YEAR_DAYS = 252
@@ -158,21 +158,27 @@ def bar_shape(bars: DataFrame) -> DataFrame:
 
 
 def return_stats(d: DataFrame, n: int = 20) -> DataFrame:
-    """Rolling statistics of ``ret``; conditional means and deviations use NULL for the other side."""
+    """Rolling statistics of ``ret``; conditional means and deviations use NULL for the other side.
+
+    The window aggregates are columns first: in a longer expression each would be evaluated as often as it is named."""
     up, dn = F.when(F.col("ret") > 0, F.col("ret")), F.when(F.col("ret") < 0, F.col("ret"))
     f = last_n(n)
-    enough = F.count("ret").over(f) >= 5
-    mu, sd = F.avg("ret").over(f), F.stddev_samp("ret").over(f)
-    up_mean, dn_mean = nz(F.avg(up).over(f)), F.abs(nz(F.avg(dn).over(f), 1.0))
-    two = F.count("ret").over(f) >= 2
-    return d.select(
-        "*",
+    aggs = dict(zip(("_m", "_e1", "_e2", "_e3", "_e4"), power_means("ret", n))) | {
+        "_sd": F.stddev_samp("ret").over(f), "_up": F.avg(up).over(f), "_dn": F.avg(dn).over(f), "_n_dn": F.count(dn).over(f),
+        "_sd_dn": F.stddev_samp(dn).over(f), "_zero": F.sum(one_if(F.abs(F.col("ret")) < 0.01)).over(f),
+    }
+    m, mu, *_ = means = [F.col(k) for k in ("_m", "_e1", "_e2", "_e3", "_e4")]
+    sd = F.col("_sd")
+    enough, two = m >= 5, m >= 2
+    up_mean, dn_mean = nz("_up"), F.abs(nz("_dn", 1.0))
+    return d.select("*", *[a.alias(k) for k, a in aggs.items()]).select(
+        *[F.col(k) for k in d.columns],
         F.when(enough & (sd > 1e-10), div0(mu, sd) * F.sqrt(F.lit(float(YEAR_DAYS)))).otherwise(0.0).alias("sharpe_20d"),
-        skew_n("ret", n, 5).alias("skewness_20d"),
-        kurt_n("ret", n, 5).alias("kurtosis_20d"),
-        F.when(enough, F.when(F.count(dn).over(f) > 1, F.stddev_samp(dn).over(f)).otherwise(0.0)).alias("downside_vol"),
+        skewness(means, 5).alias("skewness_20d"),
+        kurtosis(means, 5).alias("kurtosis_20d"),
+        F.when(enough, F.when(F.col("_n_dn") > 1, F.col("_sd_dn")).otherwise(0.0)).alias("downside_vol"),
         F.when(two & (dn_mean > 0.01), div0(up_mean, dn_mean)).otherwise(0.0).alias("upside_downside_ratio"),
-        F.sum(one_if(F.abs(F.col("ret")) < 0.01)).over(f).cast("double").alias("zero_return_days_20d"),
+        F.col("_zero").cast("double").alias("zero_return_days_20d"),
     )
 
 
