@@ -120,7 +120,7 @@ cte("sect", """SELECT *, CASE WHEN d <= 2 OR rule_score IS NULL THEN 1 WHEN k *
 
 def sector_features(spark, base):
     """Means of the members' RSI, momentum and volatility per industry and date."""
-    d = feats(spark, base).join(ind.rsi_sma(src.instrument_bars(spark, base), (14,)).select("code", "dt", "rsi_14"), ["code", "dt"])
+    d = feats(spark, base, ind.rsi_sma(src.instrument_bars(spark, base), (14,)), ["rsi_14"])
     d = d.join(src.members(spark, base).select("code", "l2"), "code")
     return d.groupBy(F.col("l2").alias("code"), "dt").agg(*[F.avg(c).alias(c) for c in ("rsi_14", "mom20", "atr_pct", "mom5", "vol_ratio", "pos20")])
 
