@@ -102,7 +102,7 @@ def words(docs: DataFrame, text: str, group: str) -> DataFrame:
 
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("group"), F.encode(value, "utf-8").alias("text"))
-    return materialised(rows.mapInArrow(run, f"{RELATION}, word array<string>"))
+    return materialised(rows.mapInArrow(run, f"{RELATION}, word array<string>"), large_rows=True)
 
 
 def _phrases(relation: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,7 +138,7 @@ def extended(relation: DataFrame, keys: list[str], known: DataFrame) -> DataFram
     named = _phrases(relation, keys).drop("times").join(small(known.select(*keys, "id"), BROADCAST_ROWS), keys)
     named = named.select(*[F.col(c).alias(c) for c in ("block", "no", "id")])  # own columns, though both stem from the relation
     both = relation.select("group", "block", "step", "phrase").groupBy("block").cogroup(named.groupBy("block"))
-    return materialised(both.applyInArrow(run, f"{RELATION}, first array<long>, last array<long>"))
+    return materialised(both.applyInArrow(run, f"{RELATION}, first array<long>, last array<long>"), large_rows=True)
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text: str = "text", group: str = "lang") -> tuple[DataFrame, DataFrame]:
